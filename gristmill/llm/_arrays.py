@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
+#: Which bytes belong to words: all above the blank, or only letters, digits and bytes of multi-byte characters.
+PRINTED = np.arange(256) > 32
+ALNUM = (np.arange(256) >= 128) | np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 #: Random 64-bit value for every byte, and the same with A-Z folded to a-z.
 BYTES = _rng.integers(0, 2**64, 256, dtype=U)
 FOLDED = BYTES.copy()
@@ -61,13 +64,15 @@ def slices(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]
         yield start, len(sizes)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word (a run of bytes above 32) and each text's offsets into them."""
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLDED, inside: np.ndarray = PRINTED
+) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word (a run of bytes of a text that are inside) and each text's offsets into them."""
     n = len(data)
     if n == 0:
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
     solid = np.zeros(n + 2, bool)
-    solid[1:-1] = data > 32
+    solid[1:-1] = inside[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))

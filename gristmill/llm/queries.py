@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import exact_dedup, langid, mixing, packing, quality, token_files, toxicity
+from gristmill.llm import exact_dedup, langid, mixing, packing, quality, superminhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_toxicity, op4_quality, op5_mixing, op7_exact_duplicates, op8_language, op9_token_files, op10_packing)
+    for f in (op3_toxicity, op4_quality, op5_mixing, op6_near_duplicates, op7_exact_duplicates, op8_language, op9_token_files, op10_packing)
 }
 
 ORACLES = {
