@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import exact_dedup, langid, mixing, packing, quality, superminhash, token_files, toxicity
+from gristmill.llm import ann, exact_dedup, langid, lm_scoring, mixing, packing, quality, superminhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.train(docs))
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -48,7 +57,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_toxicity, op4_quality, op5_mixing, op6_near_duplicates, op7_exact_duplicates, op8_language, op9_token_files, op10_packing)
+    for f in (
+        op1_lm_scoring,
+        op2_neighbours,
+        op3_toxicity,
+        op4_quality,
+        op5_mixing,
+        op6_near_duplicates,
+        op7_exact_duplicates,
+        op8_language,
+        op9_token_files,
+        op10_packing,
+    )
 }
 
 ORACLES = {
