@@ -210,7 +210,7 @@ def viz_bucket(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(ts.visibility(F.col("value")).alias("viz")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, 'put events ' || epoch_ms(ts) || ' ' || CAST(value AS VARCHAR) || ' viz=' || CASE WHEN value > 0 AND value <= 1.5 THEN 'SECRET' WHEN value > 1.5 AND value <= 2.5 THEN 'INTERNAL' ELSE 'CONFIDENTIAL' END || ' type=' || event_type || ' user=' || user_id AS line FROM events")
+@query("SELECT event_id, 'put events ' || (epoch_us(ts) // 1000) || ' ' || CAST(value AS VARCHAR) || ' viz=' || CASE WHEN value > 0 AND value <= 1.5 THEN 'SECRET' WHEN value > 1.5 AND value <= 2.5 THEN 'INTERNAL' ELSE 'CONFIDENTIAL' END || ' type=' || event_type || ' user=' || user_id AS line FROM events")
 def metric_lines(spark, sf_dir):
     tags = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("type"), F.col("event_type"))
     line = ts.metric_line(F.lit("events"), F.col("ts"), F.col("value"), tags, ts.visibility(F.col("value")))
