@@ -11,7 +11,7 @@ BITS = 32
 def shingles(text: Column) -> Column:
     """Array of all runs of two blank-separated words; of the text itself if it has one word."""
     w = F.split(text, " ")
-    pairs = F.transform(F.slice(w, 1, F.size(w) - 1), lambda a, i: F.concat_ws(" ", a, F.get(w, i + 1)))
+    pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.when(F.size(w) < 2, F.array(text)).otherwise(pairs)
 
 

@@ -66,8 +66,8 @@ def triangles(spark, sf_dir):
     return G.triangle_counts(written(bought_together(spark, sf_dir), "bought"))
 
 
-@query(f"""WITH RECURSIVE {EDGES}, both AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
-r AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS hops WHERE 1 IN (SELECT src FROM both) UNION SELECT dst, hops + 1 FROM r JOIN both ON src = id WHERE hops < 8),
+@query(f"""WITH RECURSIVE {EDGES}, links AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
+r AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS hops WHERE 1 IN (SELECT src FROM links) UNION SELECT dst, hops + 1 FROM r JOIN links ON src = id WHERE hops < 8),
 h AS (SELECT id, min(hops) AS hops FROM r GROUP BY 1)
 SELECT id, least(hops / greatest(max(hops) OVER (), 1), 1.0) AS distance FROM h""")
 def bfs_hops(spark, sf_dir):
