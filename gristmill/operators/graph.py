@@ -344,14 +344,17 @@ def _total(state: DataFrame, vertices: int) -> float:
 
 def _join_gain(w: float, n: int) -> Column:
     """Gain of total cohesion when a vertex with d_in edges into a community and d_out others joins it."""
-    r, d, i, o = (F.col(c).cast("double") for c in ("size", "density", "d_in", "d_out"))
-    q = (F.col("external") - i) / r
-    core = (r - 1) * (r - 2) * F.pow(d, 3)
+    size, density, to, away = (F.col(c).cast("double") for c in ("size", "density", "d_in", "d_out"))
+    rim = (F.col("external") - to) / size  # edges of a member across the boundary
+    others = size - 1
+    closed = others * (size - 2) * F.pow(density, 3)
     ratio = lambda top, bottom: F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
-    ends = ratio((d * (r - 1) + 1 + q) * (i - 1) * d, (r + q) * (core + (i - 1) * d + q * (q - 1) * (d + 1) * w + o * w))
-    rest = -ratio(core * ((r - 1) * d + q), (core + q * (q - 1) * w + q * (r - 1) * d * w) * (r + q) * (r - 1 + q))
-    own = ratio(i * (i - 1) * d * (i + o), (i * (i - 1) * d + o * (o - 1) * w + o * i * w) * (r + o))
-    return (i * ends + (r - i) * rest + own) / float(n)
+    met = density * (to - 1)
+    linked = ratio((1 + rim + density * others) * met, (size + rim) * (closed + met + w * (away + rim * (rim - 1) * (1 + density))))
+    unlinked = ratio(closed * (rim + density * others), (closed + rim * w * (rim - 1 + density * others)) * (size + rim) * (others + rim))
+    shared = density * to * (to - 1)
+    joining = ratio(shared * (to + away), (shared + w * away * (to + away - 1)) * (size + away))
+    return (to * linked - (size - to) * unlinked + joining) / float(n)
 
 
 def wcc_communities(edges: DataFrame, sigma: float = 0.001, rounds: int = 20, min_changed: int = 0) -> DataFrame:
