@@ -122,3 +122,38 @@ def lenient_time(c: Column) -> Column:
 def day_month_year(c: Column) -> Column:
     """Date of dd/MM/yyyy; null where it can't be read."""
     return F.to_date(F.try_to_timestamp(c, F.lit("dd/MM/yyyy")))
+
+
+POSITIVE = ("good", "great", "best", "better", "love", "happy", "win", "success", "strong", "excellent", "wonderful", "hope", "safe", "gain", "positive")
+NEGATIVE = ("bad", "worst", "worse", "hate", "sad", "lose", "loss", "fail", "failure", "weak", "terrible", "fear", "kill", "war", "crisis", "negative")
+
+
+def stem(word: Column) -> Column:
+    """Lower-case word without plural, -ing and -ed endings; a light stemmer, not a dictionary.
+
+    The rest keeps at least three letters with a vowel among them; a doubled
+    consonant before a dropped ending becomes single.
+    """
+    w = F.regexp_replace(F.lower(word), r"'s?$", "")
+    w = F.when(w.rlike(r"^.{2,}ies$"), F.regexp_replace(w, "ies$", "y")).when(w.rlike(r"(ss|x|ch|sh)es$"), F.regexp_replace(w, "es$", "")).when(w.rlike(r"^.{2,}[^su]s$"), F.regexp_replace(w, "s$", "")).otherwise(w)
+    cut = F.regexp_replace(w, r"^(.*[aeiouy].*)(ing|ed)$", "$1")
+    cut = F.when(F.length(cut) >= 3, F.regexp_replace(cut, r"([bdfgmnprt])\1$", "$1")).otherwise(w)
+    return F.when(w.rlike("(ing|ed)$"), cut).otherwise(w)
+
+
+def stems(c: Column, stop_words: Sequence[str] = STOP_WORDS, longer_than: int = 3) -> Column:
+    """Array of the stems of tokens()."""
+    return F.transform(tokens(c, stop_words, longer_than), stem)
+
+
+def sentiment(c: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:
+    """Mean over sentences of a class from 0 (very negative) to 4; 2.0 for null and for texts without words.
+
+    A sentence's class is 2 and its positive less its negative words, within
+    the bounds: an approximation by word lists.
+    """
+    classes = F.transform(
+        F.sentences(c),
+        lambda s: F.greatest(F.lit(0), F.least(F.lit(4), F.lit(2) + F.size(F.filter(s, lambda w: F.lower(w).isin(*positive))) - F.size(F.filter(s, lambda w: F.lower(w).isin(*negative))))).cast("double"),
+    )
+    return F.coalesce(F.when(F.size(classes) > 0, F.aggregate(classes, F.lit(0.0), lambda a, b: a + b) / F.size(classes)), F.lit(2.0))
