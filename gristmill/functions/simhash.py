@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,17 +54,21 @@ def masks(bits: int = BITS) -> list[int]:
     return [0, *(1 << i for i in range(bits)), *((1 << i) | (1 << j) for i in range(bits) for j in range(i))]
 
 
-def near_pairs(hashes: DataFrame, distance: int = 4, ident: str = "id", simhash: str = "simhash") -> DataFrame:
+def near_pairs(hashes: DataFrame, distance: int = 4, ident: str = "id", simhash: str = "simhash", agree: int = 3) -> DataFrame:
     """(a, b, distance): pairs of different ids, a < b, whose hashes differ in at most so many bits.
 
-    By the pigeonhole principle two such hashes agree in at least one of
-    distance + 1 blocks of bits, so each row is sent to as many buckets (the
-    529 masks of at most two bits do the same with a hundred times the rows).
-    Equal hashes are joined once, not in every block.
+    By the pigeonhole principle two such hashes agree in at least `agree` of
+    distance + agree blocks of bits, so each hash is sent to a bucket for every
+    choice of so many blocks (by default 35 buckets of about 14 bits; the 529
+    masks of at most two bits do the same with 15 times the rows). A larger
+    agree makes more rows and smaller buckets. Equal hashes are joined once.
     """
     distinct = hashes.select(F.col(simhash).alias("h")).distinct()
-    cuts = [round(k * BITS / (distance + 1)) for k in range(distance + 2)]
-    blocks = F.array(*[F.concat_ws(":", F.lit(str(k)), F.shiftright("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).cast("string")) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
+    n = distance + agree
+    cuts = [round(k * BITS / n) for k in range(n + 1)]
+    keep = [((1 << hi) - (1 << lo)) for lo, hi in zip(cuts, cuts[1:])]
+    choices = [sum(c) for c in combinations(keep, agree)]
+    blocks = F.array(*[F.struct(F.lit(k).alias("k"), F.col("h").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(choices)])
     spread = distinct.select("h", F.explode(blocks).alias("block"))
     x, y = spread.alias("x"), spread.alias("y")
     far = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("g"), F.col("y.h").alias("h"))
