@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _folded(moved, shift: int, keep: int):
+    return lambda v: v.bitwiseOR(moved(v, shift)).bitwiseAND(F.lit(keep))
+
+
 def _spread(c: Column) -> Column:
     """Puts a gap of one bit before each of the low 30 bits."""
     for shift, keep in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(keep))
+        c = _let(c, _folded(F.shiftleft, shift, keep))
     return c
 
 
@@ -19,7 +28,7 @@ def _gather(c: Column) -> Column:
     """Inverse of _spread."""
     c = c.bitwiseAND(F.lit(0x5555555555555555))
     for shift, keep in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
-        c = c.bitwiseOR(F.shiftright(c, shift)).bitwiseAND(F.lit(keep))
+        c = _let(c, _folded(F.shiftright, shift, keep))
     return c
 
 
@@ -35,8 +44,9 @@ def geohash(lat: Column, lon: Column, precision: int = 12) -> Column:
     valid = F.assert_true(lat.isNull() | lon.isNull() | (lat.between(-90, 90) & lon.between(-180, 180)), "coordinates out of range")
     x, y = _spread(_cell(lon + 180, 360.0, lon_bits)), _spread(_cell(lat + 90, 180.0, lat_bits))
     code = F.shiftleft(x, 1).bitwiseOR(y) if bits % 2 == 0 else x.bitwiseOR(F.shiftleft(y, 1))
-    letters = [F.substring(F.lit(ALPHABET), (F.shiftright(code, 5 * (precision - 1 - k)).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for k in range(precision)]
-    return F.when(valid.isNull() & lat.isNotNull() & lon.isNotNull(), F.concat(*letters))
+    letter = lambda v, k: F.substring(F.lit(ALPHABET), (F.shiftright(v, 5 * (precision - 1 - k)).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+    text = _let(code, lambda v: F.concat(*[letter(v, k) for k in range(precision)]))
+    return F.when(valid.isNull() & lat.isNotNull() & lon.isNotNull(), text)
 
 
 def decode_geohash(code: Column) -> Column:
