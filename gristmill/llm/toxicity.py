@@ -41,7 +41,7 @@ class Model:
     def scores(self, column: pa.Array) -> np.ndarray:
         """Log odds of toxicity of every text."""
         out = np.zeros(len(column))
-        for a, b in slices(column, 1_000_000):
+        for a, b in slices(column, 500_000):
             bucket, doc = char_ngrams(column[a:b], SIZES, BITS, padded=True)
             some = self.weights[bucket] != 0
             bucket, doc = distinct_by_doc(bucket[some], doc[some], BITS)
@@ -52,18 +52,22 @@ class Model:
 def features(column: pa.Array) -> list[np.ndarray]:
     """Distinct buckets of every text."""
     out = []
-    for a, b in slices(column, 1_000_000):
+    for a, b in slices(column, 500_000):
         bucket, doc = distinct_by_doc(*char_ngrams(column[a:b], SIZES, BITS, padded=True), BITS)
         out += np.split(bucket, np.searchsorted(doc, np.arange(1, b - a)))
     return out
 
 
-def log_count_ratios(rows: list[np.ndarray], toxic: np.ndarray, smooth: float = 1.0, least: int = MIN_TEXTS) -> np.ndarray:
-    """ln of a bucket's share in toxic texts over its share in clean ones; 0 for buckets of fewer than least texts."""
-    counts = [np.zeros(2**BITS), np.zeros(2**BITS)]
-    for r, y in zip(rows, toxic):
+def log_count_ratios(rows: list[np.ndarray], toxic: np.ndarray, smooth: float = 1.0, least: int = MIN_TEXTS, sizes: np.ndarray | None = None) -> np.ndarray:
+    """ln of a bucket's share in toxic texts over its share in clean ones; 0 for buckets of fewer than least texts.
+
+    sizes has the texts' numbers of buckets where rows lack those of fewer than least texts.
+    """
+    counts, total = [np.zeros(2**BITS), np.zeros(2**BITS)], [smooth * 2**BITS] * 2
+    for k, (r, y) in enumerate(zip(rows, toxic)):
         counts[int(y)][r] += 1
-    shares = [(c + smooth) / (c + smooth).sum() for c in counts]
+        total[int(y)] += len(r) if sizes is None else sizes[k]
+    shares = [(c + smooth) / t for c, t in zip(counts, total)]
     ratio = np.log(shares[1] / shares[0])
     ratio[counts[0] + counts[1] < least] = 0
     return ratio.astype(np.float32)
@@ -72,8 +76,8 @@ def log_count_ratios(rows: list[np.ndarray], toxic: np.ndarray, smooth: float =
 def _regression(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     """Logistic regression on the ratio-scaled features; weights already multiplied by the ratios."""
     used = np.flatnonzero(ratio)
-    place = np.full(len(ratio), -1, np.int64)
-    place[used] = np.arange(len(used))
+    place = np.full(len(ratio), -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
     scale = ratio[used].astype(np.float64)
     own = [p[p >= 0] for p in (place[r] for r in rows)]
     w, g2, bias, bias_g2 = np.zeros(len(used)), np.full(len(used), 1e-6), 0.0, 1e-6
@@ -97,7 +101,7 @@ def _regression(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed:
     return out, bias
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
+def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7, sizes: np.ndarray | None = None) -> Model:
     """Fit on four fifths, set the threshold on the rest, then fit on all with that threshold.
 
     The threshold is the middle of the scores at which the held-out rows are
@@ -108,10 +112,11 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(2**BITS, np.float32), 10.0 if len(y) and y[0] else -10.0, 0.0)
     held = np.arange(len(y)) % 5 == 0
+    sizes = np.array([len(r) for r in rows]) if sizes is None else sizes
     part = [r for r, h in zip(rows, held) if not h]
     threshold = 0.0
     if len(set(y[held])) == 2 and len(set(y[~held])) == 2:
-        w, b = _regression(part, y[~held], log_count_ratios(part, y[~held]), seed)
+        w, b = _regression(part, y[~held], log_count_ratios(part, y[~held], sizes=sizes[~held]), seed)
         z = np.array([w[r].sum() + b for r, h in zip(rows, held) if h])
         order = np.argsort(-z)
         hit = np.cumsum(y[held][order])
@@ -119,19 +124,40 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7) -> Model:
         best = np.flatnonzero(f1 >= f1.max() - 1e-12)
         low = int(best[len(best) // 2])
         threshold = float((z[order][low] + z[order][min(low + 1, len(z) - 1)]) / 2)
-    return Model(*_regression(rows, y, log_count_ratios(rows, y), seed), threshold)
+    return Model(*_regression(rows, y, log_count_ratios(rows, y, sizes=sizes), seed), threshold)
+
+
+def _packed(row: np.ndarray) -> bytes:
+    """Ordered buckets as their low 16 bits after the number of buckets of each value of the other bits."""
+    return np.bincount(row >> np.uint32(16), minlength=1 << (BITS - 16)).astype(np.uint32).tobytes() + row.astype(np.uint16).tobytes()
+
+
+def _unpacked(data) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint32, 1 << (BITS - 16))
+    low = np.frombuffer(data, np.uint16, offset=counts.nbytes)
+    return (np.repeat(np.arange(len(counts), dtype=np.uint32), counts) << np.uint32(16)) | low
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [r.tobytes() for r in features(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["h", "y", "buckets"])
+        for a, b in slices(batch.column(2), 4_000_000):
+            part = batch.slice(a, b - a)
+            rows = [_packed(r) for r in features(part.column(2))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["h", "y", "buckets"])
 
 
 def _trainer(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("h", "ascending"), ("y", "ascending")])
-    rows = [np.frombuffer(b.as_py(), np.uint32) for b in table.column("buckets")]
-    model = fit(rows, table.column("y").to_numpy())
+    h, y = table.column("h").to_numpy(), table.column("y").to_numpy()
+    views = [b.as_buffer() for b in table.column("buckets")]
+    texts, sizes = np.zeros(2**BITS, np.int32), np.zeros(len(views), np.int64)
+    for i, v in enumerate(views):
+        row = _unpacked(v)
+        texts[row] += 1
+        sizes[i] = len(row)
+    common = texts >= MIN_TEXTS  # the others have no weight anyway
+    order = np.lexsort((y, h))
+    rows = [r[common[r]] for r in (_unpacked(views[i]) for i in order)]
+    model = fit(rows, y[order], sizes=sizes[order])
     used = np.flatnonzero(model.weights).astype(np.uint32)
     return pa.table({"used": [used.tobytes()], "weights": [model.weights[used].tobytes()], "bias": [model.bias], "threshold": [model.threshold]})
 
