@@ -10,7 +10,8 @@ the nodes seen by their centre's distance, and the nearest is opened until
 enough leaves are visited. How many are enough is calibrated: for a sample of
 queries the true neighbours are found by brute force over the whole table, and
 the number of visits widens until the share of them in visited leaves reaches
-the target. Queries meet the vectors of a leaf in the task of that leaf.
+the target. Queries meet the vectors in tasks of sibling leaves: a query is
+sent once to each parent of leaves that it visits, with the list of them.
 """
 
 from __future__ import annotations
@@ -80,6 +81,14 @@ class Tree:
         return out
 
 
+    def parents(self) -> np.ndarray:
+        """Parent of every node; the root's is itself."""
+        out = np.zeros(len(self.centres), np.int64)
+        for node, kids in self.children.items():
+            out[kids] = node
+        return out
+
+
 def _seeds(tree, splitting: set[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,12 +244,31 @@ def calibrate(placed: DataFrame, tree: Tree, kind: str, k: int = K, recall: floa
 
 def _router(tree, visits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parents = tree.value.parents()
         for batch in batches:
             if not len(batch):
                 continue
-            routes = [tree.value.leaves(v, visits) for v in _matrix(batch.column(2))]
-            row = pa.array(np.repeat(np.arange(len(routes)), [len(r) for r in routes]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(routes).astype(np.int64)), batch.column(1).take(row), batch.column(2).take(row)], names=["leaf", "id", "vec"])
+            rows, groups, leaves, ends = [], [], [], [0]
+            for i, v in enumerate(_matrix(batch.column(2))):
+                own = np.array(tree.value.leaves(v, visits), np.int64)
+                own = own[np.argsort(parents[own], kind="stable")]
+                start = np.flatnonzero(np.concatenate(([True], parents[own][1:] != parents[own][:-1])))
+                rows += [i] * len(start)
+                groups += parents[own[start]].tolist()
+                leaves.append(own)
+                ends += (ends[-1] + np.append(start[1:], len(own))).tolist()
+            taken = pa.array(np.array(rows, np.int64))
+            listed = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(leaves)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(groups, np.int64)), batch.column(1).take(taken), batch.column(2).take(taken), listed], names=["parent", "id", "vec", "leaves"])
+
+    return run
+
+
+def _with_parent(tree):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parents = tree.value.parents()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(parents[batch.column(0).to_numpy()]), *batch.columns], names=["parent", "leaf", "id", "vec"])
 
     return run
 
@@ -252,9 +280,18 @@ def _searcher(k: int):
         if len(queries) and len(vectors):
             own, ids = np.array(queries.column("id").to_pylist()), np.array(vectors.column("id").to_pylist())
             x, q = (_matrix(t.column("vec").combine_chunks()) for t in (vectors, queries))
-            for i, (pick, d) in enumerate(_nearest(q, own, x, ids, k)):
-                out_id.append(own[i].item())
-                out_near.append([{"d": float(e), "id": ids[p].item()} for p, e in zip(pick, d)])
+            leaf = vectors.column("leaf").to_numpy()
+            listed = queries.column("leaves").combine_chunks()
+            asked, ends = listed.flatten().to_numpy(), np.cumsum(listed.value_lengths().to_numpy())
+            alike: dict[bytes, list[int]] = {}  # queries that visit the same leaves here are answered together
+            for i, (start, end) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())):
+                alike.setdefault(np.sort(asked[start:end]).tobytes(), []).append(i)
+            for leaves, mine in alike.items():
+                inside = np.flatnonzero(np.isin(leaf, np.frombuffer(leaves, np.int64)))
+                here = ids[inside]
+                for i, (pick, d) in zip(mine, _nearest(q[mine], own[mine], x[inside], here, k)):
+                    out_id.append(own[i].item())
+                    out_near.append([{"d": float(e), "id": here[p].item()} for p, e in zip(pick, d)])
         near = pa.list_(pa.struct([("d", pa.float64()), ("id", kind)]))
         return pa.table({"id": pa.array(out_id, kind), "near": pa.array(out_near, near)})
 
@@ -282,8 +319,9 @@ def nearest_neighbours(table: DataFrame, k: int = K, recall: float = RECALL, ide
     shared = table.sparkSession.sparkContext.broadcast(tree)
     placed = written(vectors.mapInArrow(_placer(shared), f"leaf bigint, id {kind}, vec array<float>"), "placed")
     visits = calibrate(placed, tree, kind, k, recall)
-    routed = placed.mapInArrow(_router(shared, visits), placed.schema)
-    met = routed.groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInArrow(_searcher(k), f"id {kind}, near array<struct<d: double, id: {kind}>>")
+    routed = placed.mapInArrow(_router(shared, visits), f"parent bigint, id {kind}, vec array<float>, leaves array<bigint>")
+    held = placed.mapInArrow(_with_parent(shared), f"parent bigint, leaf bigint, id {kind}, vec array<float>")
+    met = routed.groupBy("parent").cogroup(held.groupBy("parent")).applyInArrow(_searcher(k), f"id {kind}, near array<struct<d: double, id: {kind}>>")
     best = met.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return best.select(F.col("id").alias("vec_id"), F.posexplode("near").alias("pos", "n")).select(
         "vec_id", F.col("n.id").alias("neighbour_id"), (F.col("pos") + 1).alias("rank"), F.sqrt("n.d").alias("distance")
