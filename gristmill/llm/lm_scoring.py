@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +35,9 @@ from gristmill.llm._arrays import U, lengths_of, mix, slices, text_buffers, word
 from gristmill.llm._frames import parallelism, quoted
 from gristmill.storage import mounted, new_folder, write_once
 
-ORDER = 2
-#: N-grams that a counting task combines before it sends them on.
+#: Words of the longest n-grams, those of a usual production model.
+ORDER = 5
+#: Bigrams that a counting task combines before it sends them on; of longer n-grams fewer, so that it holds as many words.
 COMBINE = 3_000_000
 BEGIN = U(0xB5297A4D3F84D5A7)
 END = U(0x68E31DA41B56C4E9)
@@ -142,7 +144,7 @@ def _counter(order: int, shards: int):
                 last = np.flatnonzero(end)
                 held.append([seq[last - order + 1 + k] for k in range(order)])
                 n += len(last)
-                if n >= COMBINE:
+                if n * order >= 2 * COMBINE:
                     n = 0
                     yield flush()
         if held:
@@ -171,7 +173,8 @@ def _summer(level: int, order: int, shards: int, folder: str, least: int):
             stored = count >= least if level == order else np.ones(len(key), bool)
             write_once(f"{name}.key", key[stored].tobytes())
             for field, n in zip(_FIELDS, numbers):
-                write_once(f"{name}.{field}", n[stored].astype(np.uint32 if field == "count" or not len(n) or int(n.max()) < 2**32 else U).tobytes())
+                width = next(w for w in (1, 2, 4, 8) if not len(n) or int(n.max()) < 2 ** (8 * w))
+                write_once(f"{name}.{field}", n[stored].astype(f"<u{width}").tobytes())
             of = [int((count == k).sum()) for k in (1, 2, 3, 4)] + [int((count > 0).sum()), int(count.sum())]
             rows = [(-1, np.array(of, "<i8").tobytes())]
             if level > 1:
@@ -209,7 +212,7 @@ def train(docs: DataFrame, order: int = ORDER, least: int = 1, text: str = "text
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "language-model")
     path = mounted(folder)
-    shards = parallelism(docs)
+    shards = parallelism(docs) * max(1, order - 1)  # long n-grams are more and larger: as much for a task as with bigrams
     texts = docs.select(F.col(quoted(text)).alias("text")).where("text IS NOT NULL")
     records = texts.mapInArrow(_counter(order, shards), _SENT)
     levels = {}
@@ -217,6 +220,7 @@ def train(docs: DataFrame, order: int = ORDER, least: int = 1, text: str = "text
         spread = records.where("shard >= 0").repartitionById(shards, F.col("shard"))
         spread.mapInArrow(_summer(level, order, shards, path, least), _SENT).write.parquet(f"{folder}/sent-{level}")
         records = spark.read.schema(_SENT).parquet(f"{folder}/sent-{level}")
+        shutil.rmtree(f"{path}/sent-{level + 1}", ignore_errors=True)  # read to the end
         tallies = [np.frombuffer(r["grams"], "<i8") for r in records.where("shard < 0").collect()]  # 48 bytes a shard
         n1, n2, n3, n4, grams, total = (int(x) for x in np.sum([np.zeros(6, np.int64), *tallies], 0))
         levels[level] = {"discounts": discounts(n1, n2, n3, n4), "counts": [n1, n2, grams - n1 - n2], "grams": grams, "total": total}

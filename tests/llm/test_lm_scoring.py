@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from gristmill.llm import lm_scoring as L
+from gristmill.llm import queries
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -92,6 +93,16 @@ def test_combining_in_small_portions_changes_nothing(spark, monkeypatch):
             assert r.log_prob == pytest.approx(plain.log(docs[r.doc_id]), rel=1e-9)
 
 
+def test_query_scores_with_five_words(spark, tmp_path):
+    docs = texts(5, 60)
+    spark.createDataFrame(list(enumerate(docs)), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = Plain(docs, 5)
+    got = {r.doc_id: r.log_prob for r in queries.op1_lm_scoring(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    for k, t in enumerate(docs):
+        assert got[k] == (None if t is None else pytest.approx(plain.log(t), rel=1e-9))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     folder = L.train(df)
