@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from gristmill.llm._frames import quoted
 
 
+def _known(labels: DataFrame, label: str, ident: str) -> DataFrame:
+    """(id, y) of every labelled id."""
+    return (
+        labels.select(F.col(quoted(ident)).alias("id"), F.col(quoted(label)).cast("int").alias("y"))
+        .where("id IS NOT NULL AND y IN (0, 1)")
+        .groupBy("id")
+        .agg(F.max("y").alias("y"))
+    )
+
+
+def class_weights(labels: DataFrame, label: str, rows: int, ident: str = "doc_id") -> tuple[float, float]:
+    """Labelled ids that each sampled one of class 0 and of class 1 stands for; 1 where labelled_sample takes all."""
+    counts = {r["y"]: r["n"] for r in _known(labels, label, ident).groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows
+    half = max(1, rows // 2)
+    return tuple(max(1.0, counts.get(y, 0) / half) for y in (0, 1))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """(h, y, text) of at most rows labelled documents, at most half of them from each class 0 and 1.
 
@@ -16,13 +33,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, t
     partition). An id with several labels counts as 1 if any of them is 1; of
     rows with the same id one text is taken. Rows with null are left out.
     """
-    known = (
-        labels.select(F.col(quoted(ident)).alias("id"), F.col(quoted(label)).cast("int").alias("y"))
-        .where("id IS NOT NULL AND y IN (0, 1)")
-        .groupBy("id")
-        .agg(F.max("y").alias("y"))
-        .withColumn("h", F.xxhash64("id"))
-    )
+    known = _known(labels, label, ident).withColumn("h", F.xxhash64("id"))
     half = max(1, rows // 2)
     chosen = None
     for y in (0, 1):

@@ -4,7 +4,9 @@ A text's features are its words, pairs of neighbouring words and character
 n-grams (case kept), hashed to buckets that each have a learned vector; the
 mean of the vectors goes through a linear layer and a softmax. Both layers are
 trained by stochastic gradient descent in numpy, in one executor task, on a
-bounded sample of the labelled rows (TRAIN_ROWS, evenly from both classes).
+bounded sample of the labelled rows (TRAIN_ROWS, at most half from each class).
+Where that changes the ratio of the classes, the log odds are shifted back to
+the ratio among all labels, so that decisions don't depend on the bound.
 
 For scoring the output layer is folded into the table: the mean of vectors
 times a matrix is the mean of the buckets' products with it. So each feature
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm._arrays import BYTES, U, char_ngrams, mix, owners, slices, sums, text_buffers, word_hashes
 from gristmill.llm._frames import quoted
-from gristmill.llm._labelled import labelled_sample
+from gristmill.llm._labelled import class_weights, labelled_sample
 
 SIZES = (3, 4)
 BITS = 18
@@ -50,6 +52,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     table: np.ndarray  # (buckets, 2): each bucket's vector times the output layer
+    shift: float = 0.0  # log ratio of the classes among all labels over that among the training rows
 
     def probability(self, column: pa.Array) -> np.ndarray:
         """Probability of class 1 of every text."""
@@ -58,7 +61,7 @@ class Model:
             bucket, doc = features(column[a:b])
             n = np.maximum(np.bincount(doc, minlength=b - a), 1)
             z = (sums(self.table[bucket, 1], doc, b - a) - sums(self.table[bucket, 0], doc, b - a)) / n
-            out[a:b] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            out[a:b] = 1 / (1 + np.exp(-np.clip(z + self.shift, -50, 50)))
         return out
 
 
@@ -120,10 +123,12 @@ def _trainer(table: pa.Table) -> pa.Table:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", ident: str = "doc_id") -> Model:
     """Model of at most rows labelled texts. Without any, every text has probability one half."""
     sample = labelled_sample(docs, labels, "quality", rows, text, ident)
+    bad, good = class_weights(labels, "quality", rows, ident)
     fitted = sample.mapInArrow(_featurize, "h bigint, y int, buckets binary, counts binary").groupBy(F.lit("all")).applyInArrow(_trainer, "model binary")
     found = fitted.collect()  # one row of 2 MB
-    table = np.frombuffer(found[0]["model"], np.float32).reshape(-1, 2) if found else np.zeros((2**BITS, 2), np.float32)
-    return Model(table)
+    if not found:
+        return Model(np.zeros((2**BITS, 2), np.float32))
+    return Model(np.frombuffer(found[0]["model"], np.float32).reshape(-1, 2), float(np.log(good / bad)))
 
 
 def score_quality(docs: DataFrame, model: Model, text: str = "text", ident: str = "doc_id") -> DataFrame:

@@ -4,8 +4,10 @@ Features are the distinct character n-grams of the lower-cased whole text,
 hashed to buckets. A feature's value is the log ratio of its smoothed share
 among toxic and among clean training texts; a logistic regression over these
 values is fitted by mini-batch AdaGrad in numpy. The training rows are a
-bounded sample of the labelled rows (TRAIN_ROWS, evenly from both classes,
-chosen by a hash of the id); scoring covers every text from start to end.
+bounded sample of the labelled rows (TRAIN_ROWS, at most half from each class,
+chosen by a hash of the id). Where that changes the ratio of the classes, the
+threshold and the log odds are those of the ratio among all labels. Scoring
+covers every text from start to end.
 Weight times ratio is one number a bucket, 4 MB in all, sent to every worker.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm._arrays import char_ngrams, distinct_by_doc, slices, sums
 from gristmill.llm._frames import fresh, quoted
-from gristmill.llm._labelled import labelled_sample
+from gristmill.llm._labelled import class_weights, labelled_sample
 
 SIZES = (4, 5, 6)
 BITS = 20
@@ -101,12 +103,13 @@ def _regression(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed:
     return out, bias
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7, sizes: np.ndarray | None = None) -> Model:
+def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7, sizes: np.ndarray | None = None, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Fit on four fifths, set the threshold on the rest, then fit on all with that threshold.
 
     The threshold is the middle of the scores at which the held-out rows are
-    told apart with the highest F1. Rows of one class only give a model that
-    rejects everything or nothing.
+    told apart with the highest F1, where each row counts with the weight of its
+    class (clean, toxic). Rows of one class only give a model that rejects
+    everything or nothing.
     """
     y = np.asarray(toxic, np.float64)
     if not len(y) or y.min() == y.max():
@@ -119,12 +122,15 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7, sizes: np.ndar
         w, b = _regression(part, y[~held], log_count_ratios(part, y[~held], sizes=sizes[~held]), seed)
         z = np.array([w[r].sum() + b for r, h in zip(rows, held) if h])
         order = np.argsort(-z)
-        hit = np.cumsum(y[held][order])
-        f1 = 2 * hit / (np.arange(1, len(z) + 1) + y[held].sum())
+        weight = np.where(y[held] == 1, weights[1], weights[0])
+        hit = np.cumsum((weight * y[held])[order])
+        f1 = 2 * hit / (np.cumsum(weight[order]) + (weight * y[held]).sum())
         best = np.flatnonzero(f1 >= f1.max() - 1e-12)
         low = int(best[len(best) // 2])
         threshold = float((z[order][low] + z[order][min(low + 1, len(z) - 1)]) / 2)
-    return Model(*_regression(rows, y, log_count_ratios(rows, y, sizes=sizes), seed), threshold)
+    w, b = _regression(rows, y, log_count_ratios(rows, y, sizes=sizes), seed)
+    shift = float(np.log(weights[1] / weights[0]))
+    return Model(w, b + shift, threshold + shift)
 
 
 def _packed(row: np.ndarray) -> bytes:
@@ -146,7 +152,7 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["h", "y", "buckets"])
 
 
-def _trainer(table: pa.Table) -> pa.Table:
+def _trained(table: pa.Table, weights: tuple[float, float]) -> pa.Table:
     h, y = table.column("h").to_numpy(), table.column("y").to_numpy()
     views = [b.as_buffer() for b in table.column("buckets")]
     texts, sizes = np.zeros(2**BITS, np.int32), np.zeros(len(views), np.int64)
@@ -157,7 +163,7 @@ def _trainer(table: pa.Table) -> pa.Table:
     common = texts >= MIN_TEXTS  # the others have no weight anyway
     order = np.lexsort((y, h))
     rows = [r[common[r]] for r in (_unpacked(views[i]) for i in order)]
-    model = fit(rows, y[order], sizes=sizes[order])
+    model = fit(rows, y[order], sizes=sizes[order], weights=weights)
     used = np.flatnonzero(model.weights).astype(np.uint32)
     return pa.table({"used": [used.tobytes()], "weights": [model.weights[used].tobytes()], "bias": [model.bias], "threshold": [model.threshold]})
 
@@ -168,8 +174,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str
     Rows with null id, text or label aren't used. Without usable rows nothing is toxic.
     """
     sample = labelled_sample(docs, labels, "toxic", rows, text, ident)
+    shares = class_weights(labels, "toxic", rows, ident)
     got = sample.mapInArrow(_featurize, "h bigint, y int, buckets binary").groupBy(F.lit("all")).applyInArrow(
-        _trainer, "used binary, weights binary, bias double, threshold double"
+        lambda table: _trained(table, shares), "used binary, weights binary, bias double, threshold double"
     )
     found = got.collect()
     weights = np.zeros(2**BITS, np.float32)

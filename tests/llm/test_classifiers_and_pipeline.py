@@ -84,6 +84,18 @@ def test_quality_gradient_and_folding():
     assert quality.Model(table).probability(pa.array(["a b", "", "c"])) == pytest.approx(np.exp(z[:, 1]) / np.exp(z).sum(1))
 
 
+def test_bounded_samples_keep_the_ratio_of_all_labels(spark):
+    """Texts that both classes have are decided by the ratio among all labels, not by that in the even sample."""
+    texts = {"plain": "an ordinary sentence of plain words", "mixed": "borderline remark quoted verbatim", "rude": "grobnak fumplewit dorkelhen"}
+    kinds = [("rude", 1)] * 120 + [("mixed", 1)] * 80 + [("mixed", 0)] * 760 + [("plain", 0)] * 3040
+    docs = spark.createDataFrame([(i, texts[k]) for i, (k, _) in enumerate(kinds)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 - t, t) for i, (_, t) in enumerate(kinds)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs, labels, rows=400)
+    assert (model.scores(pa.array(list(texts.values()))) > model.threshold).tolist() == [False, False, True]
+    p = quality.train(docs, labels, rows=400).probability(pa.array(list(texts.values())))
+    assert p[0] > 0.9 and p[1] > 0.6 and p[2] < 0.5
+
+
 def test_language_on_held_out_rows(spark):
     rng = random.Random(2)
     letters = {"aa": "abcdef", "bb": "defghi", "cc": "ghijka"}
