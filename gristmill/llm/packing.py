@@ -5,8 +5,11 @@ of their id, about GROUP rows each, and every group is packed by one task: best
 fit in decreasing order, then a local search over the bins with room. It moves
 a piece to a fuller bin, or exchanges one for one, two for one or one for two,
 whenever that makes the sum of squared fills larger; a bin that becomes empty
-is gone. The search ends where no such step exists. Groups add at most one
-partly filled bin each, and only ids and lengths are shuffled.
+is gone. The search ends where no such step exists. Only ids and lengths are
+shuffled. Groups don't exchange pieces, and a group can end with many partly
+filled bins: of the first 24,576 texts of check_s, three random groups of 8192
+took 6314 bins (129, 145 and 121 of them partly filled), and one search over
+all took 6312 (216 partly filled), the fewest that can hold the words.
 """
 
 from __future__ import annotations
