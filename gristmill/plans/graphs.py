@@ -55,6 +55,16 @@ def ppr_fixed(spark, sf_dir):
     return made.select("id", F.round("rank", 6).alias("rank"))
 
 
+@query()
+def pagerank_converged(spark, sf_dir):
+    return G.page_rank(pair_containment_graph(spark, sf_dir), tolerance=1e-6)
+
+
+@query()
+def ppr_converged(spark, sf_dir):
+    return G.page_rank(pair_containment_graph(spark, sf_dir), tolerance=1e-6, source=1, weighted=True)
+
+
 @query(f"WITH {EDGES} SELECT id, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weighted FROM (SELECT src AS id, weight FROM edges UNION ALL SELECT dst, weight FROM edges) GROUP BY 1")
 def degrees(spark, sf_dir):
     return G.degrees(bought_together(spark, sf_dir))

@@ -4,6 +4,8 @@ import math
 from collections import Counter
 from itertools import combinations
 
+import pytest
+
 from gristmill.operators import graph as G
 
 CLIQUES = [(a, b) for k in (0, 20) for a, b in combinations(range(k + 1, k + 6), 2)]
@@ -99,3 +101,24 @@ def test_communities_and_pairs(spark):
     assert sorted((r.src, r.dst, r.mutation) for r in G.in_large_communities(e, members, 2).collect()) == [(1, 2, False), (1, 3, False), (2, 3, False), (3, 4, True)]
     lists = spark.createDataFrame([(1, ["x", "y", "z"]), (2, ["q"]), (3, None)], "id long, names array<string>")
     assert [tuple(r) for r in G.name_pairs(lists, "id", "names").collect()] == [(1, "x", "y"), (1, "x", "z"), (1, "y", "z")]
+
+
+@pytest.mark.parametrize("name", ["pagerank_converged", "ppr_converged"])
+def test_converged_ranks_equal_brute_force(spark, name):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    edges = entry.queries()["pair_containment_graph"](spark, folder).collect()
+    own = name == "ppr_converged"
+    total, want = {}, {r.src: float(not own or r.src == 1) for r in edges}
+    start = dict(want)
+    for r in edges:
+        total[r.src] = total.get(r.src, 0) + (r.weight if own else 1)
+    for _ in range(200):
+        new = {v: 0.1 * x for v, x in start.items()}
+        for r in edges:
+            new[r.dst] += 0.9 * want[r.src] * (r.weight if own else 1) / total[r.src]
+        want = new
+    got = {r.id: r["rank"] for r in entry.queries()[name](spark, folder).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[v] - want[v]) < 1e-5 for v in want)
