@@ -8,8 +8,11 @@ length are then compared byte by byte, chunk by chunk, so the result is exact.
 
 Shuffles: the fingerprints (16 bytes a row, combined before the shuffle), and
 the rows whose fingerprint occurs more than once. All other rows stay where
-they were read. A fingerprint with many rows is compared in portions first and
-between the portions' distinct texts afterwards.
+they were read: a table of bits, at most FILTER_BITS of them, tells every task
+which fingerprints may be repeated, and only rows that pass it are sent. A
+fingerprint with many rows is compared in portions first, at most about the
+square root of its rows in each, and between the portions' distinct texts
+afterwards.
 """
 
 from __future__ import annotations
@@ -18,18 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._arrays import text_buffers, slices
-from gristmill.llm._frames import fresh, quoted, small_enough
+from gristmill.llm._arrays import mix, slices, text_buffers
+from gristmill.llm._frames import fresh, quoted
 from gristmill.storage import written
 
 CHUNK = 4096
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1566083941)
-#: Rows of one fingerprint that one task compares at first.
+#: Rows of one fingerprint that one task compares at first; the square root of all its rows if that is more.
 PORTION = 2000
+#: Most bits of the table of repeated fingerprints (64 MB); with more than some 100 million of these more rows pass it, and are sorted out later.
+FILTER_BITS = 1 << 29
+_PIECE = 1 << 16
 
 
 def _powers(base: int, prime: int, n: int) -> np.ndarray:
@@ -95,71 +102,149 @@ def _fingerprint_columns(column: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pa.array(np.concatenate(marks), mask=none), pa.array(np.concatenate(sizes), mask=none)
 
 
-def _marker(text: str, keep: list[str], names: list[str]):
+def _marker(text: str, keep: list[str], names: list[str], bits=None, passing: bool = True):
+    """Adds fingerprint and length to rows; with a table of bits only to those that pass it, or to the others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mark, size = _fingerprint_columns(batch.column(batch.schema.get_field_index(text)))
+            column = batch.column(batch.schema.get_field_index(text))
+            mark, size = _fingerprint_columns(column)
             kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, mark, size], names=[*keep, *names])
+            out = pa.RecordBatch.from_arrays([*kept, mark, size], names=[*keep, *names])
+            if bits is not None:
+                at = _places(mark.fill_null(0).to_numpy(), bits.value.size * 8)
+                hit = (bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                hit &= column.is_valid().to_numpy(zero_copy_only=False)
+                out = out.filter(pa.array(hit if passing else ~hit))
+            yield out
+
+    return run
+
+
+def _places(mark: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(mark.astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+
+def _setter(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_places(batch.column(0).to_numpy(), bits))
+            piece = at // _PIECE
+            first = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1]))) if len(at) else np.zeros(0, np.int64)
+            made = [_bitmap(part % _PIECE).tobytes() for part in np.split(at, first[1:])] if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array(piece[first], pa.int64()), pa.array(made, pa.binary())], names=["piece", "bits"])
 
     return run
 
 
+def _bitmap(places: np.ndarray) -> np.ndarray:
+    solid = np.zeros(_PIECE, bool)
+    solid[places] = True
+    return np.packbits(solid, bitorder="little")
+
+
+def _united(key: tuple, table: pa.Table) -> pa.Table:
+    parts = [np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("bits")]
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
+
+
+def _repeated_bits(twice: DataFrame, mark: str, n: int) -> np.ndarray:
+    """Table of bits with those of the n repeated fingerprints set: 16 bits for each of them, FILTER_BITS in all at most."""
+    bits = min(FILTER_BITS, max(_PIECE, 1 << (16 * n).bit_length()))
+    pieces = twice.select(mark).mapInArrow(_setter(bits), "piece bigint, bits binary").groupBy("piece").applyInArrow(_united, "piece bigint, bits binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in pieces.toLocalIterator():  # at most bits / 8 bytes
+        at = r["piece"] * (_PIECE // 8)
+        out[at : at + _PIECE // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _same(a: memoryview, b: memoryview) -> bool:
     """Whether two texts are equal, read 64 KB at a time until the first difference."""
     return len(a) == len(b) and all(a[i : i + 65536] == b[i : i + 65536] for i in range(0, len(a), 65536))
 
 
-def _comparer(keys: list[str], text: str, ident: str, pairs: bool):
-    """Reads rows sorted by keys; yields the first row of every distinct text, or (id, first's id, whether first)."""
+def _comparer(keys: list[str], text: str):
+    """Reads rows sorted by keys and yields those that are the first of a distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen = None, []
         for batch in batches:
-            texts, ids = (batch.column(batch.schema.get_field_index(c)) for c in (text, ident))
+            data, offsets = text_buffers(batch.column(batch.schema.get_field_index(text)))
+            view = memoryview(data)
+            first = []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in keys]
+            for i, key in enumerate(zip(*columns)):
+                if key != now:
+                    now, seen = key, []
+                value = view[offsets[i] : offsets[i + 1]]
+                first.append(not any(_same(t, value) for t in seen))
+                if first[-1]:
+                    seen.append(memoryview(bytes(value)))
+            yield batch.filter(pa.array(first, pa.bool_()))
+
+    return run
+
+
+def _linker(keys: list[str], head: str | None):
+    """Reads rows (keys, id, text, rows, head) sorted by keys and yields which row each one equals.
+
+    Every distinct text under a key gets a number, the head. With head None a
+    row of a split fingerprint that is first keeps its text, for the comparison
+    with the other portions' heads.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, []
+        for batch in batches:
+            texts, ids = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("id"))
             data, offsets = text_buffers(texts)
             view = memoryview(data)
-            first, of = [], []
+            first, of, number = [], [], []
             columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in keys]
             for i, (key, own) in enumerate(zip(zip(*columns), ids.to_pylist())):
                 if key != now:
                     now, seen = key, []
                 value = view[offsets[i] : offsets[i + 1]]
-                match = next((r for r, t in seen if _same(t, value)), -1)
-                first.append(match == -1)
-                if match == -1:
+                match = next((k for k, (_, t) in enumerate(seen) if _same(t, value)), len(seen))
+                first.append(match == len(seen))
+                if first[-1]:
                     seen.append((own, memoryview(bytes(value))))
-                of.append(own if match == -1 else match)
-            if pairs:
-                yield pa.RecordBatch.from_arrays([ids, pa.array(of, ids.type), pa.array(first)], names=["id", "of", "first"])
+                number.append(match)
+                of.append(seen[match][0])
+            found = {"id": ids, "of": pa.array(of, ids.type), "first": pa.array(first, pa.bool_())}
+            if head is None:
+                split = pc.and_(found["first"], batch.column(batch.schema.get_field_index("split")))
+                found |= {"head": pa.array(number, pa.int64()), "text": pc.if_else(split, texts, pa.scalar(None, texts.type))}
             else:
-                yield batch.filter(pa.array(first))
+                found["head"] = batch.column(batch.schema.get_field_index(head))
+            kept = {c: batch.column(batch.schema.get_field_index(c)) for c in ("mark", "size", "portion", "split")}
+            yield pa.RecordBatch.from_pydict(found | kept)
 
     return run
 
 
 def _marked(docs: DataFrame, text: str, ident: str, keep: list[str]):
-    """Rows with fingerprint, split into those that occur once and the candidates with portion; names of the added columns."""
+    """Rows that have a fingerprint, a length and no other row with both; those with others, by portion; the added columns' names."""
     mark, size, portion, rows = fresh(docs, "mark", "size", "portion", "rows")
     t = docs.schema[text]
     narrow = docs.select(F.col(quoted(text)).alias("text")).mapInArrow(_marker("text", [], [mark, size]), f"{mark} bigint, {size} bigint")
     twice = written(
         narrow.where(F.col(mark).isNotNull()).groupBy(mark, size).agg(F.count("*").alias(rows)).where(F.col(rows) > 1), "fingerprints"
     )
-    n = twice.count()
+    bits = docs.sparkSession.sparkContext.broadcast(_repeated_bits(twice, mark, twice.count()))
     schema = ", ".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {mark} bigint, {size} bigint"
-    full = docs.select(*map(quoted, keep)).mapInArrow(_marker(t.name, keep, [mark, size]), schema)
-    if small_enough(n, 64):
-        twice = F.broadcast(twice)
-    full = full.join(twice, [mark, size], "left").withColumn(
-        portion, F.when(F.col(rows) > PORTION, F.pmod(F.xxhash64(quoted(ident)), F.ceil(F.col(rows) / PORTION))).otherwise(F.lit(0))
-    )
-    return full, mark, size, portion, rows
+    chosen = docs.select(*map(quoted, keep))
+    passed = chosen.mapInArrow(_marker(t.name, keep, [mark, size], bits), schema).join(twice, [mark, size], "left")
+    others = chosen.mapInArrow(_marker(t.name, keep, [mark, size], bits, False), schema)
+    alone = others.select(*map(quoted, keep)).unionAll(passed.where(F.col(rows).isNull()).select(*map(quoted, keep)))
+    portions = F.ceil(F.col(rows) / F.greatest(F.lit(PORTION), F.ceil(F.sqrt(rows))))
+    cand = passed.where(F.col(rows).isNotNull()).withColumn(portion, F.pmod(F.xxhash64(quoted(ident)), portions))
+    return alone, cand, mark, size, portion, rows
 
 
-def _compared(cand: DataFrame, keys: list[str], text: str, ident: str, schema, pairs: bool) -> DataFrame:
-    order = [*keys, F.col(quoted(ident)).asc_nulls_last()]
-    return cand.repartition(*keys).sortWithinPartitions(*order).mapInArrow(_comparer(keys, text, ident, pairs), schema)
+def _sorted(cand: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    return cand.repartition(*keys).sortWithinPartitions(*keys, F.col(quoted(ident)).asc_nulls_last())
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -169,31 +254,36 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc
     of the same ident any one). Rows with null text are all kept; empty texts
     equal each other. Texts are compared whole, so no other row is dropped.
     """
-    full, mark, size, portion, rows = _marked(docs, text, ident, docs.columns)
-    alone = full.where(F.col(rows).isNull()).select(*map(quoted, docs.columns))
-    cand = full.where(F.col(rows).isNotNull())
-    first = _compared(cand, [mark, size, portion], text, ident, cand.schema, False)
-    split = first.where(F.col(rows) > PORTION)
-    final = _compared(split, [mark, size], text, ident, cand.schema, False)
+    alone, cand, mark, size, portion, rows = _marked(docs, text, ident, docs.columns)
+    name = docs.schema[text].name
+    first = _sorted(cand, [mark, size, portion], ident).mapInArrow(_comparer([mark, size, portion], name), cand.schema)
+    split = F.col(rows) > PORTION
+    final = _sorted(first.where(split), [mark, size], ident).mapInArrow(_comparer([mark, size], name), cand.schema)
     names = [*map(quoted, docs.columns)]
-    return alone.unionAll(first.where(F.col(rows) <= PORTION).select(*names)).unionAll(final.select(*names))
+    return alone.unionAll(first.where(~split).select(*names)).unionAll(final.select(*names))
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """(doc_id, duplicate_of) for every row that drop_exact_duplicates removes.
 
-    duplicate_of is the ident of the row that stays. The same conventions for
-    null, empty and repeated rows hold.
+    duplicate_of is the ident of the row that stays, so of rows with equal
+    ident and text all but one are listed with their own ident; null idents
+    come last and are listed like others. The same conventions for null, empty
+    and repeated rows hold. Rows are told apart by their place among the equal
+    ones of a portion, never by ident.
     """
     keep = list(dict.fromkeys((ident, text)))
     kind = docs.schema[ident].dataType.simpleString()
-    full, mark, size, portion, rows = _marked(docs, text, ident, keep)
-    cand = full.where(F.col(rows).isNotNull())
-    shape = f"id {kind}, of {kind}, first boolean"
-    near = written(_compared(cand, [mark, size, portion], text, ident, shape, True), "portions")
-    heads = cand.where(F.col(rows) > PORTION)
-    top = _compared(_compared(heads, [mark, size, portion], text, ident, cand.schema, False), [mark, size], text, ident, shape, True)
-    top = top.where(~F.col("first")).select(F.col("id").alias("local"), F.col("of").alias("final"))
-    joined = near.join(top, F.col("of") == F.col("local"), "left")
-    gone = joined.where(~F.col("first") | F.col("local").isNotNull())
-    return gone.select(F.col("id").alias("doc_id"), F.coalesce("final", "of").alias("duplicate_of"))
+    _, cand, mark, size, portion, rows = _marked(docs, text, ident, keep)
+    named = cand.select(
+        F.col(mark).alias("mark"), F.col(size).alias("size"), F.col(portion).cast("bigint").alias("portion"), (F.col(rows) > PORTION).alias("split"),
+        F.col(quoted(ident)).alias("id"), F.col(quoted(text)).alias("text"),
+    )
+    shape = f"id {kind}, of {kind}, first boolean, head bigint"
+    place = "mark bigint, size bigint, portion bigint, split boolean"
+    near = written(_sorted(named, ["mark", "size", "portion"], "id").mapInArrow(_linker(["mark", "size", "portion"], None), f"{shape}, text string, {place}"), "portions")
+    heads = _sorted(near.where("first AND split"), ["mark", "size"], "id")
+    top = heads.mapInArrow(_linker(["mark", "size"], "head"), f"{shape}, {place}").select("mark", "size", "portion", "head", F.col("of").alias("final"), F.col("first").alias("stays"))
+    whole = near.where("NOT split AND NOT first").select("id", "of")
+    parts = near.where("split").drop("text").join(top, ["mark", "size", "portion", "head"]).where("NOT (first AND stays)").select("id", F.col("final").alias("of"))
+    return whole.unionAll(parts).select(F.col("id").alias("doc_id"), F.col("of").alias("duplicate_of"))

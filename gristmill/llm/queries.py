@@ -75,6 +75,7 @@ ORACLES = {
     "op5_mixing": mixing.ORACLE,
     "op7_exact_duplicates": """
         SELECT doc_id, first AS duplicate_of
-        FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents WHERE text IS NOT NULL)
-        WHERE doc_id <> first""",
+        FROM (SELECT doc_id, first_value(doc_id) OVER w AS first, row_number() OVER w AS n
+              FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY text ORDER BY doc_id NULLS LAST))
+        WHERE n > 1""",
 }

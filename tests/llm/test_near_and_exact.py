@@ -3,9 +3,11 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from gristmill.llm import exact_dedup as X
 from gristmill.llm import superminhash as S
@@ -174,5 +176,33 @@ def test_exact_in_portions_and_with_equal_fingerprints(spark, monkeypatch):
     pairs = {r.doc_id: r.duplicate_of for r in X.exact_duplicates(frame(spark, texts)).collect()}
     assert pairs == {i: i % 7 for i in range(7, 90)}
     batch = pa.RecordBatch.from_pydict({"k": [1] * 5, "text": ["a", "b", "a", "b", "c"], "doc_id": [1, 2, 3, 4, 5]})
-    (out,) = X._comparer(["k"], "text", "doc_id", True)(iter([batch]))
-    assert out.to_pydict() == {"id": [1, 2, 3, 4, 5], "of": [1, 2, 1, 2, 5], "first": [True, True, False, False, True]}
+    (out,) = X._comparer(["k"], "text")(iter([batch]))
+    assert out.to_pydict()["doc_id"] == [1, 2, 5]
+    places = {"mark": [1] * 5, "size": [1] * 5, "portion": [0] * 5, "split": [True] * 5}
+    batch = pa.RecordBatch.from_pydict(places | {"text": ["a", "b", "a", "b", "c"], "id": [1, 2, 3, 4, 5]})
+    (out,) = X._linker(["mark"], None)(iter([batch]))
+    out = out.to_pydict()
+    assert out["of"] == [1, 2, 1, 2, 5] and out["first"] == [True, True, False, False, True]
+    assert out["head"] == [0, 1, 0, 1, 2] and out["text"] == ["a", "b", None, None, "c"]
+
+
+@pytest.mark.parametrize("portion", [1, 4, 2000])
+def test_exact_pairs_with_repeated_and_null_idents(spark, monkeypatch, portion):
+    monkeypatch.setattr(X, "PORTION", portion)
+    texts, ids = ["x"] * 30 + ["y"] * 56 + ["z", "z", "z", "z", None, None], [*range(1, 31), *range(5, 61), 1, 1, None, None, 1, None]
+    docs = frame(spark, texts, ids)
+    first = {t: min(i for i, u in zip(ids, texts) if u == t and i is not None) for t in "xyz"}
+    want = Counter((i, first[t]) for i, t in zip(ids, texts) if t is not None) - Counter((i, i) for i in first.values())
+    got = Counter((r.doc_id, r.duplicate_of) for r in X.exact_duplicates(docs).collect())
+    assert got == want
+    assert docs.count() - X.drop_exact_duplicates(docs).count() == sum(got.values())
+    only = frame(spark, ["x"] * 6, [None] * 6)
+    assert [(r.doc_id, r.duplicate_of) for r in X.exact_duplicates(only).collect()] == [(None, None)] * 5
+
+
+def test_full_table_of_bits_loses_no_row(spark, monkeypatch):
+    monkeypatch.setattr(X, "FILTER_BITS", X._PIECE)
+    texts = [f"t{i}" for i in range(9000)] * 2 + [f"u{i}" for i in range(3000)]
+    docs = frame(spark, texts).repartition(3)
+    assert {(r.doc_id, r.duplicate_of) for r in X.exact_duplicates(docs).collect()} == {(i + 9000, i) for i in range(9000)}
+    assert X.drop_exact_duplicates(docs).count() == 12000
