@@ -24,6 +24,11 @@ FOLDED = BYTES.copy()
 FOLDED[65:91] = BYTES[97:123]
 BASE = int(_rng.integers(0, 2**63, dtype=U)) * 2 + 1
 UNBASE = pow(BASE, -1, 2**64)
+CHUNK = 1 << 20
+_POWERS, _BACK = np.full(CHUNK, U(BASE), U), np.full(CHUNK, U(UNBASE), U)
+for _p in (_POWERS, _BACK):
+    _p[0] = 1
+    np.cumprod(_p, out=_p)
 STEP = U(int(_rng.integers(0, 2**63, dtype=U)) * 2 + 1)
 
 
@@ -67,26 +72,42 @@ def slices(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]
 def word_hashes(
     data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLDED, inside: np.ndarray = PRINTED
 ) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word (a run of bytes of a text that are inside) and each text's offsets into them."""
-    n = len(data)
-    if n == 0:
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
-    solid = np.zeros(n + 2, bool)
-    solid[1:-1] = inside[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
-    ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
-    powers = np.full(n, U(BASE), U)
-    powers[0] = 1
-    np.cumprod(powers, out=powers)
-    powers *= table[data]
-    total = np.zeros(n + 1, U)
-    np.cumsum(powers, out=total[1:])
-    back = np.full(n, U(UNBASE), U)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    return mix((total[ends] - total[starts]) * back[starts]), np.searchsorted(starts, offsets)
+    """64-bit hash of every word (a run of bytes of a text that are inside) and each text's offsets into them.
+
+    Bytes are read CHUNK at a time; the polynomial of a word that goes on in the
+    next chunk is continued there, so memory grows with the words only.
+    """
+    made, before = [np.zeros(0, U)], np.zeros(len(offsets), np.int64)
+    begun, length = None, 0  # polynomial and bytes so far of a word that the last chunk cut
+    for a in range(0, len(data), CHUNK):
+        part = data[a : a + CHUNK]
+        n = len(part)
+        solid = np.zeros(n + 2, bool)
+        solid[1:-1] = inside[part]
+        solid[0] = a > 0 and inside[data[a - 1]]
+        solid[-1] = a + n < len(data) and inside[data[a + n]]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, a + n, "right")] - a] = True
+        starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
+        ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | edge[1:])) + 1
+        before += np.searchsorted(starts, offsets - a)
+        if begun is not None:
+            starts = np.concatenate(([0], starts))
+        cut = len(starts) > len(ends)
+        if cut:
+            ends = np.append(ends, n)
+        total = np.zeros(n + 1, U)
+        np.cumsum(_POWERS[:n] * table[part], out=total[1:])
+        words = (total[ends] - total[starts]) * _BACK[starts]
+        if begun is not None:
+            words[:1] = words[:1] * np.full(1, pow(BASE, length, 2**64), U) + begun
+        if cut:
+            length = n - int(starts[-1]) + (length if begun is not None and len(starts) == 1 else 0)
+            begun, words = words[-1:], words[:-1]
+        else:
+            begun = None
+        made.append(mix(words))
+    return np.concatenate(made), before
 
 
 def lengths_of(offsets: np.ndarray) -> np.ndarray:
@@ -118,10 +139,12 @@ def windows(values: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
 
 
 def char_ngrams(
-    column: pa.Array, sizes: tuple[int, ...], bits: int, lower: bool = True, padded: bool = False
+    column: pa.Array, sizes: tuple[int, ...], bits: int, lower: bool = True, padded: bool = False, own: int | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Bucket (below 2**bits) and text index of every character n-gram of the given sizes.
 
+    own: only n-grams that begin before this code point count (for one text).
+
     N-grams run over code points and never cross from one text to the next.
     Control characters count as blanks; padded puts a blank before every text,
     so that its first word begins like any other.
@@ -149,6 +172,8 @@ def char_ngrams(
             h = (rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)
             h ^= h >> np.uint32(13)
             h *= np.uint32(0xC2B2AE35)
+            if own is not None:
+                whole[own:] = False
             buckets.append((h >> np.uint32(32 - bits))[whole])
             docs.append(doc[: len(doc) - n + 1][whole])
     if not buckets:
@@ -156,6 +181,38 @@ def char_ngrams(
     return np.concatenate(buckets), np.concatenate(docs)
 
 
+def gram_parts(column: pa.Array, sizes: tuple[int, ...], bits: int, lower: bool = True, padded: bool = False, limit: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """What char_ngrams gives, for row ranges (first, end, buckets, text indexes from first) of about limit bytes.
+
+    A longer text is cut between characters, and each of its parts but the last
+    reads on into the next one as far as n-grams reach; it comes as several
+    ranges of that one row, which together have every n-gram once.
+    """
+    for a, b in slices(column, limit):
+        data, offsets = text_buffers(column[a:b])
+        if b - a > 1 or len(data) <= limit:
+            yield a, b, *char_ngrams(column[a:b], sizes, bits, lower, padded)
+            continue
+        at = 0
+        while at < len(data):
+            end = _boundary(data, min(at + limit, len(data)))
+            reach = end
+            for _ in range(max(sizes) - 1):
+                reach = _boundary(data, min(reach + 1, len(data)))
+            part = pa.array([data[at:reach].tobytes().decode("utf-8", "replace")], pa.large_string())
+            first = padded and at == 0
+            count = int(np.count_nonzero(data[at:end] & 0xC0 != 0x80)) + first
+            yield a, b, *char_ngrams(part, sizes, bits, lower, first, count)
+            at = end
+
+
+def _boundary(data: np.ndarray, at: int) -> int:
+    """The first place from at on where a character begins, or the end."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
 def distinct_by_doc(bucket: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Each bucket once for each text, ordered by text and bucket."""
     key = (doc.astype(U) << U(bits)) | bucket.astype(U)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm._arrays import char_ngrams, slices, sums
+from gristmill.llm._arrays import gram_parts, sums
 from gristmill.llm._frames import quoted
 
 SIZES = (1, 2, 3)
@@ -36,10 +36,9 @@ class Model:
     def scores(self, column: pa.Array) -> np.ndarray:
         """(texts, languages): log of prior times likelihood."""
         out = np.zeros((len(column), len(self.languages)))
-        for a, b in slices(column, 1_000_000):
-            bucket, doc = char_ngrams(column[a:b], SIZES, BITS, padded=True)
+        for a, b, bucket, doc in gram_parts(column, SIZES, BITS, padded=True):
             for k, row in enumerate(self.matrix):
-                out[a:b, k] = sums(row[bucket], doc, b - a)
+                out[a:b, k] += sums(row[bucket], doc, b - a)
         return out + self.prior
 
 
@@ -48,14 +47,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: dict[str, int] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
-        for a, b in slices(batch.column(1), 1_000_000):
-            bucket, doc = char_ngrams(batch.column(1)[a:b], SIZES, BITS, padded=True)
+        for name in langs:
+            rows[name] = rows.get(name, 0) + 1
+        for a, b, bucket, doc in gram_parts(batch.column(1), SIZES, BITS, padded=True):
             names = sorted(set(langs[a:b]))
             which = np.searchsorted(names, langs[a:b])
             for k, name in enumerate(names):
                 made = np.bincount(bucket[which[doc] == k], minlength=2**BITS)
                 counts[name] = counts.get(name, 0) + made
-                rows[name] = rows.get(name, 0) + int((which == k).sum())
     names = sorted(counts)
     yield pa.RecordBatch.from_arrays(
         [pa.array(names, pa.string()), pa.array([rows[n] for n in names], pa.int64()), pa.array([counts[n].astype(np.int64).tobytes() for n in names], pa.binary())],

@@ -9,7 +9,8 @@ texts and send them, combined, to the shard of their hash. A shard sums up its
 n-grams and writes them; for every n-gram it then sends one message to the
 n-gram without its first word (one more distinct continuation) and one to the
 n-gram without its last (its count, for the context's total and the numbers of
-words seen once, twice, more often). These go, again combined, to the shards of
+words seen once, twice, more often). An n-gram that starts with a begin mark
+keeps the count of its occurrences at every order. These go, again combined, to the shards of
 the next lower order, and so on down to single words. Every order is spread by
 hash, so frequent words load no task more than others. What is shuffled, and
 the model, grow with the corpus' distinct n-grams.
@@ -39,6 +40,10 @@ from gristmill.storage import mounted, new_folder, write_once
 ORDER = 5
 #: Bigrams that a counting task combines before it sends them on; of longer n-grams fewer, so that it holds as many words.
 COMBINE = 3_000_000
+#: Words of a text that are handled at a time.
+BLOCK = 300_000
+#: Bytes of text whose n-grams make up one shard, about; a task adds up one shard at a time.
+SHARD_BYTES = 16 << 20
 BEGIN = U(0xB5297A4D3F84D5A7)
 END = U(0x68E31DA41B56C4E9)
 _STEP = U(0xD6E8FEB86659FD93)
@@ -141,12 +146,14 @@ def _counter(order: int, shards: int):
                 end = np.ones(len(seq), bool)
                 for k in range(order - 1):
                     end[offsets[:-1] + k] = False
-                last = np.flatnonzero(end)
-                held.append([seq[last - order + 1 + k] for k in range(order)])
-                n += len(last)
-                if n * order >= 2 * COMBINE:
-                    n = 0
-                    yield flush()
+                ends = np.flatnonzero(end)
+                for at in range(0, len(ends), BLOCK):
+                    last = ends[at : at + BLOCK]
+                    held.append([seq[last - order + 1 + k] for k in range(order)])
+                    n += len(last)
+                    if n * order >= 2 * COMBINE:
+                        n = 0
+                        yield flush()
         if held:
             yield flush()
 
@@ -158,35 +165,42 @@ def _summer(level: int, order: int, shards: int, folder: str, least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = 1 if level == order else len(_FIELDS)
-        got: dict[int, list] = {}
-        for batch in batches:
+        now, parts = -1, []
+        for batch in batches:  # ordered by shard
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got.setdefault(shard, []).append(_unpacked(blob.as_py(), level, fields))
-        for shard in sorted(got):
-            parts = got.pop(shard)
-            columns = [np.concatenate([p[0][k] for p in parts]) for k in range(level)]
-            numbers = [np.concatenate([p[1][k] for p in parts]) for k in range(fields)]
-            del parts
-            key, columns, numbers = _add_up(gram_key(columns), columns, numbers)
-            count = numbers[0]
-            name = f"{folder}/{level}/{shard:06d}"
-            stored = count >= least if level == order else np.ones(len(key), bool)
-            write_once(f"{name}.key", key[stored].tobytes())
-            for field, n in zip(_FIELDS, numbers):
-                width = next(w for w in (1, 2, 4, 8) if not len(n) or int(n.max()) < 2 ** (8 * w))
-                write_once(f"{name}.{field}", n[stored].astype(f"<u{width}").tobytes())
-            of = [int((count == k).sum()) for k in (1, 2, 3, 4)] + [int((count > 0).sum()), int(count.sum())]
-            rows = [(-1, np.array(of, "<i8").tobytes())]
-            if level > 1:
-                real = count > 0
-                c, columns = count[real], [x[real] for x in columns]
-                zero, one = np.zeros(len(c), U), np.ones(len(c), U)
-                suffix = [one, zero, zero, zero, zero]
-                context = [zero, c, (c == U(1)).astype(U), (c == U(2)).astype(U), (c > U(2)).astype(U)]
-                both = [np.concatenate((a, b)) for a, b in zip(columns[1:], columns[:-1])]
-                merged = _add_up(gram_key(both), both, [np.concatenate((a, b)) for a, b in zip(suffix, context)])
-                rows += _sent(*merged, shards)
-            yield _batch(rows)
+                if shard != now and parts:
+                    yield added(now, parts, fields)
+                    parts = []
+                now = shard
+                parts.append(_unpacked(blob.as_py(), level, fields))
+        if parts:
+            yield added(now, parts, fields)
+
+    def added(shard: int, parts: list, fields: int) -> pa.RecordBatch:
+        columns = [np.concatenate([p[0][k] for p in parts]) for k in range(level)]
+        numbers = [np.concatenate([p[1][k] for p in parts]) for k in range(fields)]
+        parts.clear()
+        key, columns, numbers = _add_up(gram_key(columns), columns, numbers)
+        count = numbers[0]
+        name = f"{folder}/{level}/{shard:06d}"
+        stored = count >= least if level == order else np.ones(len(key), bool)
+        write_once(f"{name}.key", key[stored].tobytes())
+        for field, n in zip(_FIELDS, numbers):
+            width = next(w for w in (1, 2, 4, 8) if not len(n) or int(n.max()) < 2 ** (8 * w))
+            write_once(f"{name}.{field}", n[stored].astype(f"<u{width}").tobytes())
+        of = [int((count == k).sum()) for k in (1, 2, 3, 4)] + [int((count > 0).sum()), int(count.sum())]
+        rows = [(-1, np.array(of, "<i8").tobytes())]
+        if level > 1:
+            real = count > 0
+            c, columns = count[real], [x[real] for x in columns]
+            zero, one = np.zeros(len(c), U), np.ones(len(c), U)
+            # only begin marks come before an n-gram that starts with one, so its count is that of its occurrences
+            suffix = [np.where(columns[1] == BEGIN, c, one), zero, zero, zero, zero]
+            context = [zero, c, (c == U(1)).astype(U), (c == U(2)).astype(U), (c > U(2)).astype(U)]
+            both = [np.concatenate((a, b)) for a, b in zip(columns[1:], columns[:-1])]
+            merged = _add_up(gram_key(both), both, [np.concatenate((a, b)) for a, b in zip(suffix, context)])
+            rows += _sent(*merged, shards)
+        return _batch(rows)
 
     return run
 
@@ -212,12 +226,14 @@ def train(docs: DataFrame, order: int = ORDER, least: int = 1, text: str = "text
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "language-model")
     path = mounted(folder)
-    shards = parallelism(docs) * max(1, order - 1)  # long n-grams are more and larger: as much for a task as with bigrams
     texts = docs.select(F.col(quoted(text)).alias("text")).where("text IS NOT NULL")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = parallelism(docs) * max(1, order - 1)  # long n-grams are more and larger: as much for a task as with bigrams
+    shards = max(tasks, -(-size // SHARD_BYTES))
     records = texts.mapInArrow(_counter(order, shards), _SENT)
     levels = {}
     for level in range(order, 0, -1):
-        spread = records.where("shard >= 0").repartitionById(shards, F.col("shard"))
+        spread = records.where("shard >= 0").repartitionById(tasks, F.expr(f"cast(shard % {tasks} as int)")).sortWithinPartitions("shard")
         spread.mapInArrow(_summer(level, order, shards, path, least), _SENT).write.parquet(f"{folder}/sent-{level}")
         records = spark.read.schema(_SENT).parquet(f"{folder}/sent-{level}")
         shutil.rmtree(f"{path}/sent-{level + 1}", ignore_errors=True)  # read to the end
@@ -316,7 +332,8 @@ def score(docs: DataFrame, folder: str, text: str = "text", ident: str = "doc_id
                     real[offsets[:-1] + k] = False
                 last = np.flatnonzero(real)
                 tokens = lengths_of(offsets) - model.order + 1
-                logs.append(np.add.reduceat(model.log_probabilities(seq, last), np.cumsum(tokens) - tokens))
+                each = [model.log_probabilities(seq, last[at : at + BLOCK]) for at in range(0, len(last), BLOCK)]
+                logs.append(np.add.reduceat(np.concatenate(each), np.cumsum(tokens) - tokens))
                 n.append(tokens)
             tokens, log = np.concatenate(n), np.concatenate(logs)
             none = column.is_null().to_numpy(zero_copy_only=False)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._arrays import BYTES, U, char_ngrams, mix, owners, slices, sums, text_buffers, word_hashes
+from gristmill.llm._arrays import BYTES, U, gram_parts, mix, owners, slices, sums, text_buffers, word_hashes
 from gristmill.llm._frames import quoted
 from gristmill.llm._labelled import class_weights, labelled_sample
 
@@ -36,17 +36,25 @@ EPOCHS = 6
 RATE = 1.0
 
 
+def feature_parts(column: pa.Array, limit: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end, buckets, text indexes) of every feature occurrence; rows come in more than one part."""
+    shift = U(64 - BITS)
+    for a, b in slices(column, limit):
+        words, offsets = word_hashes(*text_buffers(column[a:b]), BYTES)
+        doc = owners(offsets)
+        for at in range(0, len(words), limit):
+            own, after, of = words[at : at + limit], words[at + 1 : at + limit + 1], doc[at : at + limit + 1]
+            same = of[1:] == of[:-1]
+            pairs = mix(own[: len(after)] * U(3) + after * U(0x9E3779B97F4A7C15))[same]
+            yield a, b, np.concatenate((own >> shift, pairs >> shift)).astype(np.uint32), np.concatenate((of[: len(own)], of[1:][same]))
+    for a, b, bucket, doc in gram_parts(column, SIZES, BITS, lower=False, padded=True, limit=limit):
+        yield a, b, bucket, doc.astype(np.int64)
+
+
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text index) of every feature occurrence of every text."""
-    data, offsets = text_buffers(column)
-    words, word_offsets = word_hashes(data, offsets, BYTES)
-    doc = owners(word_offsets)
-    same = doc[1:] == doc[:-1]
-    pairs = mix(words[:-1] * U(3) + words[1:] * U(0x9E3779B97F4A7C15))[same]
-    chars, char_doc = char_ngrams(column, SIZES, BITS, lower=False, padded=True)
-    shift = U(64 - BITS)
-    bucket = np.concatenate(((words >> shift).astype(np.uint32), (pairs >> shift).astype(np.uint32), chars))
-    return bucket, np.concatenate((doc, doc[1:][same], char_doc)).astype(np.int64)
+    parts = [(bucket, doc + a) for a, _, bucket, doc in feature_parts(column)]
+    return np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint32)]), np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
 
 
 @dataclass
@@ -56,13 +64,12 @@ class Model:
 
     def probability(self, column: pa.Array) -> np.ndarray:
         """Probability of class 1 of every text."""
-        out = np.zeros(len(column))
-        for a, b in slices(column, 1_000_000):
-            bucket, doc = features(column[a:b])
-            n = np.maximum(np.bincount(doc, minlength=b - a), 1)
-            z = (sums(self.table[bucket, 1], doc, b - a) - sums(self.table[bucket, 0], doc, b - a)) / n
-            out[a:b] = 1 / (1 + np.exp(-np.clip(z + self.shift, -50, 50)))
-        return out
+        n, z = np.zeros(len(column)), np.zeros(len(column))
+        odds = self.table[:, 1] - self.table[:, 0]
+        for a, b, bucket, doc in feature_parts(column):
+            n[a:b] += np.bincount(doc, minlength=b - a)
+            z[a:b] += sums(odds[bucket], doc, b - a)
+        return 1 / (1 + np.exp(-np.clip(z / np.maximum(n, 1) + self.shift, -50, 50)))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 11, epochs: int = EPOCHS, rate: float = RATE) -> Model:
@@ -94,6 +101,13 @@ def counted(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(distinct buckets, counts) of every text."""
     out = []
     for a, b in slices(column, 1_000_000):
+        if b - a == 1:  # perhaps long: counted in a table
+            count = np.zeros(2**BITS)
+            for _, _, bucket, _ in feature_parts(column[a:b]):
+                count += np.bincount(bucket, minlength=2**BITS)
+            bucket = np.flatnonzero(count).astype(np.uint32)
+            out.append((bucket, count[bucket].astype(np.float32)))
+            continue
         bucket, doc = features(column[a:b])
         key = np.sort((doc.astype(U) << U(BITS)) | bucket)
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._arrays import char_ngrams, distinct_by_doc, slices, sums
+from gristmill.llm._arrays import distinct_by_doc, gram_parts, slices, sums
 from gristmill.llm._frames import fresh, quoted
 from gristmill.llm._labelled import class_weights, labelled_sample
 
@@ -43,29 +43,57 @@ class Model:
     def scores(self, column: pa.Array) -> np.ndarray:
         """Log odds of toxicity of every text."""
         out = np.zeros(len(column))
-        for a, b in slices(column, 500_000):
-            bucket, doc = char_ngrams(column[a:b], SIZES, BITS, padded=True)
-            some = self.weights[bucket] != 0
-            bucket, doc = distinct_by_doc(bucket[some], doc[some], BITS)
+        used = self.weights != 0
+        for a, b, bucket, doc in distinct_parts(column, used):
             out[a:b] = sums(self.weights[bucket], doc, b - a)
         return out + self.bias
 
 
+def distinct_parts(column: pa.Array, used: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end, buckets, text indexes): each distinct bucket of every text, ordered; used leaves out the others.
+
+    A long text's buckets are marked in a table while its parts are read.
+    """
+    marks, row = None, -1
+    for a, b, bucket, doc in gram_parts(column, SIZES, BITS, padded=True):
+        if marks is not None and a != row:
+            yield row, row + 1, *_listed(marks)
+            marks = None
+        if used is not None:
+            some = used[bucket]
+            bucket, doc = bucket[some], doc[some]
+        if b - a > 1:
+            yield a, b, *distinct_by_doc(bucket, doc, BITS)
+            continue
+        if marks is None:
+            marks, row = np.zeros(2**BITS, bool), a
+        marks[bucket] = True
+    if marks is not None:
+        yield row, row + 1, *_listed(marks)
+
+
+def _listed(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    bucket = np.flatnonzero(marks).astype(np.uint32)
+    return bucket, np.zeros(len(bucket), np.int32)
+
+
 def features(column: pa.Array) -> list[np.ndarray]:
     """Distinct buckets of every text."""
     out = []
-    for a, b in slices(column, 500_000):
-        bucket, doc = distinct_by_doc(*char_ngrams(column[a:b], SIZES, BITS, padded=True), BITS)
+    for a, b, bucket, doc in distinct_parts(column):
         out += np.split(bucket, np.searchsorted(doc, np.arange(1, b - a)))
     return out
 
 
-def log_count_ratios(rows: list[np.ndarray], toxic: np.ndarray, smooth: float = 1.0, least: int = MIN_TEXTS, sizes: np.ndarray | None = None) -> np.ndarray:
+def log_count_ratios(
+    rows: list[np.ndarray], toxic: np.ndarray, smooth: float = 1.0, least: int = MIN_TEXTS, sizes: np.ndarray | None = None, features: int = 2**BITS
+) -> np.ndarray:
     """ln of a bucket's share in toxic texts over its share in clean ones; 0 for buckets of fewer than least texts.
 
-    sizes has the texts' numbers of buckets where rows lack those of fewer than least texts.
+    sizes has the texts' numbers of buckets where rows lack those of fewer than
+    least texts; features is the number of buckets that rows still have.
     """
-    counts, total = [np.zeros(2**BITS), np.zeros(2**BITS)], [smooth * 2**BITS] * 2
+    counts, total = [np.zeros(features), np.zeros(features)], [smooth * 2**BITS] * 2
     for k, (r, y) in enumerate(zip(rows, toxic)):
         counts[int(y)][r] += 1
         total[int(y)] += len(r) if sizes is None else sizes[k]
@@ -77,33 +105,29 @@ def log_count_ratios(rows: list[np.ndarray], toxic: np.ndarray, smooth: float =
 
 def _regression(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     """Logistic regression on the ratio-scaled features; weights already multiplied by the ratios."""
-    used = np.flatnonzero(ratio)
-    place = np.full(len(ratio), -1, np.int32)
-    place[used] = np.arange(len(used), dtype=np.int32)
-    scale = ratio[used].astype(np.float64)
-    own = [p[p >= 0] for p in (place[r] for r in rows)]
-    w, g2, bias, bias_g2 = np.zeros(len(used)), np.full(len(used), 1e-6), 0.0, 1e-6
+    scale = ratio.astype(np.float64)
+    w, g2, bias, bias_g2 = np.zeros(len(ratio)), np.full(len(ratio), 1e-6), 0.0, 1e-6
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 64):
             batch = order[at : at + 64]
-            index = np.concatenate([own[i] for i in batch])
-            doc = np.repeat(np.arange(len(batch)), [len(own[i]) for i in batch])
-            z = np.bincount(doc, w[index] * scale[index], len(batch)) + bias
+            index = np.concatenate([rows[i] for i in batch])
+            doc = np.repeat(np.arange(len(batch)), [len(rows[i]) for i in batch])
+            z = np.bincount(doc, (w * scale)[index], len(batch)) + bias
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]
-            g = np.bincount(index, error[doc], len(used)) * scale / len(batch) + PENALTY * w
+            g = np.bincount(index, error[doc], len(ratio)) * scale / len(batch) + PENALTY * w
             g2 += g * g
             w -= 0.05 * g / np.sqrt(g2)
             gb = error.mean()
             bias_g2 += gb * gb
             bias -= 0.05 * gb / np.sqrt(bias_g2)
-    out = np.zeros(len(ratio), np.float32)
-    out[used] = w * scale
-    return out, bias
+    return (w * scale).astype(np.float32), bias
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7, sizes: np.ndarray | None = None, weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+def fit(
+    rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7, sizes: np.ndarray | None = None, weights: tuple[float, float] = (1.0, 1.0), features: int = 2**BITS
+) -> Model:
     """Fit on four fifths, set the threshold on the rest, then fit on all with that threshold.
 
     The threshold is the middle of the scores at which the held-out rows are
@@ -113,13 +137,13 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7, sizes: np.ndar
     """
     y = np.asarray(toxic, np.float64)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(2**BITS, np.float32), 10.0 if len(y) and y[0] else -10.0, 0.0)
+        return Model(np.zeros(features, np.float32), 10.0 if len(y) and y[0] else -10.0, 0.0)
     held = np.arange(len(y)) % 5 == 0
     sizes = np.array([len(r) for r in rows]) if sizes is None else sizes
     part = [r for r, h in zip(rows, held) if not h]
     threshold = 0.0
     if len(set(y[held])) == 2 and len(set(y[~held])) == 2:
-        w, b = _regression(part, y[~held], log_count_ratios(part, y[~held], sizes=sizes[~held]), seed)
+        w, b = _regression(part, y[~held], log_count_ratios(part, y[~held], sizes=sizes[~held], features=features), seed)
         z = np.array([w[r].sum() + b for r, h in zip(rows, held) if h])
         order = np.argsort(-z)
         weight = np.where(y[held] == 1, weights[1], weights[0])
@@ -128,7 +152,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, seed: int = 7, sizes: np.ndar
         best = np.flatnonzero(f1 >= f1.max() - 1e-12)
         low = int(best[len(best) // 2])
         threshold = float((z[order][low] + z[order][min(low + 1, len(z) - 1)]) / 2)
-    w, b = _regression(rows, y, log_count_ratios(rows, y, sizes=sizes), seed)
+    w, b = _regression(rows, y, log_count_ratios(rows, y, sizes=sizes, features=features), seed)
     shift = float(np.log(weights[1] / weights[0]))
     return Model(w, b + shift, threshold + shift)
 
@@ -160,12 +184,21 @@ def _trained(table: pa.Table, weights: tuple[float, float]) -> pa.Table:
         row = _unpacked(v)
         texts[row] += 1
         sizes[i] = len(row)
-    common = texts >= MIN_TEXTS  # the others have no weight anyway
+    common = np.flatnonzero(texts >= MIN_TEXTS).astype(np.uint32)  # the others have no weight anyway
+    place = np.zeros(2**BITS, np.uint32)
+    place[common] = np.arange(len(common), dtype=np.uint32)
+    ends = np.zeros(len(views) + 1, np.int64)
     order = np.lexsort((y, h))
-    rows = [r[common[r]] for r in (_unpacked(views[i]) for i in order)]
-    model = fit(rows, y[order], sizes=sizes[order], weights=weights)
-    used = np.flatnonzero(model.weights).astype(np.uint32)
-    return pa.table({"used": [used.tobytes()], "weights": [model.weights[used].tobytes()], "bias": [model.bias], "threshold": [model.threshold]})
+    flat = np.empty(int(texts[common].sum()), np.uint32)  # all rows, one after the other: as numbers of common buckets
+    for k, i in enumerate(order):
+        row = _unpacked(views[i])
+        row = place[row[texts[row] >= MIN_TEXTS]]
+        ends[k + 1] = ends[k] + len(row)
+        flat[ends[k] : ends[k + 1]] = row
+    rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    model = fit(rows, y[order], sizes=sizes[order], weights=weights, features=len(common))
+    used = np.flatnonzero(model.weights)
+    return pa.table({"used": [common[used].tobytes()], "weights": [model.weights[used].tobytes()], "bias": [model.bias], "threshold": [model.threshold]})
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", ident: str = "doc_id") -> Model:

@@ -30,7 +30,9 @@ class Plain:
                 seq = ["<s>"] * (order - 1) + t.lower().split() + ["</s>"]
                 self.counts[order].update(tuple(seq[i - order + 1 : i + 1]) for i in range(order - 1, len(seq)))
         for n in range(order - 1, 0, -1):
-            self.counts[n] = Counter(g[1:] for g in self.counts[n + 1])
+            self.counts[n] = Counter()
+            for g, c in self.counts[n + 1].items():
+                self.counts[n][g[1:]] += c if g[1] == "<s>" else 1
         self.contexts = {n: defaultdict(Counter) for n in self.counts}
         for n, counts in self.counts.items():
             for g, c in counts.items():
@@ -85,6 +87,8 @@ def test_scores_equal_plain_model(spark, order, least):
 
 def test_combining_in_small_portions_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(L, "COMBINE", 50)
+    monkeypatch.setattr(L, "BLOCK", 7)
+    monkeypatch.setattr(L, "SHARD_BYTES", 200)
     docs = texts(9, 40)
     df = spark.createDataFrame(list(enumerate(docs)), SCHEMA).repartition(5)
     plain = Plain(docs, 2)
