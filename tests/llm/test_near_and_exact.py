@@ -73,11 +73,47 @@ def test_bucket_with_strangers_is_solved_exactly(spark):
     assert got == want
 
 
+def test_many_strangers_in_few_buckets(spark):
+    """Templates of one core: all meet in every bucket, none is alike, and pairs of edits among them are found."""
+    rng = random.Random(4)
+    core = prose(rng, 60)
+    texts = [" ".join(core + prose(rng, 60)) for _ in range(3000)]
+    texts += [t + " more" for t in texts[:40]]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    got = {r.doc_id: r.group_id for r in S.near_duplicate_groups(frame(spark, [texts[i] for i in order]), positions=8, bands=8).collect()}
+    place = {i: k for k, i in enumerate(order)}
+    assert got == union_find([(place[i], place[3000 + i]) for i in range(40)])
+
+
+def test_ids_with_several_texts_meet_through_each_of_them(spark):
+    rng = random.Random(3)
+    a, b = prose(rng, 60), prose(rng, 300)
+    texts = [" ".join(a), " ".join(b), " ".join(edited(rng, a, 0.03)), " ".join(edited(rng, b, 0.03)), "stranger here"]
+    got = {r.doc_id: r.group_id for r in S.near_duplicate_groups(frame(spark, texts, [5, 5, 7, 9, 11])).collect()}
+    assert got == {5: 5, 7: 5, 9: 5}
+    named = frame(spark, texts, [5, 5, 7, 9, 11]).selectExpr("concat('d', doc_id) AS doc_id", "text", "1 AS node", "2 AS hub")
+    assert {r.doc_id: r.group_id for r in S.near_duplicate_groups(named).collect()} == {"d5": "d5", "d7": "d5", "d9": "d5"}
+
+
+def test_rare_pairs_lose_no_pair(spark):
+    rng = random.Random(11)
+    core = rng.sample(range(1000), 30)
+    sets = [sorted({*rng.sample(core, rng.randrange(1, 30)), *rng.sample(range(1000, 1040), rng.randrange(0, 12))}) for _ in range(120)]
+    rows = [(i, i % 7, np.array(x, np.uint64).tobytes()) for i, x in enumerate(sets)]
+    members = spark.createDataFrame(rows, "node bigint, component bigint, shingles binary")
+    for t in (0.4, 0.6, 0.8):
+        got = {(r.a, r.b) for r in S._rare_pairs(members, t).collect()}
+        alike = {(a, b) for a, b in itertools.combinations(range(120), 2) if a % 7 != b % 7 and len({*sets[a]} & {*sets[b]}) >= t * len({*sets[a]} | {*sets[b]})}
+        assert alike <= got and all(a % 7 != b % 7 for a, b in got)
+
+
 def test_signature_is_superminhash_by_definition():
     """The batch routine equals the plain algorithm, element by element, step by step."""
     rng = np.random.default_rng(3)
     m = 16
     values = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    values[3] = values[2]
     offsets = np.array([0, 1, 1, 6, 40])
     got = S.signatures(values, offsets, m)
     mask = 2**64 - 1
