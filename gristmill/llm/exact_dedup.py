@@ -8,7 +8,7 @@ length are then compared byte by byte, chunk by chunk, so the result is exact.
 
 Shuffles: the fingerprints (16 bytes a row, combined before the shuffle), and
 the rows whose fingerprint occurs more than once. All other rows stay where
-they were read: a table of bits, at most FILTER_BITS of them, tells every task
+they were read: a table of bits (bounded in size) tells every task
 which fingerprints may be repeated, and only rows that pass it are sent. A
 fingerprint with many rows is compared in portions first, at most about the
 square root of its rows in each, and between the portions' distinct texts
@@ -25,7 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._arrays import mix, slices, text_buffers
+from gristmill.llm._arrays import slices, text_buffers
+from gristmill.llm._bits import bit_table, passing
 from gristmill.llm._frames import fresh, quoted
 from gristmill.storage import written
 
@@ -34,9 +35,6 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1566083941)
 #: Rows of one fingerprint that one task compares at first; the square root of all its rows if that is more.
 PORTION = 2000
-#: Most bits of the table of repeated fingerprints (64 MB); with more than some 100 million of these more rows pass it, and are sorted out later.
-FILTER_BITS = 1 << 29
-_PIECE = 1 << 16
 
 
 def _powers(base: int, prime: int, n: int) -> np.ndarray:
@@ -102,7 +100,7 @@ def _fingerprint_columns(column: pa.Array) -> tuple[pa.Array, pa.Array]:
     return pa.array(np.concatenate(marks), mask=none), pa.array(np.concatenate(sizes), mask=none)
 
 
-def _marker(text: str, keep: list[str], names: list[str], bits=None, passing: bool = True):
+def _marker(text: str, keep: list[str], names: list[str], bits=None, hits: bool = True):
     """Adds fingerprint and length to rows; with a table of bits only to those that pass it, or to the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,53 +110,13 @@ def _marker(text: str, keep: list[str], names: list[str], bits=None, passing: bo
             kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             out = pa.RecordBatch.from_arrays([*kept, mark, size], names=[*keep, *names])
             if bits is not None:
-                at = _places(mark.fill_null(0).to_numpy(), bits.value.size * 8)
-                hit = (bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                hit &= column.is_valid().to_numpy(zero_copy_only=False)
-                out = out.filter(pa.array(hit if passing else ~hit))
+                hit = passing(bits.value, mark.fill_null(0).to_numpy()) & column.is_valid().to_numpy(zero_copy_only=False)
+                out = out.filter(pa.array(hit if hits else ~hit))
             yield out
 
     return run
 
 
-def _places(mark: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(mark.astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
-
-
-def _setter(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(_places(batch.column(0).to_numpy(), bits))
-            piece = at // _PIECE
-            first = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1]))) if len(at) else np.zeros(0, np.int64)
-            made = [_bitmap(part % _PIECE).tobytes() for part in np.split(at, first[1:])] if len(at) else []
-            yield pa.RecordBatch.from_arrays([pa.array(piece[first], pa.int64()), pa.array(made, pa.binary())], names=["piece", "bits"])
-
-    return run
-
-
-def _bitmap(places: np.ndarray) -> np.ndarray:
-    solid = np.zeros(_PIECE, bool)
-    solid[places] = True
-    return np.packbits(solid, bitorder="little")
-
-
-def _united(key: tuple, table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("bits")]
-    return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
-
-
-def _repeated_bits(twice: DataFrame, mark: str, n: int) -> np.ndarray:
-    """Table of bits with those of the n repeated fingerprints set: 16 bits for each of them, FILTER_BITS in all at most."""
-    bits = min(FILTER_BITS, max(_PIECE, 1 << (16 * n).bit_length()))
-    pieces = twice.select(mark).mapInArrow(_setter(bits), "piece bigint, bits binary").groupBy("piece").applyInArrow(_united, "piece bigint, bits binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for r in pieces.toLocalIterator():  # at most bits / 8 bytes
-        at = r["piece"] * (_PIECE // 8)
-        out[at : at + _PIECE // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 def _same(a: memoryview, b: memoryview) -> bool:
     """Whether two texts are equal, read 64 KB at a time until the first difference."""
     return len(a) == len(b) and all(a[i : i + 65536] == b[i : i + 65536] for i in range(0, len(a), 65536))
@@ -232,7 +190,7 @@ def _marked(docs: DataFrame, text: str, ident: str, keep: list[str]):
     twice = written(
         narrow.where(F.col(mark).isNotNull()).groupBy(mark, size).agg(F.count("*").alias(rows)).where(F.col(rows) > 1), "fingerprints"
     )
-    bits = docs.sparkSession.sparkContext.broadcast(_repeated_bits(twice, mark, twice.count()))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_table(twice.select(mark), twice.count()))
     schema = ", ".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in keep) + f", {mark} bigint, {size} bigint"
     chosen = docs.select(*map(quoted, keep))
     passed = chosen.mapInArrow(_marker(t.name, keep, [mark, size], bits), schema).join(twice, [mark, size], "left")
