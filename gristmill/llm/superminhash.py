@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm._arrays import ALNUM, FOLDED, U, lengths_of, mix, owners, slices, text_buffers, windows, word_hashes
+from gristmill.llm._bits import bit_table, passing
 from gristmill.llm._frames import fresh, quoted
 from gristmill.operators.components import connected_components
 from gristmill.storage import written
@@ -128,11 +129,14 @@ def _sketcher(words: int, positions: int, bands: int):
     return run
 
 
-def _setter(words: int):
+def _setter(words: int, bits):
+    """Distinct shingles of the texts whose hash (first column) may be a chosen one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(0)):
-                values, offsets = shingles(batch.column(0)[a:b], words)
+            column = batch.column(1).filter(pa.array(passing(bits.value, batch.column(0).to_numpy())))
+            for a, b in slices(column):
+                values, offsets = shingles(column[a:b], words)
                 sets = [np.unique(values[x:y]).tobytes() for x, y in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes(values, offsets)), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
@@ -185,9 +189,10 @@ def near_duplicate_groups(
     spread = alike.select("node", F.explode("keys").alias("key"))
     hubs = spread.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
     buckets = written(spread.join(hubs, "key"), "buckets")  # a key's rows are never put into one, however many they are
-    needed = alike.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias("id"))
-    texts = named.join(needed.select("id").distinct(), "id", "left_semi").select("text")
-    sets = written(texts.mapInArrow(_setter(words), "node bigint, shingles binary").groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingles")
+    needed = written(alike.join(buckets.select("node").distinct(), "node", "left_semi").select(F.xxhash64("first").alias("h")).distinct(), "needed")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_table(needed, needed.count()))
+    texts = named.select(F.xxhash64("id").alias("h"), "text")  # they stay where they are read; those of more ids than needed do no harm
+    sets = written(texts.mapInArrow(_setter(words, bits), "node bigint, shingles binary").groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))

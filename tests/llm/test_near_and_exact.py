@@ -237,7 +237,7 @@ def test_exact_pairs_with_repeated_and_null_idents(spark, monkeypatch, portion):
 
 
 def test_full_table_of_bits_loses_no_row(spark, monkeypatch):
-    monkeypatch.setattr(X, "FILTER_BITS", X._PIECE)
+    monkeypatch.setattr("gristmill.llm._bits.MOST", 1 << 16)
     texts = [f"t{i}" for i in range(9000)] * 2 + [f"u{i}" for i in range(3000)]
     docs = frame(spark, texts).repartition(3)
     assert {(r.doc_id, r.duplicate_of) for r in X.exact_duplicates(docs).collect()} == {(i + 9000, i) for i in range(9000)}
