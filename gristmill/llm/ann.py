@@ -1,17 +1,25 @@
 """Nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-The tree grows level by level: all nodes of a level are split at once by
-Lloyd's iterations over the whole table, of which only sums of vectors come
-back to the driver. It stops at LEAF vectors a leaf, or at MAX_NODES nodes (a
-few ten MB to broadcast whatever the table's size; leaves then grow instead).
-
-Every row is a query. It walks the tree best bin first: a priority queue holds
-the nodes seen by their centre's distance, and the nearest is opened until
-enough leaves are visited. How many are enough is calibrated: for a sample of
-queries the true neighbours are found by brute force over the whole table, and
-the number of visits widens until the share of them in visited leaves reaches
-the target. Queries meet the vectors in tasks of sibling leaves: a query is
-sent once to each parent of leaves that it visits, with the list of them.
+The tree is fitted by one executor task on a bounded sample of the vectors
+(TRAIN_ROWS, those with the smallest hash of the id; fewer if they would take
+more than TRAIN_BYTES): every node of more vectors than a leaf may have is
+split into BRANCH parts by Lloyd's iterations, until there is a leaf for about
+every LEAF vectors of the whole table, or one for every FEWEST of the sample,
+whatever is less. Every vector of the table is then placed in its leaf, so the
+index has them all; leaves of a large table are larger.
+
+A query walks the tree best bin first: a priority queue holds the nodes seen by
+their centre's distance, and the nearest is opened until enough leaves are
+visited. How many are enough is calibrated: for a sample of queries the true
+neighbours are found by brute force over the whole table, and the number of
+visits widens until the share of them in visited leaves reaches the target.
+
+Queries meet the vectors in tasks of sibling leaves: a query is sent once to
+each parent of leaves that it visits, with the list of them. A parent's queries
+are cut into portions of QUERIES and its vectors into blocks of BLOCK, and each
+portion meets each block in a task of its own. So a leaf of a third of all
+vectors (copies of one, which no tree can tell apart) or a parent that all
+queries ask for takes more tasks, not larger ones.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +40,17 @@ from gristmill.storage import written
 K = 10
 BRANCH = 16
 LEAF = 256
-MAX_NODES = 65536
-ITERATIONS = 4
+ITERATIONS = 6
 RECALL = 0.95
+#: The tree is fitted on at most so many vectors and bytes of them; a leaf has FEWEST of them or more on average.
+TRAIN_ROWS = 1 << 18
+TRAIN_BYTES = 128 << 20
+FEWEST = 8
 #: Queries whose true neighbours calibrate the number of visits.
 CALIBRATION = 400
+#: Queries and vectors of one parent that one task compares.
+QUERIES = 4096
+BLOCK = 65536
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -51,6 +66,7 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Tree:
     centres: np.ndarray  # (nodes, dimension); node 0 is the root
     children: dict[int, np.ndarray] = field(default_factory=dict)
+    sizes: np.ndarray | None = None  # vectors of the table in every node, if it is a leaf
 
     def descend(self, x: np.ndarray) -> np.ndarray:
         """Leaf of every vector: always on to the nearest child."""
@@ -66,21 +82,21 @@ class Tree:
             todo = todo[inner]
         return at
 
-    def leaves(self, q: np.ndarray, visits: int | None = None) -> list[int]:
-        """The first leaves in best-bin-first order (all of them without visits)."""
-        queue, out = [(0.0, 0)], []
-        while queue and (visits is None or len(out) < visits):
+    def leaves(self, q: np.ndarray, visits: int | None = None, least: int = 0) -> list[int]:
+        """The first leaves in best-bin-first order (all of them without visits), more if these have fewer than least vectors."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (visits is None or len(out) < visits or held < least):
             _, node = heapq.heappop(queue)
             kids = self.children.get(node)
             if kids is None:
                 out.append(node)
+                held += 0 if self.sizes is None else int(self.sizes[node])
                 continue
             d = self.centres[kids] - q
             for distance, kid in zip(np.einsum("ij,ij->i", d, d).tolist(), kids.tolist()):
                 heapq.heappush(queue, (distance, kid))
         return out
 
-
     def parents(self) -> np.ndarray:
         """Parent of every node; the root's is itself."""
         out = np.zeros(len(self.centres), np.int64)
@@ -89,114 +105,80 @@ class Tree:
         return out
 
 
-def _seeds(tree, splitting: set[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            leaf = tree.value.descend(_matrix(batch.column(2)))
-            h = batch.column(0).to_numpy()
-            order = np.lexsort((h, leaf))
-            rank = np.arange(len(order)) - np.searchsorted(leaf[order], leaf[order])
-            pick = order[(rank < BRANCH) & np.isin(leaf[order], list(splitting))]
-            taken = pa.array(pick)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf[pick]), batch.column(0).take(taken), batch.column(1).take(taken), batch.column(2).take(taken)], names=["node", "h", "id", "vec"])
-
-    return run
-
-
-def _sums(tree):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = _matrix(batch.column(2))
-            leaf = tree.value.descend(x)
-            order = np.argsort(leaf, kind="stable")
-            nodes, starts = np.unique(leaf[order], return_index=True)
-            added = np.add.reduceat(x[order].astype(np.float64), starts)
-            for node, n, s in zip(nodes.tolist(), np.diff(np.append(starts, len(order))).tolist(), added):
-                have = total.setdefault(node, [0, 0.0])
-                have[0] += n
-                have[1] = have[1] + s
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int64()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1].tobytes() for v in total.values()], pa.binary())],
-                names=["node", "n", "sum"],
-            )
-
-    return run
-
-
-def _sum_up(key: tuple, table: pa.Table) -> pa.Table:
-    n = sum(table.column("n").to_pylist())
-    s = sum(np.frombuffer(b.as_py(), np.float64) for b in table.column("sum"))
-    return pa.table({"node": [key[0].as_py()], "n": [n], "sum": pa.array([s.tobytes()], pa.binary())})
-
-
-def build_tree(vectors: DataFrame, kind: str, dimension: int, leaf: int = LEAF) -> Tree:
-    """Tree over vectors (h, id, vec); h is any hash that spreads the ids."""
-    sc = vectors.sparkSession.sparkContext
-
-    def counts(tree: Tree) -> dict[int, tuple[int, np.ndarray]]:
-        shared = sc.broadcast(tree)
-        rows = vectors.mapInArrow(_sums(shared), "node bigint, n bigint, sum binary").groupBy("node").applyInArrow(_sum_up, "node bigint, n bigint, sum binary").collect()
-        shared.destroy()
-        return {r["node"]: (r["n"], np.frombuffer(r["sum"], np.float64) / r["n"]) for r in rows}
-
-    tree = Tree(np.zeros((1, dimension), np.float32))
-    sizes = {k: n for k, (n, _) in counts(tree).items()}
-    while True:
-        large = sorted((n for n in sizes if sizes[n] > leaf), key=lambda n: -sizes[n])
-        large = set(large[: max(0, (MAX_NODES - len(tree.centres)) // BRANCH)])
-        if not large:
-            return tree
-        shared = sc.broadcast(tree)
-        first = vectors.mapInArrow(_seeds(shared, large), f"node bigint, h bigint, id {kind}, vec array<float>")
-        order = Window.partitionBy("node").orderBy("h", "id")
-        found = first.withColumn("k", F.row_number().over(order)).where(F.col("k") <= BRANCH).select("node", "k", "vec").collect()
-        shared.destroy()
-        fresh: dict[int, list[np.ndarray]] = {}
-        for r in sorted(found, key=lambda r: (r["node"], r["k"])):
-            own = fresh.setdefault(r["node"], [])
-            v = np.array(r["vec"], np.float32)
-            if not any((v == o).all() for o in own):
-                own.append(v)
-        fresh = {n: own for n, own in fresh.items() if len(own) > 1}
-        if not fresh:
-            return tree
-        parents, new, at = {}, [], len(tree.centres)
-        for n, own in fresh.items():
-            parents[n] = np.arange(at, at + len(own))
-            at += len(own)
-            new += own
-        tree = Tree(np.concatenate((tree.centres, np.array(new, np.float32))), tree.children | parents)
-        for _ in range(ITERATIONS):
-            got = counts(tree)
-            for n, (_, mean) in got.items():
-                if n >= len(tree.centres) - len(new):
-                    tree.centres[n] = mean
-        got = counts(tree)
-        for n, kids in parents.items():
-            tree.children[n] = np.array([k for k in kids if k in got], np.int64)
-        sizes = {n: c for n, (c, _) in got.items() if n >= len(tree.centres) - len(new)}
+def grow(x: np.ndarray, most: int, branch: int = BRANCH, iterations: int = ITERATIONS) -> Tree:
+    """Tree over the rows of x, whose leaves have at most `most` rows unless these are all equal."""
+    centres, children = [x.mean(0) if len(x) else np.zeros(x.shape[1], np.float32)], {}
+    todo = [(0, np.arange(len(x)))]
+    while todo:
+        node, rows = todo.pop()
+        if len(rows) <= most:
+            continue
+        own = x[rows]
+        seeds = np.unique(own[np.linspace(0, len(own) - 1, 4 * branch).astype(int)], axis=0)
+        if len(seeds) < 2:
+            seeds = np.unique(own, axis=0)
+        k = min(branch, len(seeds), max(2, -(-len(rows) // max(1, most))))
+        if k < 2 or len(seeds) < 2:
+            continue
+        c = seeds[np.linspace(0, len(seeds) - 1, k).astype(int)].astype(np.float32)
+        for _ in range(iterations):
+            near = np.concatenate([_squared(own[a : a + 8192], c).argmin(1) for a in range(0, len(own), 8192)])
+            n = np.bincount(near, minlength=len(c))
+            order = np.argsort(near, kind="stable")
+            c = np.add.reduceat(own[order].astype(np.float64), np.cumsum(n[n > 0]) - n[n > 0])
+            c = (c / n[n > 0][:, None]).astype(np.float32)
+        near = np.concatenate([_squared(own[a : a + 8192], c).argmin(1) for a in range(0, len(own), 8192)])
+        kept = np.unique(near)
+        if len(kept) < 2:
+            continue
+        children[node] = np.arange(len(centres), len(centres) + len(kept))
+        for kid, part in zip(children[node].tolist(), kept.tolist()):
+            centres.append(c[part])
+            todo.append((kid, rows[near == part]))
+    return Tree(np.array(centres, np.float32), children)
+
+
+def build_tree(vectors: DataFrame, rows: int, dimension: int, leaf: int = LEAF) -> Tree:
+    """Tree for a table of so many rows (h, id, vec), fitted on a sample of it; h is any hash that spreads the ids."""
+    sample = min(rows, TRAIN_ROWS, max(1, TRAIN_BYTES // (4 * dimension)))
+    leaves = max(1, min(rows // leaf, sample // FEWEST))
+    if leaves < 2:
+        return Tree(np.zeros((1, dimension), np.float32))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), _matrix(b.column(1))) for b in batches if len(b)]
+        if parts:
+            x = np.concatenate([p[1] for p in parts])[np.argsort(np.concatenate([p[0] for p in parts]), kind="stable")]
+            tree = grow(x, max(1, len(x) // leaves))
+            nodes = np.repeat(np.array(list(tree.children), np.int64), [len(k) for k in tree.children.values()])
+            kids = np.concatenate([*tree.children.values(), np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (tree.centres, nodes, kids)], names=["centres", "nodes", "kids"])
+
+    chosen = vectors.orderBy("h", "id").limit(sample).select("h", "vec")
+    (got,) = chosen.coalesce(1).mapInArrow(fitted, "centres binary, nodes binary, kids binary").collect()  # at most 1 / FEWEST of the sample's bytes and a little more
+    nodes, kids = np.frombuffer(got["nodes"], np.int64), np.frombuffer(got["kids"], np.int64)
+    first = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1]))) if len(nodes) else np.zeros(0, np.int64)
+    return Tree(np.frombuffer(got["centres"], np.float32).reshape(-1, dimension), dict(zip(nodes[first].tolist(), np.split(kids, first[1:]))) if len(nodes) else {})
 
 
 def _placer(tree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parents = tree.value.parents()
         for batch in batches:
             if len(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(tree.value.descend(_matrix(batch.column(2)))), batch.column(1), batch.column(2)], names=["leaf", "id", "vec"])
+                leaf = tree.value.descend(_matrix(batch.column(2)))
+                yield pa.RecordBatch.from_arrays([pa.array(parents[leaf]), pa.array(leaf), *batch.columns], names=["parent", "leaf", "h", "id", "vec"])
 
     return run
 
 
 def _nearest(q: np.ndarray, own, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For every query the positions in x of its k nearest of another id, and their squared distances; ties by id."""
-    for a in range(0, len(q), 512):
-        d = _squared(q[a : a + 512].astype(np.float64), x.astype(np.float64))
-        d[own[a : a + 512][:, None] == ids] = np.inf
+    step = max(1, (4 << 20) // max(1, len(x)))
+    x = x.astype(np.float64)
+    for a in range(0, len(q), step):
+        d = _squared(q[a : a + step].astype(np.float64), x)
+        d[own[a : a + step][:, None] == ids] = np.inf
         for row in d:
             pick = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
             pick = pick[np.isfinite(row[pick])]
@@ -210,7 +192,7 @@ def _true_neighbours(queries, k: int):
         for batch in batches:
             if not len(batch):
                 continue
-            ids = np.array(batch.column(1).to_pylist(), own.dtype)
+            ids = np.array(batch.column(1).to_pylist())
             leaf = batch.column(0).to_numpy()
             n, rows, distances = [], [], []
             for i, (pick, d) in enumerate(_nearest(q, own, _matrix(batch.column(2)), ids, k)):
@@ -223,15 +205,14 @@ def _true_neighbours(queries, k: int):
     return run
 
 
-def calibrate(placed: DataFrame, tree: Tree, kind: str, k: int = K, recall: float = RECALL, sample: int = CALIBRATION) -> int:
+def calibrate(queries: DataFrame, placed: DataFrame, tree: Tree, kind: str, k: int = K, recall: float = RECALL, sample: int = CALIBRATION) -> int:
     """Leaf visits at which a sample of queries finds the share `recall` of its true neighbours."""
-    rows = placed.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "vec").collect()
-    own = np.array([r["id"] for r in rows])
-    q = np.array([r["vec"] for r in rows], np.float32)
+    rows = queries.orderBy("h", "id").limit(sample).select("id", "vec").toArrow()
     if not len(rows):
         return 1
+    own, q = np.array(rows.column("id").to_pylist()), _matrix(rows.column("vec").combine_chunks())
     shared = placed.sparkSession.sparkContext.broadcast((own, q))
-    near = placed.mapInArrow(_true_neighbours(shared, k), f"q int, id {kind}, leaf bigint, d double")
+    near = placed.select("leaf", "id", "vec").mapInArrow(_true_neighbours(shared, k), f"q int, id {kind}, leaf bigint, d double")
     order = Window.partitionBy("q").orderBy("d", "id")
     truth = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "leaf").collect()
     place = [{leaf: i for i, leaf in enumerate(tree.leaves(v))} for v in q]
@@ -242,7 +223,7 @@ def calibrate(placed: DataFrame, tree: Tree, kind: str, k: int = K, recall: floa
     return visits
 
 
-def _router(tree, visits: int):
+def _router(tree, visits: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parents = tree.value.parents()
         for batch in batches:
@@ -250,7 +231,7 @@ def _router(tree, visits: int):
                 continue
             rows, groups, leaves, ends = [], [], [], [0]
             for i, v in enumerate(_matrix(batch.column(2))):
-                own = np.array(tree.value.leaves(v, visits), np.int64)
+                own = np.array(tree.value.leaves(v, visits, k + 1), np.int64)
                 own = own[np.argsort(parents[own], kind="stable")]
                 start = np.flatnonzero(np.concatenate(([True], parents[own][1:] != parents[own][:-1])))
                 rows += [i] * len(start)
@@ -259,16 +240,7 @@ def _router(tree, visits: int):
                 ends += (ends[-1] + np.append(start[1:], len(own))).tolist()
             taken = pa.array(np.array(rows, np.int64))
             listed = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(leaves)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(groups, np.int64)), batch.column(1).take(taken), batch.column(2).take(taken), listed], names=["parent", "id", "vec", "leaves"])
-
-    return run
-
-
-def _with_parent(tree):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parents = tree.value.parents()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(parents[batch.column(0).to_numpy()]), *batch.columns], names=["parent", "leaf", "id", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(groups, np.int64)), *(batch.column(c).take(taken) for c in range(3)), listed], names=["parent", "h", "id", "vec", "leaves"])
 
     return run
 
@@ -282,7 +254,7 @@ def _searcher(k: int):
             x, q = (_matrix(t.column("vec").combine_chunks()) for t in (vectors, queries))
             leaf = vectors.column("leaf").to_numpy()
             listed = queries.column("leaves").combine_chunks()
-            asked, ends = listed.flatten().to_numpy(), np.cumsum(listed.value_lengths().to_numpy())
+            asked, ends = listed.flatten().to_numpy(), np.cumsum(pc.list_value_length(listed).to_numpy())
             alike: dict[bytes, list[int]] = {}  # queries that visit the same leaves here are answered together
             for i, (start, end) in enumerate(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())):
                 alike.setdefault(np.sort(asked[start:end]).tobytes(), []).append(i)
@@ -298,30 +270,48 @@ def _searcher(k: int):
     return run
 
 
-def nearest_neighbours(table: DataFrame, k: int = K, recall: float = RECALL, ident: str = "vec_id", vector: str = "embedding", leaf: int = LEAF) -> DataFrame:
-    """(vec_id, neighbour_id, rank, distance): the k nearest other vectors of every vector, by Euclidean distance.
+def nearest_neighbours(
+    table: DataFrame, queries: str | None = None, k: int = K, recall: float = RECALL, ident: str = "vec_id", vector: str = "embedding", leaf: int = LEAF
+) -> DataFrame:
+    """(vec_id, neighbour_id, rank, distance): the k nearest other vectors, by Euclidean distance, of every vector that is a query.
 
-    Approximate: of the true neighbours about the share `recall` is found.
-    Equal distances rank by id. Left out are rows with null id or vector, with
-    null or non-finite elements, or of another length than most rows have; of
-    rows with the same id the smallest vector counts. With fewer than k + 1
-    vectors the lists are shorter, with one or none the result is empty.
+    queries: SQL condition on the table's columns that query rows fulfil; None
+    makes every row a query. All rows are searched. Approximate: of the true
+    neighbours about the share `recall` is found. Equal distances rank by id.
+    Left out are rows with null id or vector, with null or non-finite elements,
+    or of another length than most rows have; of rows with the same id the
+    smallest vector counts, and one query row makes the id a query. With fewer
+    than k + 1 vectors the lists are shorter, with one or none the result is
+    empty.
     """
     kind = table.schema[ident].dataType.simpleString()
-    usable = table.select(F.col(quoted(ident)).alias("id"), F.col(quoted(vector)).cast("array<float>").alias("vec")).where(
+    asks = F.lit(True) if queries is None else F.coalesce(F.expr(queries), F.lit(False))
+    usable = table.select(F.col(quoted(ident)).alias("id"), F.col(quoted(vector)).cast("array<float>").alias("vec"), asks.alias("asks")).where(
         "id IS NOT NULL AND vec IS NOT NULL AND forall(vec, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < 1e18)"
     )
     sizes = usable.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dimension = max(1, sizes[0]["d"]) if sizes else 1
-    distinct = usable.where(F.size("vec") == dimension).groupBy("id").agg(F.min("vec").alias("vec"))
-    vectors = written(distinct.select(F.xxhash64("id").alias("h"), "id", "vec"), "vectors")
-    tree = build_tree(vectors, kind, dimension, leaf)
+    distinct = usable.where(F.size("vec") == dimension).groupBy("id").agg(F.min("vec").alias("vec"), F.max("asks").alias("asks"))
+    vectors = written(distinct.select(F.xxhash64("id").alias("h"), "id", "vec", "asks"), "vectors")
+    tree = build_tree(vectors, vectors.count(), dimension, leaf)
     shared = table.sparkSession.sparkContext.broadcast(tree)
-    placed = written(vectors.mapInArrow(_placer(shared), f"leaf bigint, id {kind}, vec array<float>"), "placed")
-    visits = calibrate(placed, tree, kind, k, recall)
-    routed = placed.mapInArrow(_router(shared, visits), f"parent bigint, id {kind}, vec array<float>, leaves array<bigint>")
-    held = placed.mapInArrow(_with_parent(shared), f"parent bigint, leaf bigint, id {kind}, vec array<float>")
-    met = routed.groupBy("parent").cogroup(held.groupBy("parent")).applyInArrow(_searcher(k), f"id {kind}, near array<struct<d: double, id: {kind}>>")
+    placed = written(vectors.select("h", "id", "vec").mapInArrow(_placer(shared), f"parent bigint, leaf bigint, h bigint, id {kind}, vec array<float>"), "placed")
+    tree.sizes = np.zeros(len(tree.centres), np.int64)
+    for r in placed.groupBy("leaf").count().toLocalIterator():  # at most as many as nodes
+        tree.sizes[r["leaf"]] = r["count"]
+    sized = table.sparkSession.sparkContext.broadcast(tree)
+    asking = vectors.where("asks").select("h", "id", "vec")
+    visits = calibrate(asking, placed, tree, kind, k, recall)
+    routed = written(asking.mapInArrow(_router(sized, visits, k), f"parent bigint, h bigint, id {kind}, vec array<float>, leaves array<bigint>"), "routed")
+    blocks = placed.groupBy("parent").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    portions = routed.groupBy("parent").agg(F.ceil(F.count("*") / QUERIES).alias("portions"))
+    cuts = written(blocks.join(portions, "parent"), "cuts")  # a row a parent
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda c: F.pmod(F.col("h"), F.col(c))
+    asked = routed.join(cuts, "parent").select("parent", part("portions").alias("portion"), every("blocks").alias("block"), "id", "vec", "leaves")
+    held = placed.join(cuts, "parent").select("parent", every("portions").alias("portion"), part("blocks").alias("block"), "leaf", "id", "vec")
+    keys = ("parent", "portion", "block")
+    met = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_searcher(k), f"id {kind}, near array<struct<d: double, id: {kind}>>")
     best = met.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
     return best.select(F.col("id").alias("vec_id"), F.posexplode("near").alias("pos", "n")).select(
         "vec_id", F.col("n.id").alias("neighbour_id"), (F.col("pos") + 1).alias("rank"), F.sqrt("n.d").alias("distance")
