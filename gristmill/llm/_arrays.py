@@ -119,6 +119,13 @@ def owners(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), lengths_of(offsets))
 
 
+def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of CHUNK elements, and the index of the text that each of them belongs to."""
+    for a in range(0, int(offsets[-1]), CHUNK):
+        b = min(a + CHUNK, int(offsets[-1]))
+        yield a, b, owners(np.clip(offsets, a, b))
+
+
 def windows(values: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every run of k values inside one text, with each text's offsets into them.
 
@@ -128,14 +135,17 @@ def windows(values: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
     short = counts < k
     made = np.where(short, np.minimum(counts, 1), counts - k + 1)
     out_offsets = np.concatenate(([0], np.cumsum(made)))
-    first = np.repeat(offsets[:-1] - out_offsets[:-1], made) + np.arange(out_offsets[-1])
-    out = np.zeros(len(first), U)
-    last = np.repeat(offsets[1:], made)
-    for j in range(k):
-        at = first + j
-        inside = at < last
-        out = np.where(inside, out * STEP + values[np.minimum(at, max(len(values) - 1, 0))], out)
-    return mix(out), out_offsets
+    out = np.zeros(out_offsets[-1], U)
+    for a, b, text in blocks(out_offsets):
+        first = np.arange(a, b) + (offsets[:-1] - out_offsets[:-1])[text]
+        last = offsets[1:][text]
+        own = out[a:b]
+        for j in range(k):
+            at = first + j
+            inside = at < last
+            own[inside] = own[inside] * STEP + values[at[inside]]
+        own[:] = mix(own)
+    return out, out_offsets
 
 
 def char_ngrams(

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm._arrays import ALNUM, FOLDED, U, lengths_of, mix, owners, slices, text_buffers, windows, word_hashes
+from gristmill.llm._arrays import ALNUM, FOLDED, U, blocks, lengths_of, mix, slices, text_buffers, windows, word_hashes
 from gristmill.llm._bits import bit_table, passing
 from gristmill.llm._frames import fresh, quoted
 from gristmill.operators.components import connected_components
@@ -53,10 +53,10 @@ def signatures(values: np.ndarray, offsets: np.ndarray, positions: int = POSITIO
     n = len(offsets) - 1
     out = np.full((n, positions), _EMPTY, U)
     flat = out.reshape(-1)
-    doc = owners(offsets)
-    step0 = mix(values + U(0x632BE59BD9B4E019))
-    place = ((step0 >> U(32)) * U(positions)) >> U(32)
-    np.minimum.at(flat, doc * positions + place.astype(np.int64), mix(step0) & _LOW56)
+    for a, b, doc in blocks(offsets):
+        step0 = mix(values[a:b] + U(0x632BE59BD9B4E019))
+        place = ((step0 >> U(32)) * U(positions)) >> U(32)
+        np.minimum.at(flat, doc * positions + place.astype(np.int64), mix(step0) & _LOW56)
     open_doc = (out == _EMPTY).any(1) & (lengths_of(offsets) > 0)
     chosen = np.flatnonzero(open_doc)
     values, offsets = _distinct(values, offsets, chosen)
@@ -107,8 +107,10 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def nodes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Number of every text's shingles, the same for the same shingles in any order."""
-    total = np.concatenate(([U(0)], np.cumsum(mix(values ^ U(0x5851F42D4C957F2D)), dtype=U)))
-    return mix((total[offsets[1:]] - total[offsets[:-1]]) ^ mix(lengths_of(offsets).astype(U))).astype(np.int64)
+    total = np.zeros(len(offsets) - 1, U)
+    for a, b, doc in blocks(offsets):
+        np.add.at(total, doc, mix(values[a:b] ^ U(0x5851F42D4C957F2D)))
+    return mix(total ^ mix(lengths_of(offsets).astype(U))).astype(np.int64)
 
 
 def _sketcher(words: int, positions: int, bands: int):
