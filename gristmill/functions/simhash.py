@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from itertools import combinations
+from math import ceil, log2
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,18 +31,36 @@ def simhash(df: DataFrame, ident: str, text: str, weighted: bool = False) -> Dat
     """(id, simhash): 32-bit simhash of every row with a text, as a non-negative bigint.
 
     A bit is 1 if more shingles have it than don't. Weighted: the i-th of n
-    shingles counts n - i, so the text's beginning counts most. All shingles of
-    a text are tallied by 32 sums, combined before the shuffle; no text is moved.
+    shingles counts n - i, so the text's beginning counts most. Rows are tallied
+    where they are read, a batch at a time; nothing is shuffled.
     """
-    parts = df.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.posexplode(shingles(F.col(text))).alias("i", "s"), F.size(shingles(F.col(text))).alias("n"))
-    weight = (F.col("n") - F.col("i")).cast("bigint") if weighted else F.lit(1).cast("bigint")
-    hashed = parts.select("id", shingle_hash(F.col("s")).alias("h"), weight.alias("w"))
-    tallies = [F.sum(F.when(F.col("h").bitwiseAND(F.lit(1 << b)) != 0, F.col("w")).otherwise(-F.col("w"))).alias(f"b{b}") for b in range(BITS)]
-    total = None
-    for b in range(BITS):
-        bit = F.when(F.col(f"b{b}") > 0, F.lit(1 << b).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        total = bit if total is None else total + bit
-    return hashed.groupBy("id").agg(*tallies).select("id", total.alias("simhash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = np.zeros(len(batch), np.int64)
+            for i, t in enumerate(batch.column(1)):
+                made[i] = _of_text(t.as_py(), weighted)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["id", "simhash"])
+
+    kind = df.schema[ident].dataType.simpleString()
+    return df.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, simhash bigint")
+
+
+def _of_text(text: str, weighted: bool) -> int:
+    words = text.split(" ")
+    n = max(1, len(words) - 1)
+    tally = np.zeros(BITS, np.int64)
+    for at in range(0, n, 1 << 16):  # shingles of a long text, a part at a time
+        end = min(n, at + (1 << 16))
+        parts = [text] if len(words) < 2 else [f"{a} {b}" for a, b in zip(words[at:end], words[at + 1 : end + 1])]
+        heads = np.frombuffer(b"".join([md5(x.encode(), usedforsecurity=False).digest()[:4] for x in parts]), np.uint8)
+        bits = np.unpackbits(heads.reshape(-1, 4), axis=1)
+        if weighted:
+            weight = n - np.arange(at, end)
+            tally += 2 * (weight @ bits.astype(np.int64)) - weight.sum()
+        else:
+            tally += 2 * bits.sum(0, dtype=np.int64) - len(bits)
+    return int("".join("1" if x > 0 else "0" for x in tally), 2)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -54,16 +77,27 @@ def masks(bits: int = BITS) -> list[int]:
     return [0, *(1 << i for i in range(bits)), *((1 << i) | (1 << j) for i in range(bits) for j in range(i))]
 
 
-def near_pairs(hashes: DataFrame, distance: int = 4, ident: str = "id", simhash: str = "simhash", agree: int = 3) -> DataFrame:
+def near_pairs(hashes: DataFrame, distance: int = 4, ident: str = "id", simhash: str = "simhash", agree: int | None = None, stars: bool = False) -> DataFrame:
     """(a, b, distance): pairs of different ids, a < b, whose hashes differ in at most so many bits.
 
     By the pigeonhole principle two such hashes agree in at least `agree` of
     distance + agree blocks of bits, so each hash is sent to a bucket for every
-    choice of so many blocks (by default 35 buckets of about 14 bits; the 529
+    choice of so many blocks (with agree 3, 35 buckets of about 14 bits; the 529
     masks of at most two bits do the same with 15 times the rows). A larger
-    agree makes more rows and smaller buckets. Equal hashes are joined once.
+    agree makes more rows and smaller buckets: by default it is the least of 3
+    to 8 at which a bucket has some 64 of the distinct hashes. With stars, rows
+    of equal hashes are paired with the one of least id only, which is enough
+    for components.
     """
+    if stars:
+        hashes = hashes.select(F.col(ident).alias("id"), F.col(simhash).alias("h"))
+        heads = hashes.groupBy("h").agg(F.min("id").alias("id"))
+        spokes = hashes.join(heads.select("h", F.col("id").alias("a")), "h").where("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+        return near_pairs(heads, distance, "id", "h", agree).unionAll(spokes)
     distinct = hashes.select(F.col(simhash).alias("h")).distinct()
+    if agree is None:
+        bits = max(0, ceil(log2(max(1, distinct.count()) / 64)))
+        agree = next((a for a in range(3, 8) if BITS * a // (distance + a) >= bits), 8)
     n = distance + agree
     cuts = [round(k * BITS / n) for k in range(n + 1)]
     keep = [((1 << hi) - (1 << lo)) for lo, hi in zip(cuts, cuts[1:])]
@@ -77,3 +111,9 @@ def near_pairs(hashes: DataFrame, distance: int = 4, ident: str = "id", simhash:
     right = hashes.select(F.col(ident).alias("q"), F.col(simhash).alias("h"))
     met = far.join(left, "g").join(right, "h").where((F.col("g") != F.col("h")) | (F.col("p") < F.col("q")))
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), hamming(F.col("g"), F.col("h")).alias("distance")).where("a <> b")
+
+
+def near_hash(hashes: DataFrame, wanted: int, distance: int = 4, ident: str = "id", simhash: str = "simhash") -> DataFrame:
+    """(id, distance): rows whose hash differs from a given one in at most so many bits; one scan."""
+    d = hamming(F.col(simhash), F.lit(wanted).cast("bigint"))
+    return hashes.select(F.col(ident).alias("id"), d.alias("distance")).where(F.col("distance") <= distance)

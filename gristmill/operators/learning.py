@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.clustering import KMeans
@@ -66,16 +67,21 @@ def embed(df: DataFrame, ident: str, text: str, size: int = 256, seed: int = 1)
 
     @F.pandas_udf("array<float>")
     def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(t):
-            v = np.zeros(size, np.float32)
-            for h, n in zip(*np.unique(np.array(t if t is not None else [], np.int64), return_counts=True)):
-                r = np.random.default_rng(int(h) & (2**63 - 1))
-                np.add.at(v, r.integers(0, size, count), r.choice(np.array([-1.0, 1.0], np.float32), count) * np.float32(np.sqrt(n)))
-            norm = np.linalg.norm(v)
-            return v / norm if norm else v
-
         for s in batches:
-            yield s.map(one)
+            sizes = np.array([0 if t is None else len(t) for t in s], np.int64)
+            doc = np.repeat(np.arange(len(s)), sizes)
+            h = np.concatenate([np.asarray(t, np.int64) for t in s if t is not None and len(t)] or [np.zeros(0, np.int64)])
+            order = np.lexsort((h, doc))
+            h, doc = h[order], doc[order]
+            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
+            weight = np.sqrt(np.diff(np.append(first, len(h)))).astype(np.float32)
+            own, of = h[first].view(np.uint64), doc[first]
+            v = np.zeros((len(s), size), np.float32)
+            for k in range(count):  # place and sign from different bits of a product with an odd number
+                x = (own ^ (own >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 0x1000003D2 * k)
+                np.add.at(v, (of, ((x >> np.uint64(20)) % np.uint64(size)).astype(np.int64)), np.where(x >> np.uint64(63), weight, -weight))
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            yield pd.Series(list(v / np.where(norm > 0, norm, 1)))
 
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     hashes = F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.xxhash64(F.lit(seed), w))
@@ -120,13 +126,71 @@ def analogy(model, plus: list[str], minus: list[str], n: int = 5) -> DataFrame:
     return model.findSynonyms(Vectors.dense(target), n + len(plus) + len(minus)).where(~F.col("word").isin(*plus, *minus)).limit(n)
 
 
+def most_similar(vectors: DataFrame, queries: DataFrame, n: int = 5, ident: str = "word", vector: str = "vector", block: int = 8192) -> DataFrame:
+    """(src, dst, similarity): for each of queries' rows the n others of vectors with the largest positive cosine, ties by dst.
+
+    Both have the ident and the vector (an array of numbers, equally long).
+    Vectors and queries are cut into blocks by a hash; each block of queries
+    meets each block of vectors in one task, as a product of matrices, and sends
+    on n rows a query.
+    """
+    kind = vectors.schema[ident].dataType.simpleString()
+    h, chosen = F.xxhash64(ident), [F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v")]
+    cut = lambda df: max(1, -(-df.count() // block))
+    q, b = cut(queries), cut(vectors)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    asked = queries.select(F.pmod(h, F.lit(q)).cast("int").alias("part"), every(b).alias("block"), *chosen)
+    held = vectors.select(every(q).alias("part"), F.pmod(h, F.lit(b)).cast("int").alias("block"), *chosen)
+
+    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        src, dst, found = [], [], []
+        if len(left) and len(right):
+            own, ids = np.array(left.column("id").to_pylist()), np.array(right.column("id").to_pylist())
+            unit = lambda t: (lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))(np.stack(t.column("v").to_numpy()))
+            y = unit(right)
+            x = unit(left)
+            for at in range(0, len(own), 512):
+                d = x[at : at + 512] @ y.T
+                d[own[at : at + 512][:, None] == ids] = 0
+                for i, row in enumerate(d):
+                    pick = np.flatnonzero((row > 0) & (row >= (np.partition(row, -n)[-n] if len(row) > n else 0)))
+                    pick = pick[np.lexsort((ids[pick], -row[pick]))][:n]
+                    src += [own[at + i].item()] * len(pick)
+                    dst += ids[pick].tolist()
+                    found += row[pick].tolist()
+        to = left.schema.field("id").type
+        return pa.table({"src": pa.array(src, to), "dst": pa.array(dst, to), "similarity": pa.array(found, pa.float64())})
+
+    met = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(search, f"src {kind}, dst {kind}, similarity double")
+    order = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
+    return met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
+
+
 def synonym_graph(vectors: DataFrame, words: DataFrame, n: int = 5) -> DataFrame:
     """(src, dst, weight): each of words' n nearest others by cosine, weights summing to 1. words has word."""
     own = vectors.join(words.select("word").distinct(), "word", "left_semi")
-    met = own.select(F.col("word").alias("src"), F.col("vector").alias("a")).crossJoin(vectors.select(F.col("word").alias("dst"), F.col("vector").alias("b"))).where("src <> dst")
-    scored = met.select("src", "dst", cosine(F.col("a"), F.col("b")).alias("similarity")).where("similarity > 0")
-    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "dst"))).where(F.col("r") <= n)
-    return ranked.select("src", "dst", (F.col("similarity") / F.sum("similarity").over(Window.partitionBy("src"))).alias("weight"))
+    found = most_similar(vectors, own, n)
+    return found.select("src", "dst", (F.col("similarity") / F.sum("similarity").over(Window.partitionBy("src"))).alias("weight"))
+
+
+def split_by_hash(df: DataFrame, key: str, share: float = 0.6, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Two parts of df, about `share` of the keys in the first; the same in every run."""
+    first = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10_000)) < F.lit(round(share * 10_000))
+    return df.where(first), df.where(~first)
+
+
+def predict_direction(weeks: DataFrame, key: str = "common_friday", text: str = "text", label: str = "direction", share: float = 0.6, features: int = 10_000):
+    """(model, predictions of the held-out weeks, accuracy) of a naive Bayes model of hashed, IDF-weighted words.
+
+    weeks has a text and a label of 0.0 or 1.0 for every key; about `share` of
+    the keys are trained on. Accuracy is null if no week is held out.
+    """
+    known = weeks.where(F.col(text).isNotNull() & F.col(label).isNotNull())
+    fit, held = split_by_hash(known, key, share)
+    stages = [Tokenizer(inputCol=text, outputCol="_words"), HashingTF(inputCol="_words", outputCol="_counts", numFeatures=features), IDF(inputCol="_counts", outputCol="_scaled"), NaiveBayes(featuresCol="_scaled", labelCol=label)]
+    model = Pipeline(stages=stages).fit(fit)
+    made = model.transform(held).select(*weeks.columns, "prediction")
+    return model, made, made.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
 
 
 def anchor_scores(texts: DataFrame, ident: str, words: str, vectors: DataFrame, anchors: DataFrame) -> DataFrame:

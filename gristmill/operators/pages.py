@@ -21,6 +21,12 @@ def raw_title(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(found, r"\s+", " ")), F.lit(""))
 
 
+def raw_meta(html: Column, name: str) -> Column:
+    """Content of the first meta element of a name or property, in double quotes; null without one. Stays within the JVM."""
+    found = F.regexp_extract(html, rf'(?i)<meta\s+(?:name|property)="{name}"\s+content="([^"]*)"', 1)
+    return F.nullif(F.trim(found), F.lit(""))
+
+
 def link_targets(html: Column) -> Column:
     """Array of the targets of links in double quotes, in order."""
     return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), 1)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import masks
+from gristmill.storage import written
 
 MASKS = {
     "field.ascii.low": lambda v: F.array(masks.low_grain(v)),
@@ -73,7 +74,10 @@ def emptiness(cell: DataFrame) -> DataFrame:
 
 def cardinality(cell: DataFrame, top: int = 5) -> DataFrame:
     """(idx, ratio, top): distinct values over rows, and the most frequent values joined by ``|`` (ties by value)."""
-    counts = cell.groupBy("idx", F.coalesce("value", F.lit("")).alias("value")).agg(F.count("*").alias("n"))
+    return _cardinality(cell.groupBy("idx", F.coalesce("value", F.lit("")).alias("value")).agg(F.count("*").alias("n")), top)
+
+
+def _cardinality(counts: DataFrame, top: int = 5) -> DataFrame:
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("n"), "value")))
     best = ranked.where(F.col("r") <= top).groupBy("idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "value"))), lambda s: s["value"]), "|").alias("top"))
     total = counts.groupBy("idx").agg((F.count("*") / F.sum("n")).alias("ratio"))
@@ -86,39 +90,67 @@ def mask_histogram(cell: DataFrame, mask: str, top: int = 3) -> DataFrame:
     mask is a key of MASKS. Masks with one value a character count each of them.
     """
     made = cell.select("idx", F.coalesce("value", F.lit("")).alias("value")).select("idx", "value", F.explode(MASKS[mask](F.col("value"))).alias("mask"))
-    counts = made.groupBy("idx", "mask", "value").agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("idx", "mask").orderBy(F.desc("n"), "value")))
+    return _examples(made.groupBy("idx", "mask", "value").agg(F.count("*").alias("n")), ["idx", "mask"], top)
+
+
+def _examples(counts: DataFrame, keys: list[str], top: int = 3) -> DataFrame:
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "value")))
     example = F.when(F.col("r") <= top, F.struct("r", "value"))
-    return ranked.groupBy("idx", "mask").agg(
+    return ranked.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(example)), lambda s: s["value"]), "|").alias("examples")
     )
 
 
+REPORTED = ("field.ascii.low", "field.ascii.high", "field.pop.check", "field.class.freq")
+
+
 def report(df: DataFrame, source: str, ingest_time: str, columns: Sequence[str] | None = None, delimiter: str = ",") -> DataFrame:
     """(metric, value, ingest_time, source, tags): all metrics of a table in one long form.
 
     tags is a map with the field's name and number, the mask, and examples, as
-    far as the metric has them.
+    far as the metric has them. The table is read once: every row gives its
+    entries for all metrics, these are counted together, and the counts are
+    written; metrics are made of the counts.
     """
     columns = list(columns or df.columns)
-    cell = cells(df, columns)
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    text = F.concat_ws(delimiter, *values)
+
+    def entry(metric: str, idx: Column, mask: Column, value: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), idx.cast("int").alias("idx"), mask.alias("mask"), value.alias("value"))
+
+    none, blank = F.lit(-1), F.lit("")
+    whole = F.array(entry("row.count", none, blank, blank), entry("field.count", none, F.size(F.split(text, _literal(delimiter), -1)).cast("string"), blank))
+    signs = F.transform(masks.characters(text), lambda c: entry("row.ascii", none, c, blank))
+
+    def of_field(value: Column, idx: Column) -> Column:
+        listed = lambda m: F.transform(MASKS[m](value), lambda k: entry(m, idx, k, value))
+        masked = [listed(m) for m in REPORTED]
+        return F.concat(F.array(entry("field", idx, blank, value)), *masked)
+
+    entries = F.concat(whole, signs, F.flatten(F.transform(F.array(*values), of_field)))
+    counted = df.select(F.explode(entries).alias("e")).select("e.*").groupBy("metric", "idx", "mask", "value").agg(F.count("*").alias("n"))
+    counts = written(counted, "profile")
     name = F.array(*[F.lit(c) for c in columns])
-    lines = df.select(F.concat_ws(delimiter, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
     field = lambda: [F.lit("field"), F.element_at(name, F.col("idx") + 1), F.lit("idx"), F.col("idx").cast("string")]
+    only = lambda metric: counts.where(F.col("metric") == metric).drop("metric")
 
     def part(metric: str, rows: DataFrame, value: Column, *tags: Column) -> DataFrame:
         return rows.select(F.lit(metric).alias("metric"), value.cast("double").alias("value"), F.create_map(*tags).alias("tags"))
 
+    known = only("row.ascii").join(F.broadcast(ascii_table(df.sparkSession)), F.col("mask") == F.col("symbol"), "left")  # 128 rows
+    cell = only("field")
+    empty = cell.groupBy("idx").agg((F.sum(F.when(_blank(F.col("value")), F.col("n")).otherwise(0)) / F.sum("n")).alias("ratio"))
     parts = [
-        part("row.count", row_count(lines), F.col("rows"), F.lit("table"), F.lit(source)),
-        part("row.ascii", character_histogram(lines), F.col("n"), F.lit("symbol"), F.col("symbol"), F.lit("description"), F.col("description")),
-        part("field.count", field_counts(lines, delimiter), F.col("n"), F.lit("fields"), F.col("fields").cast("string")),
-        part("field.emptiness", emptiness(cell), F.col("ratio"), *field()),
-        part("field.cardinality", cardinality(cell), F.col("ratio"), *field(), F.lit("top"), F.col("top")),
+        part("row.count", only("row.count").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")), F.col("rows"), F.lit("table"), F.lit(source)),
+        part("row.ascii", known, F.col("n"), F.lit("symbol"), F.col("mask"), F.lit("description"), F.coalesce("description", F.lit("NA"))),
+        part("field.count", only("field.count"), F.col("n"), F.lit("fields"), F.col("mask")),
+        part("field.emptiness", empty, F.col("ratio"), *field()),
+        part("field.cardinality", _cardinality(cell.select("idx", "value", "n")), F.col("ratio"), *field(), F.lit("top"), F.col("top")),
     ]
-    for mask in ("field.ascii.low", "field.ascii.high", "field.pop.check", "field.class.freq"):
-        parts.append(part(mask, mask_histogram(cell, mask), F.col("n"), *field(), F.lit("mask"), F.col("mask")))
-    out = parts[0]
-    for p in parts[1:]:
+    masked = _examples(counts.where(F.col("metric").isin(*REPORTED)), ["metric", "idx", "mask"])
+    tags = F.create_map(*field(), F.lit("mask"), F.col("mask"), F.lit("examples"), F.col("examples"))
+    out = masked.select("metric", F.col("n").cast("double").alias("value"), tags.alias("tags"))
+    for p in parts:
         out = out.unionByName(p)
     return out.withColumns({"ingest_time": F.lit(ingest_time).cast("timestamp"), "source": F.lit(source)})

@@ -86,6 +86,15 @@ def weekly_text(df: DataFrame, date: str, text: str) -> DataFrame:
     )
 
 
+def price_direction(texts: DataFrame, prices: DataFrame) -> DataFrame:
+    """(common_friday, text, direction, ...): every week's text with the direction of its prices; weeks that lack one of them are left out.
+
+    texts is what weekly_text gives, prices what last_price_direction gives (a
+    row for every series and week).
+    """
+    return texts.join(prices, "common_friday")
+
+
 def minute_sum(df: DataFrame, ts: str, tag: str, value: str) -> DataFrame:
     """(tag, minute, total): sum of value for every tag and minute."""
     return df.groupBy(F.col(tag).alias("tag"), F.date_trunc("minute", ts).alias("minute")).agg(F.sum(value).alias("total"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from gristmill.operators import graph as G
@@ -37,10 +39,12 @@ def normalised_similarity(spark, sf_dir):
 
 
 def _rank_sql(base: str, start: str, share: str) -> str:
+    """Three unrolled rounds; every step is computed once."""
+    once = re.sub(r"(\w+) AS \(SELECT", r"\1 AS MATERIALIZED (SELECT", SIMILAR)
     rounds = ", ".join(
-        f"r{k} AS (SELECT v.i AS id, {base} + 0.9 * coalesce(sum(rank * share), 0) AS rank FROM n v LEFT JOIN (SELECT dst, share, rank FROM share JOIN r{k - 1} ON id = src) g ON g.dst = v.i GROUP BY v.i)" for k in (1, 2, 3)
+        f"r{k} AS MATERIALIZED (SELECT v.i AS id, {base} + 0.9 * coalesce(g.s, 0) AS rank FROM n v LEFT JOIN (SELECT dst, sum(CAST(rank AS DOUBLE) * share) AS s FROM share JOIN r{k - 1} ON id = src GROUP BY 1) g ON g.dst = v.i)" for k in (1, 2, 3)
     )
-    return f"WITH {SIMILAR}, share AS (SELECT src, dst, {share} AS share FROM graph), r0 AS (SELECT i AS id, {start} AS rank FROM n WHERE i IN (SELECT src FROM graph)), {rounds} SELECT id, round(rank, 6) AS rank FROM r3 WHERE id IN (SELECT src FROM graph)"
+    return f"WITH {once}, known AS MATERIALIZED (SELECT DISTINCT src FROM graph), share AS MATERIALIZED (SELECT src, dst, CAST({share} AS DOUBLE) AS share FROM graph), r0 AS MATERIALIZED (SELECT i AS id, CAST({start} AS DOUBLE) AS rank FROM n WHERE i IN (SELECT src FROM known)), {rounds} SELECT id, round(rank, 6) AS rank FROM r3 WHERE id IN (SELECT src FROM known)"
 
 
 @query(_rank_sql("0.1", "1.0", "1.0 / count(*) OVER (PARTITION BY src)"))

@@ -123,11 +123,17 @@ def mask_dictionary(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", protect.pick(F.col("c_name"), ["Ann", "Bob", "Cy", "Di", "Ed"], "salt").alias("name"))
 
 
-@query("SELECT c_custkey, c_name, false AS same FROM customer")
+@query("SELECT c_custkey, c_name, 16 + 16 * (octet_length(encode(c_name)) // 16 + 1) AS bytes, true AS fresh, true AS refused FROM customer")
 def aes_roundtrip(spark, sf_dir):
-    key = F.substring(F.md5(F.lit("only for this check")), 1, 16).cast("binary")
-    hidden = protect.encrypt(F.col("c_name"), key)
-    return table(spark, sf_dir, "customer").withColumn("hidden", hidden).select("c_custkey", protect.decrypt(F.col("hidden"), key).alias("c_name"), (F.col("hidden") == F.col("c_name").cast("binary")).alias("same"))
+    """Decrypted names; bytes has a start block and padding; each value has a start block of its own; another key doesn't give the name."""
+    key, other = (F.substring(F.md5(F.lit(k)), 1, 16).cast("binary") for k in ("only for this check", "another"))
+    again = protect.encrypt(F.concat("c_name", F.lit("!")), key)
+    made = table(spark, sf_dir, "customer").withColumns({"hidden": protect.encrypt(F.col("c_name"), key), "again": again})
+    wrong = F.try_aes_decrypt("hidden", other, F.lit("CBC"), F.lit("PKCS"))
+    return made.select(
+        "c_custkey", protect.decrypt(F.col("hidden"), key).alias("c_name"), F.octet_length("hidden").cast("bigint").alias("bytes"),
+        F.expr("left(hidden, 16) <> left(again, 16)").alias("fresh"), (wrong.isNull() | (wrong != F.col("c_name").cast("binary"))).alias("refused"),
+    )
 
 
 @query("""SELECT c_custkey, n_name, r_name, coalesce(o.orders, 0) AS orders, coalesce(o.priorities, '') AS priorities FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey

@@ -9,6 +9,7 @@ from gristmill.functions import text as T
 from gristmill.operators import learning, pages
 from gristmill.operators.components import connected_components
 from gristmill.plans.registry import query, table
+from gristmill.storage import written
 
 HASHES = """s AS (SELECT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL)),
 h AS (SELECT doc_id, CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) AS h FROM s),
@@ -28,24 +29,28 @@ def shingle_simhash(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT a, b, CAST(distance AS INTEGER) AS distance FROM pairs")
 def simhash_near_dup(spark, sf_dir):
-    return S.near_pairs(_hashes(spark, sf_dir), 4)
+    return S.near_pairs(written(_hashes(spark, sf_dir), "hashes"), 4)
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 r AS (SELECT a, a AS c FROM links UNION SELECT links.b, r.c FROM r JOIN links ON links.a = r.a WHERE r.c < links.b)
 SELECT a AS id, min(c) AS component FROM r GROUP BY 1""")
 def near_dup_components(spark, sf_dir):
-    return connected_components(S.near_pairs(_hashes(spark, sf_dir), 4), "a", "b")
+    return connected_components(S.near_pairs(written(_hashes(spark, sf_dir), "hashes"), 4, stars=True), "a", "b")
 
 
-@query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '(#[a-z]+)', 1)) AS tag FROM documents) WHERE length(tag) > 5 GROUP BY 1")
+@query("SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(regexp_replace(text, '([A-Za-z]{5,})', '#\\1', 'g')), '(#[a-z]+)', 1)) AS tag FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')) WHERE length(tag) > 5 GROUP BY 1")
 def hashtag_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(T.hashtags(F.col("text"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    """Turns in plain ASCII whose long words are made tags."""
+    c = table(spark, sf_dir, "conversations").where(~F.col("text").rlike("[^\\x00-\\x7f]")).select(F.regexp_replace("text", "([A-Za-z]{5,})", "#$1").alias("text"))
+    return c.select(F.explode(T.hashtags(F.col("text"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0b]+'), lambda w: starts_with(w, 'http'))) AS url FROM documents")
+@query("SELECT page_id, unnest(['https://t.co/' || page_id, url]) AS url FROM pages WHERE url LIKE 'http%' UNION ALL SELECT page_id, 'https://t.co/' || page_id FROM pages WHERE url NOT LIKE 'http%' OR url IS NULL")
 def url_extract(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.urls(F.col("text"))).alias("url"))
+    """Messages with a short link, and the page's address after a word."""
+    body = F.concat_ws(" ", F.lit("read"), F.concat(F.lit("https://t.co/"), F.col("page_id").cast("string")), F.lit("\tor"), "url")
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(T.urls(body)).alias("url"))
 
 
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, md5(regexp_replace(url, '#.*$', '')) AS key FROM pages WHERE url LIKE 'http%'")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators import profile
 from gristmill.operators import timeseries as ts
-from gristmill.plans import graphs, records, texts  # noqa: F401  (they register their queries)
+from gristmill.plans import exchange, graphs, records, similarity, texts  # noqa: F401  (they register their queries)
 from gristmill.plans.registry import ORACLES, QUERIES, query, table
 
 # Profiles
@@ -38,10 +40,15 @@ def profile_field_count(spark, sf_dir):
     return profile.field_counts(table(spark, sf_dir, "documents"), ",", "text")
 
 
-@query("SELECT symbol, CASE WHEN symbol = chr(10) THEN 'CONTROL 10' ELSE 'x' END AS description, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS symbol FROM documents) WHERE symbol <> '' GROUP BY 1, 2")
+def described_sql() -> str:
+    """(symbol, description) of ASCII, other characters are NA."""
+    names = ", ".join(f"({i}, '{unicodedata.name(chr(i), f'CONTROL {i}')}')" for i in range(1, 128))
+    return f"(SELECT chr(i) AS symbol, description FROM (VALUES {names}) AS v(i, description))"
+
+
+@query(f"SELECT symbol, coalesce(description, 'NA') AS description, n FROM (SELECT symbol, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS symbol FROM documents) WHERE symbol <> '' GROUP BY 1) LEFT JOIN {described_sql()} USING (symbol)")
 def profile_char_hist(spark, sf_dir):
-    found = profile.character_histogram(table(spark, sf_dir, "documents"), "text")
-    return found.withColumn("description", F.when(F.col("description").startswith("CONTROL"), F.col("description")).otherwise("x"))
+    return profile.character_histogram(table(spark, sf_dir, "documents"), "text")
 
 
 @query(f"SELECT idx, avg(CASE WHEN coalesce(value, '') = '' THEN 1.0 ELSE 0.0 END) AS ratio FROM ({melted('customer', CUSTOMER)}) GROUP BY 1")
@@ -95,21 +102,31 @@ def profile_hex(spark, sf_dir):
     return profile.mask_histogram(profile.cells(table(spark, sf_dir, "part"), PART), "field.hex").drop("examples")
 
 
-@query(f"""WITH cell AS ({melted("customer", CUSTOMER)}), line AS ({lines_sql("customer", CUSTOMER)}),
-names AS (SELECT unnest({list(CUSTOMER)}) AS field, unnest(range({len(CUSTOMER)})) AS idx)
-SELECT 'row.count' AS metric, CAST(count(*) AS DOUBLE) AS value, 'customer' AS tag FROM line
-UNION ALL SELECT 'row.ascii', count(*), c FROM (SELECT unnest(string_split(value, '')) AS c FROM line) GROUP BY c
-UNION ALL SELECT 'field.count', count(*), CAST(len(string_split(value, ',')) AS VARCHAR) FROM line GROUP BY 3
-UNION ALL SELECT 'field.emptiness', avg(CASE WHEN coalesce(value, '') = '' THEN 1.0 ELSE 0.0 END), field FROM cell JOIN names USING (idx) GROUP BY field
-UNION ALL SELECT 'field.cardinality', count(DISTINCT value) / count(*), field FROM cell JOIN names USING (idx) GROUP BY field
-UNION ALL SELECT 'field.ascii.low', count(*), field || '/' || {LOW} FROM cell JOIN names USING (idx) GROUP BY 3
-UNION ALL SELECT 'field.ascii.high', count(*), field || '/' || {LOW.replace("+", "")} FROM cell JOIN names USING (idx) GROUP BY 3
-UNION ALL SELECT 'field.pop.check', count(*), field || '/1' FROM cell JOIN names USING (idx) GROUP BY 3
-UNION ALL SELECT 'field.class.freq', count(*), field || '/' || {CLASSES} FROM (SELECT idx, unnest(string_split(value, '')) AS c FROM cell) JOIN names USING (idx) GROUP BY 3""")
+def examples_sql(mask: str, cell: str) -> str:
+    return f"""(SELECT field || '/' || mask AS tag, CAST(sum(n) AS DOUBLE) AS value, string_agg(value, '|' ORDER BY r) FILTER (WHERE r <= 3) AS examples FROM (
+SELECT *, row_number() OVER (PARTITION BY field, mask ORDER BY n DESC, value) AS r FROM (SELECT field, {mask} AS mask, value, count(*) AS n FROM {cell} GROUP BY 1, 2, 3)) GROUP BY 1)"""
+
+
+@query(f"""WITH names AS (SELECT unnest({list(CUSTOMER)}) AS field, unnest(range({len(CUSTOMER)})) AS idx),
+cell AS (SELECT field, coalesce(value, '') AS value FROM ({melted("customer", CUSTOMER)}) JOIN names USING (idx)), line AS ({lines_sql("customer", CUSTOMER)}),
+signs AS (SELECT field, value, unnest(string_split(value, '')) AS c FROM cell),
+top AS (SELECT field, string_agg(value, '|' ORDER BY r) FILTER (WHERE r <= 5) AS examples, count(*) / sum(n) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS r FROM (SELECT field, value, count(*) AS n FROM cell GROUP BY 1, 2)) GROUP BY 1)
+SELECT *, 'customer' AS source, '2024-01-01 00:00:00' AS ingest_time FROM (
+SELECT 'row.count' AS metric, CAST(count(*) AS DOUBLE) AS value, 'customer' AS tag, '' AS examples FROM line
+UNION ALL SELECT 'row.ascii', n, symbol, coalesce(description, 'NA') FROM (SELECT c AS symbol, count(*) AS n FROM (SELECT unnest(string_split(value, '')) AS c FROM line) GROUP BY 1) LEFT JOIN {described_sql()} USING (symbol)
+UNION ALL SELECT 'field.count', count(*), CAST(len(string_split(value, ',')) AS VARCHAR), '' FROM line GROUP BY 3
+UNION ALL SELECT 'field.emptiness', avg(CASE WHEN value = '' THEN 1.0 ELSE 0.0 END), field, '' FROM cell GROUP BY field
+UNION ALL SELECT 'field.cardinality', ratio, field, examples FROM top
+UNION ALL SELECT 'field.ascii.low', value, tag, examples FROM {examples_sql(LOW, "cell")}
+UNION ALL SELECT 'field.ascii.high', value, tag, examples FROM {examples_sql(LOW.replace("+", ""), "cell")}
+UNION ALL SELECT 'field.pop.check', value, tag, examples FROM {examples_sql("CASE WHEN trim(value) = '' THEN '0' ELSE '1' END", "cell")}
+UNION ALL SELECT 'field.class.freq', value, tag, examples FROM {examples_sql(CLASSES, "signs")})""")
 def profile_report(spark, sf_dir):
+    """The whole report; tag and examples put the entries of its map into two columns."""
     made = profile.report(table(spark, sf_dir, "customer"), "customer", "2024-01-01 00:00:00", CUSTOMER)
     tag = F.coalesce(F.concat_ws("/", "tags.field", "tags.mask"), F.lit(""))
-    return made.select("metric", "value", F.coalesce("tags.table", "tags.symbol", "tags.fields", tag).alias("tag"))
+    examples = F.coalesce("tags.examples", "tags.top", "tags.description", F.lit(""))
+    return made.select("metric", "value", F.coalesce("tags.table", "tags.symbol", "tags.fields", tag).alias("tag"), examples.alias("examples"), "source", F.col("ingest_time").cast("string").alias("ingest_time"))
 
 
 # Time series

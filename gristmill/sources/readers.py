@@ -19,9 +19,10 @@ def text_lines(spark: SparkSession, path: str, line_end: str | None = None) -> D
     return reader.text(path)
 
 
-def delimited(spark: SparkSession, path: str, schema: str, delimiter: str = ",", header: bool = False) -> DataFrame:
-    """Delimited files with quotes, read with a given schema; values that can't be read are null."""
-    return spark.read.csv(path, schema=schema, sep=delimiter, header=header, mode="PERMISSIVE")
+def delimited(spark: SparkSession, path: str, schema: str | None = None, delimiter: str = ",", header: bool = False) -> DataFrame:
+    """Delimited files with quotes, read with a given schema, else with types found in the data; values that can't be read are null."""
+    reader = spark.read.option("sep", delimiter).option("header", header).option("mode", "PERMISSIVE").option("escape", '"')
+    return reader.csv(path, inferSchema=True) if schema is None else reader.csv(path, schema=schema)
 
 
 def split_fields(lines: DataFrame, delimiter: str = ",", value: str = "value") -> DataFrame:

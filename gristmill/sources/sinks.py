@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import geo, protect
@@ -31,8 +31,14 @@ def single_text(df: DataFrame, path: str, column: str | Column) -> None:
 
 
 def upsert(df: DataFrame, path: str, keys: Sequence[str], version: int) -> None:
-    """Append rows with their version; readers.latest(keys, "version") reads the newest row of each key. Writing a version again changes nothing that is read."""
-    df.dropDuplicates(list(keys)).withColumn("version", F.lit(version).cast("bigint")).write.mode("append").parquet(path)
+    """Write rows as a version of a table; readers.latest(keys, "version") reads the newest row of each key.
+
+    A version has a folder of its own and one row of every key (of several the
+    same in every run), so writing it again replaces it, whatever it held.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64(*df.columns), *[F.col(c).cast("string") for c in df.columns])
+    one = df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    one.write.mode("overwrite").parquet(f"{path}/version={int(version)}")
 
 
 def with_expiry(df: DataFrame, ts: str, hours: int = 48) -> DataFrame:

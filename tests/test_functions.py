@@ -99,3 +99,32 @@ def test_shared_root_is_the_sessions(spark):
     before = spark.conf.get("spark.checkpoint.dir", None)
     if before is None:
         assert shared_root(spark) == shared_root(spark)
+
+
+def test_weighted_simhash_and_stars(spark):
+    from gristmill.functions import simhash as S
+    from gristmill.operators.components import connected_components
+
+    texts = ["a b c d e f"] * 5 + ["a b c d e g", "z y x w", "one", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    h = S.simhash(df, "id", "t")
+    assert h.count() == 9 and h.where("id < 5").select("simhash").distinct().count() == 1
+    groups = lambda **k: sorted((r.id, r.component) for r in connected_components(S.near_pairs(h, 4, **k), "a", "b").collect())
+    assert groups() == groups(stars=True) == groups(agree=5)
+    assert {r.id for r in S.near_hash(h, h.where("id = 0").first().simhash, 0).collect()} >= {0, 1, 2, 3, 4}
+
+
+def test_report_reads_its_table_once(spark, tmp_path):
+    from gristmill.operators import profile
+
+    spark.range(3).selectExpr("id", "concat('v', id) AS t").write.parquet(f"{tmp_path}/t")
+    counted = []
+    own, profile.written = profile.written, lambda df, purpose: counted.append(df) or own(df, purpose)
+    try:
+        made = profile.report(spark.read.parquet(f"{tmp_path}/t"), "t", "2024-01-01")
+    finally:
+        profile.written = own
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert len(counted) == 1 and f"{tmp_path}/t" not in plan and made.where("metric = 'row.count'").first().value == 3
+    empty = profile.report(spark.createDataFrame([], "a string"), "t", "2024-01-01")
+    assert [(r.metric, r.value) for r in empty.collect()] == [("row.count", 0.0)]

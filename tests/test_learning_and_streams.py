@@ -109,3 +109,20 @@ def test_story_stream(spark, tmp_path, again):
     assert {tuple(r.persons) for r in out.values()} == {("ann", "bob"), ("cy",)}
     moved = spark.read.parquet(f"{tmp_path}/s/drift/batch=1").collect()
     assert sum(r.n for r in moved) == 8 and {r.source for r in moved} <= {0, 1} and {r.target for r in moved} == {2, 3}
+
+
+def test_most_similar_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(f"w{'x' * (i % 20)}{i}", v.tolist()) for i, v in enumerate(x)], "word string, vector array<double>")
+    rows = lambda b: sorted((r.src, r.dst, round(r.similarity, 9)) for r in L.most_similar(df, df.where("word LIKE '%7'"), 4, block=b).collect())
+    assert rows(8192) == rows(40) and len(rows(40)) == 4 * 30
+
+
+def test_direction_of_prices(spark):
+    rows = [(i, "up gain strong" if i % 3 else "down loss weak", float(i % 3 > 0)) for i in range(200)] + [(900, None, 1.0), (901, "up", None)]
+    weeks = spark.createDataFrame(rows, "common_friday int, text string, direction double")
+    _, made, accuracy = L.predict_direction(weeks)
+    assert accuracy == 1.0 and 50 < made.count() < 110
+    a, b = L.split_by_hash(weeks, "common_friday")
+    assert a.count() + b.count() == 202 and a.join(b, "common_friday").count() == 0
