@@ -42,15 +42,15 @@ def encoding(vocabulary: str, pattern: str = PATTERN):
 
 def _writer(folder: str, vocabulary: str, end: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, place, row, out, name = TaskContext.get().partitionId(), 0, 0, None, ""
+        shard, place, row, out = TaskContext.get().partitionId(), 0, 0, None
+        file = f"{shard:06d}-{uuid.uuid4().hex}.ids"  # of this attempt
         tokenizer = encoding(vocabulary)
         kind = np.uint16 if max(tokenizer.n_vocab - 1, end or 0) < 2**16 else np.uint32
         tail = np.zeros(0, kind) if end is None else np.array([end], kind)
         for batch in batches:
             if out is None:
                 os.makedirs(folder, exist_ok=True)
-                name = f"{folder}/{shard:06d}.{uuid.uuid4().hex}"
-                out = open(name, "wb")
+                out = open(f"{folder}/{file}", "wb")
             counts = []
             for text in batch.column(1):
                 text = text.as_py()
@@ -60,13 +60,14 @@ def _writer(folder: str, vocabulary: str, end: int | None):
             n = np.array(counts, np.int64)
             starts = place + np.cumsum(n) - n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), shard, np.int32)), pa.array(row + np.arange(len(n))), batch.column(0), pa.array(starts), pa.array(n)],
-                names=["shard", "row", "doc_id", "start", "n_tokens"],
+                [pa.array(np.full(len(n), shard, np.int32)), pa.array([file] * len(n), pa.string()), pa.array(row + np.arange(len(n))), batch.column(0), pa.array(starts), pa.array(n)],
+                names=["shard", "file", "row", "doc_id", "start", "n_tokens"],
             )
             place, row = place + int(n.sum()), row + len(n)
         if out is not None:
+            out.flush()
+            os.fsync(out.fileno())
             out.close()
-            os.replace(name, f"{folder}/{shard:06d}.ids")
 
     return run
 
@@ -92,28 +93,35 @@ def write_token_files(
     rows are written each time. With an empty table the result is empty and the
     folder has a manifest without shards.
 
-    Each file appears under its name only when it is complete, and a repeated
-    task writes the same bytes, so lost executors do no harm.
+    Every attempt of a task writes a file of its own, whose name is in its rows.
+    The manifest has the files of the attempts whose rows were committed, so
+    lost executors do no harm even where an input's order changes between
+    attempts; files of other attempts are removed. vocabulary is a file of
+    ``base64 rank`` lines.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
     path = mounted(folder)
     kind = docs.schema[ident].dataType.simpleString()
     rows = docs.select(F.col(quoted(ident)).alias("doc_id"), F.col(quoted(text)).alias("text")).mapInArrow(
-        _writer(path, vocabulary, end_of_text), f"shard int, row bigint, doc_id {kind}, start bigint, n_tokens bigint"
+        _writer(path, vocabulary, end_of_text), f"shard int, file string, row bigint, doc_id {kind}, start bigint, n_tokens bigint"
     )
     rows.write.parquet(f"{folder}/rows")
     rows = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
-    sizes = rows.groupBy("shard").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
+    sizes = rows.groupBy("shard", "file").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).collect()  # one row a task
     manifest = {
         "dtype": "uint16" if max(encoding(vocabulary).n_vocab - 1, end_of_text or 0) < 2**16 else "uint32",
         "vocabulary": os.path.basename(vocabulary),
         "end_of_text": end_of_text,
-        "shards": [{"shard": r["shard"], "base": r["base"], "tokens": r["tokens"], "docs": r["docs"]} for r in bases],
+        "shards": [{"shard": r["shard"], "file": r["file"], "base": r["base"], "tokens": r["tokens"], "docs": r["docs"]} for r in bases],
     }
     write_once(f"{path}/manifest.json", json.dumps(manifest).encode())
+    kept = {s["file"] for s in manifest["shards"]}
+    for name in os.listdir(path):
+        if name.endswith(".ids") and name not in kept:
+            os.remove(f"{path}/{name}")
     base = spark.createDataFrame([(r["shard"], r["base"]) for r in bases], "shard int, base bigint")
     placed = rows.join(F.broadcast(base), "shard").select("shard", "row", "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens")
     result = placed.groupBy("shard").applyInArrow(_offsets(path), f"doc_id {kind}, shard int, row_in_shard bigint, token_offset bigint, n_tokens bigint")
@@ -136,7 +144,7 @@ class TokenFiles:
         if k not in self._maps:
             s = self.manifest["shards"][k]
             kind = np.dtype(self.manifest["dtype"])
-            self._maps[k] = np.memmap(f"{self.folder}/{s['shard']:06d}.ids", kind, "r") if s["tokens"] else np.zeros(0, kind)
+            self._maps[k] = np.memmap(f"{self.folder}/{s['file']}", kind, "r") if s["tokens"] else np.zeros(0, kind)
         return self._maps[k]
 
     def offsets(self, k: int) -> np.ndarray:

@@ -185,3 +185,88 @@ def test_every_stage_keeps_the_columns(spark, small_corpus):
         assert out.columns == docs.columns, name
         assert stage(spark, docs.limit(0), folder).count() == 0
     assert [n for n, _ in C.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_quality_trainer_equals_plain_descent():
+    """The same steps with loops over buckets, dimensions and classes."""
+    col = pa.array(["good words here", "bad$$ words$$", "some good text", "$$ $$ bad"])
+    rows, y, seed = quality.counted(col), np.array([1, 0, 1, 0]), 4
+    d = quality.DIMENSIONS
+    rng = np.random.default_rng(seed)
+    vectors = rng.uniform(-1 / d, 1 / d, (2**quality.BITS, d)).astype(np.float32).astype(float)
+    output = [[0.0] * d for _ in range(2)]
+    step = 0
+    for _ in range(3):
+        for i in rng.permutation(4):
+            bucket, count = rows[i]
+            lr = 0.5 * (1 - step / 12)
+            step += 1
+            share = [c / sum(count) for c in count]
+            hidden = [sum(s * vectors[b][k] for s, b in zip(share, bucket)) for k in range(d)]
+            z = [sum(o * h for o, h in zip(row, hidden)) for row in output]
+            p = [np.exp(x) / sum(np.exp(v) for v in z) for x in z]
+            p[y[i]] -= 1
+            back = [sum(p[c] * output[c][k] for c in range(2)) for k in range(d)]
+            for c in range(2):
+                for k in range(d):
+                    output[c][k] -= lr * p[c] * hidden[k]
+            for s, b in zip(share, bucket):
+                for k in range(d):
+                    vectors[b][k] -= lr * len(bucket) ** 0.5 * s * back[k]
+    model = quality.fit(rows, y, seed, epochs=3, rate=0.5)
+    used = np.unique(np.concatenate([r[0] for r in rows]))
+    np.testing.assert_allclose(model.table[used], vectors[used] @ np.array(output).T, atol=2e-5)
+
+
+def test_toxicity_trainer_equals_plain_descent():
+    """Logistic regression on scaled features, feature by feature; features are the buckets with a ratio."""
+    rng = np.random.default_rng(2)
+    rows = [np.sort(rng.choice(30, 8, replace=False)).astype(np.uint32) for _ in range(100)]
+    y = np.array([float(5 in r or 9 in r) for r in rows])
+    ratio = toxicity.log_count_ratios(rows, y, least=1, features=30)
+    w, g2, bias, b2 = [0.0] * 30, [1e-6] * 30, 0.0, 1e-6
+    order_of = np.random.default_rng(3)
+    for _ in range(toxicity.EPOCHS):
+        order = order_of.permutation(100)
+        for at in range(0, 100, 64):
+            batch = order[at : at + 64]
+            errors = [1 / (1 + np.exp(-(sum(w[f] * float(ratio[f]) for f in rows[i]) + bias))) - y[i] for i in batch]
+            for f in range(30):
+                g = sum(e * float(ratio[f]) for e, i in zip(errors, batch) if f in rows[i]) / len(batch) + toxicity.PENALTY * w[f]
+                g2[f] += g * g
+                w[f] -= 0.05 * g / g2[f] ** 0.5
+            g = sum(errors) / len(batch)
+            b2 += g * g
+            bias -= 0.05 * g / b2**0.5
+    got, got_bias = toxicity._regression(rows, y, ratio, 3)
+    np.testing.assert_allclose(got, [a * float(b) for a, b in zip(w, ratio)], atol=1e-5)
+    assert got_bias == pytest.approx(bias, abs=1e-6)
+
+
+def test_language_trainer_counts_every_ngram(spark):
+    rows = [(i, t, x) for i, (t, x) in enumerate([("ab ab", "p"), ("ba", "p"), ("cde", "q"), ("", "q"), (None, "q"), ("zz", None)])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "1 AS id", "2 AS h", "3 AS k")
+    model = langid.train(df)
+    assert model.languages == ["p", "q"]
+    for k, lang in enumerate(model.languages):
+        counts = Counter()
+        for _, t, x in rows:
+            if x == lang and t:
+                counts.update(int(R.char_ngrams(pa.array([(" " + t)[i : i + n]]), (n,), langid.BITS)[0][0]) for n in langid.SIZES for i in range(len(t) + 2 - n))
+        total = sum(counts.values()) + langid.SMOOTH * 2**langid.BITS
+        want = np.full(2**langid.BITS, np.log(langid.SMOOTH / total))
+        for b, c in counts.items():
+            want[b] = np.log((c + langid.SMOOTH) / total)
+        np.testing.assert_allclose(model.matrix[k], want, rtol=1e-5)
+    assert langid.identify_language(df, model).count() == 6
+
+
+def test_pipeline_keeps_extra_columns_with_clashing_names(spark, tmp_path):
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS units", "2 AS mark", "3 AS gone", "4 AS node", "5 AS copies")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [*SCHEMA.replace(" bigint", "").replace(" string", "").split(", "), "units", "mark", "gone", "node", "copies"]
+    assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 100

@@ -29,7 +29,7 @@ def plain_mix(rows, weights, default, seed=M.SEED):
     for k in live:
         units = sum(size[x] for x in live) * w[k] * M.UNIT // (sum(w[x] for x in live) * size[k])
         at = int(hashlib.md5(f"{seed}|{k}".encode()).hexdigest()[:8], 16) * M.UNIT // 2**32
-        bucket = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:3], 16)
+        bucket = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:8], 16)
         for r in sorted((r for r in rows if key(r[2]) == k), key=lambda r: (bucket(r[0]), r[0] is None, r[0] or 0, r[1] is None, r[1] or "")):
             copies = (at + units) // M.UNIT - at // M.UNIT
             at += units
@@ -38,6 +38,25 @@ def plain_mix(rows, weights, default, seed=M.SEED):
     return out
 
 
+@pytest.mark.parametrize("rows,step", [(1, 3), (20_000, 65_536)])
+def test_few_characters_of_a_large_weight(spark, monkeypatch, rows, step):
+    """A source that is repeated many times; neither buckets nor steps change what is drawn."""
+    monkeypatch.setattr(M, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(M, "STEP", step)
+    docs = [(i, "x" * 50, "a") for i in range(60)] + [(100, "yz", "tiny"), (101, None, "tiny")]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in docs], SCHEMA)
+    got = M.mix_sources(df, {"tiny": 1, "a": 3}, 1).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == plain_mix(docs, {"tiny": 1, "a": 3}, 1)
+    mine = sorted(r["copy"] for r in got if r.doc_id == 100)
+    assert mine == list(range(1, len(mine) + 1)) and len(mine) > 300
+
+
+def test_more_copies_than_a_bigint_of_units_holds(spark):
+    df = spark.createDataFrame([(1, "x", "en", "tiny", 1), (2, "y" * 5_000_000, "en", "big", 1)], SCHEMA)
+    plan = M.mix_sources(df, {"tiny": 1_000_000, "big": 1}, 1)
+    assert plan.where("doc_id = 2").count() <= 1  # some 5 million copies of the other row aren't asked for
+
+
 def test_mixing_equals_plain_version(spark):
     rng = random.Random(3)
     rows = [(i, "x" * rng.randrange(0, 90), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(800)]
@@ -165,8 +184,10 @@ def test_token_files_round_trip(spark, tmp_path):
     assert T.write_token_files(df.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
-def test_pattern_is_the_vocabularys_own():
-    public = pytest.importorskip("public_tokenizers")
-    texts = ["it's  we'll  \n x", "  \n\n a1b2 -- ?!", "tab\t\tx ", "déjà 12 vu  "]
-    ours, theirs = T.encoding(T.VOCABULARY), T.encoding(T.VOCABULARY, public.PATTERN)
-    assert [ours.encode_ordinary(t) for t in texts] == [theirs.encode_ordinary(t) for t in texts]
+def test_files_of_other_attempts_are_removed(spark, tmp_path):
+    (tmp_path / "tokens").mkdir()
+    (tmp_path / "tokens" / "000000-lost.ids").write_bytes(b"xx")
+    df = spark.createDataFrame([(i, f"text {i}", "en", "s", 0) for i in range(20)], SCHEMA).repartition(2)
+    T.write_token_files(df, f"file://{tmp_path}/tokens")
+    files = T.TokenFiles(f"file://{tmp_path}/tokens")
+    assert sorted(p.name for p in (tmp_path / "tokens").glob("*.ids")) == sorted(s["file"] for s in files.manifest["shards"])
