@@ -61,7 +61,7 @@ def mix_sources(
     """
     key, bucket, place, whole, part, start, copies, steps = fresh(docs, "key", "bucket", "place", "whole", "part", "start", "copies", "steps")
     label = F.col(quoted(source)).cast("string")
-    bits = min(32, max(8, (docs.count() // BUCKET_ROWS).bit_length()))
+    bits = min(32, max(12, (docs.count() // BUCKET_ROWS).bit_length()))
     with_key = docs.withColumns({key: F.when(label.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), label)), place: _place(F.col(quoted(ident)))}).withColumn(
         bucket, F.shiftright(place, 32 - bits)
     )

@@ -251,7 +251,7 @@ def test_language_trainer_counts_every_ngram(spark):
     for k, lang in enumerate(model.languages):
         counts = Counter()
         for _, t, x in rows:
-            if x == lang and t:
+            if x == lang and t is not None:
                 counts.update(int(R.char_ngrams(pa.array([(" " + t)[i : i + n]]), (n,), langid.BITS)[0][0]) for n in langid.SIZES for i in range(len(t) + 2 - n))
         total = sum(counts.values()) + langid.SMOOTH * 2**langid.BITS
         want = np.full(2**langid.BITS, np.log(langid.SMOOTH / total))
