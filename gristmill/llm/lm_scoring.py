@@ -15,8 +15,9 @@ the next lower order, and so on down to single words. Every order is spread by
 hash, so frequent words load no task more than others. What is shuffled, and
 the model, grow with the corpus' distinct n-grams.
 
-A shard is a file of sorted 64-bit hashes and files of numbers beside it.
-Workers map them into memory and look up a batch's n-grams in sorted order.
+A shard is a file of sorted 64-bit hashes and the numbers that belong to them.
+Workers map it into memory and look up a batch's n-grams in sorted order; a
+worker keeps ``HELD`` files open at most, however many shards there are.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +46,8 @@ COMBINE = 3_000_000
 BLOCK = 300_000
 #: Bytes of text whose n-grams make up one shard, about; a task adds up one shard at a time.
 SHARD_BYTES = 16 << 20
+#: Shards that a worker has mapped at a time; each takes an open file, of which a process commonly has 1024.
+HELD = 512
 BEGIN = U(0xB5297A4D3F84D5A7)
 END = U(0x68E31DA41B56C4E9)
 _STEP = U(0xD6E8FEB86659FD93)
@@ -160,6 +164,28 @@ def _counter(order: int, shards: int):
     return run
 
 
+def _write_shard(name: str, key: np.ndarray, numbers: list[np.ndarray]) -> None:
+    """One file: how many n-grams, the width of each kind of number, the keys, the numbers, each filled up to 8 bytes."""
+    widths = [next(w for w in (1, 2, 4, 8) if int(n.max()) < 2 ** (8 * w)) for n in numbers]
+    parts = [np.array([len(key), *widths], "<i8").tobytes(), key.tobytes()]
+    for n, w in zip(numbers, widths):
+        parts.append(n.astype(f"<u{w}").tobytes() + bytes(-len(n) * w % 8))
+    write_once(name, b"".join(parts))
+
+
+def _map_shard(name: str, fields: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The arrays of a shard's file, mapped; none if nothing was stored."""
+    if not os.path.exists(name):
+        return {}
+    raw = np.memmap(name, np.uint8, "r")
+    n, *widths = raw[: 8 * (1 + len(fields))].view("<i8").tolist()
+    at, found = 8 * (1 + len(fields)), {}
+    for field, w in zip(("key", *fields), (8, *widths)):
+        found[field] = raw[at : at + n * w].view(f"<u{w}")
+        at += n * w + -n * w % 8
+    return found
+
+
 def _summer(level: int, order: int, shards: int, folder: str, least: int):
     """Adds up one shard of a level, writes it, and yields its count-of-counts row and the records for the level below."""
 
@@ -184,10 +210,8 @@ def _summer(level: int, order: int, shards: int, folder: str, least: int):
         count = numbers[0]
         name = f"{folder}/{level}/{shard:06d}"
         stored = count >= least if level == order else np.ones(len(key), bool)
-        write_once(f"{name}.key", key[stored].tobytes())
-        for field, n in zip(_FIELDS, numbers):
-            width = next(w for w in (1, 2, 4, 8) if not len(n) or int(n.max()) < 2 ** (8 * w))
-            write_once(f"{name}.{field}", n[stored].astype(f"<u{width}").tobytes())
+        if stored.any():
+            _write_shard(name, key[stored], [n[stored] for n in numbers])
         of = [int((count == k).sum()) for k in (1, 2, 3, 4)] + [int((count > 0).sum()), int(count.sum())]
         rows = [(-1, np.array(of, "<i8").tobytes())]
         if level > 1:
@@ -246,7 +270,7 @@ def train(docs: DataFrame, order: int = ORDER, least: int = 1, text: str = "text
 
 @dataclass
 class Model:
-    """Reader of a model folder; files are mapped when first needed."""
+    """Reader of a model folder; files are mapped when needed, those not used for longest are closed."""
 
     folder: str
 
@@ -256,18 +280,16 @@ class Model:
             meta = json.load(f)
         self.order, self.shards, self.least = meta["order"], meta["shards"], meta["least"]
         self.levels = {int(k): v for k, v in meta["levels"].items()}
-        self._maps: dict[tuple[int, int], dict[str, np.ndarray]] = {}
+        self._maps: OrderedDict[tuple[int, int], dict[str, np.ndarray]] = OrderedDict()
 
     def _shard(self, level: int, shard: int) -> dict[str, np.ndarray]:
         at = (level, shard)
-        if at not in self._maps:
-            name, found = f"{self.path}/{level}/{shard:06d}", {}
-            if os.path.exists(f"{name}.key") and os.path.getsize(f"{name}.key"):
-                found["key"] = np.memmap(f"{name}.key", U, "r")
-                for field in _FIELDS[: 1 if level == self.order else len(_FIELDS)]:
-                    width = os.path.getsize(f"{name}.{field}") // len(found["key"])
-                    found[field] = np.memmap(f"{name}.{field}", f"<u{width}", "r")
-            self._maps[at] = found
+        if at in self._maps:
+            self._maps.move_to_end(at)
+        else:
+            if len(self._maps) >= HELD:
+                self._maps.popitem(last=False)
+            self._maps[at] = _map_shard(f"{self.path}/{level}/{shard:06d}", _FIELDS[: 1 if level == self.order else len(_FIELDS)])
         return self._maps[at]
 
     def look_up(self, level: int, key: np.ndarray) -> list[np.ndarray]:

@@ -1,11 +1,16 @@
 """Kneser-Ney model against a dictionary implementation of the same formulas."""
 
 import math
+import os
 import random
+import resource
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from gristmill.llm import _arrays
 from gristmill.llm import lm_scoring as L
 from gristmill.llm import queries
 
@@ -107,6 +112,24 @@ def test_query_scores_with_five_words(spark, tmp_path):
         assert got[k] == (None if t is None else pytest.approx(plain.log(t), rel=1e-9))
 
 
+def test_more_shards_than_open_files(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_BYTES", 10)
+    docs = texts(6, 60)
+    model = L.Model(L.train(spark.createDataFrame(list(enumerate(docs)), SCHEMA), 3))
+    assert model.shards > 200
+    plain = Plain(docs, 3)
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(os.listdir("/proc/self/fd")) + 540, hard))
+    try:
+        for t in (docs[0], docs[-2], "w1 unseen"):
+            seq, offsets = L.sequences(*_arrays.word_hashes(*_arrays.text_buffers(pa.array([t]))), 3)
+            assert model.log_probabilities(seq, np.arange(2, offsets[1])).sum() == pytest.approx(plain.log(t), rel=1e-9)
+        every = np.arange(0, 2**64, 2**52, dtype=np.uint64)  # some in each shard
+        assert all(len(f) == len(every) for level in (1, 2, 3) for f in model.look_up(level, every))
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     folder = L.train(df)
