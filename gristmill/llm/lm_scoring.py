@@ -18,6 +18,15 @@ the model, grow with the corpus' distinct n-grams.
 A shard is a file of sorted 64-bit hashes and the numbers that belong to them.
 Workers map it into memory and look up a batch's n-grams in sorted order; a
 worker keeps ``HELD`` files open at most, however many shards there are.
+
+To score the very texts that the model is made of, ``score_own`` never stores it
+whole. All n-grams that score a word end with that word and the one before it,
+so the words before split the work into parts, which follow each other and
+leave nothing but sums: first the counts of counts of every level and the
+numbers of single words, then, with the discounts known, each text's log
+probability. Within a part, shards go by the two words before the last; one
+adds up all levels above 2 in memory. It grows with the distinct n-grams after
+its most frequent pair of words.
 """
 
 from __future__ import annotations
@@ -26,7 +35,7 @@ import json
 import os
 import shutil
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +57,9 @@ BLOCK = 300_000
 SHARD_BYTES = 16 << 20
 #: Shards that a worker has mapped at a time; each takes an open file, of which a process commonly has 1024.
 HELD = 512
+#: Parts that score_own handles one after the other, and the bytes of text from which on one more is worth another reading of them.
+PARTS = 6
+PART_BYTES = 16 << 20
 BEGIN = U(0xB5297A4D3F84D5A7)
 END = U(0x68E31DA41B56C4E9)
 _STEP = U(0xD6E8FEB86659FD93)
@@ -65,6 +77,57 @@ def sequences(words: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.nd
     return out, out_offsets
 
 
+def _ends(offsets: np.ndarray, order: int) -> np.ndarray:
+    """Places in sequences of all but the begin marks."""
+    end = np.ones(offsets[-1], bool)
+    for k in range(order - 1):
+        end[offsets[:-1] + k] = False
+    return np.flatnonzero(end)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        column = batch.column(0)
+        for a, b in slices(column):
+            yield word_hashes(*text_buffers(column[a:b]))
+
+
+def _keeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for some texts: their words' hashes, compressed, and their digests."""
+    for batch in batches:
+        column = batch.column(0)
+        for a, b in slices(column):
+            words, offsets = word_hashes(*text_buffers(column[a:b]))
+            distinct, number, count = np.unique(words, return_inverse=True, return_counts=True)
+            often = np.argsort(-count)
+            rank = np.empty(len(often), "<u4")
+            rank[often] = np.arange(len(often))
+            planes = np.ascontiguousarray(rank[number].view(np.uint8).reshape(-1, 4).T)  # frequent words have small numbers: most upper bytes are 0
+            raw = np.array([b - a, len(distinct)], "<i8").tobytes() + offsets.astype("<i8").tobytes() + distinct[often].tobytes() + planes.tobytes()
+            blob = len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
+            ids = b"".join(batch.column(1)[a:b].to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([ids], pa.binary())], names=["words", "ids"])
+
+
+_KEPT = "words binary, ids binary"
+
+
+def _kept(blob: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes and each text's offsets into them."""
+    blob = blob.as_buffer()
+    raw = _codec.decompress(blob.slice(8), int.from_bytes(blob.slice(0, 8).to_pybytes(), "little"))
+    texts, distinct = np.frombuffer(raw, "<i8", 2).tolist()
+    offsets = np.frombuffer(raw, "<i8", texts + 1, 16)
+    at = 24 + 8 * texts
+    known = np.frombuffer(raw, U, distinct, at)
+    planes = np.frombuffer(raw, np.uint8, -1, at + 8 * distinct).reshape(4, -1)
+    number = planes[0].astype(np.uint32)
+    for k in (1, 2, 3):
+        if distinct > 256**k:
+            number |= planes[k].astype(np.uint32) << np.uint32(8 * k)
+    return known[number], offsets
+
+
 def gram_key(columns: list[np.ndarray]) -> np.ndarray:
     """Hash of n-grams given by their words' hashes, first word first."""
     key = np.zeros(len(columns[0]), U)
@@ -118,7 +181,11 @@ def _unpacked(blob: bytes, words: int, fields: int) -> tuple[list[np.ndarray], l
 
 def _sent(key: np.ndarray, columns: list[np.ndarray], numbers: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
     """One record for every shard; keys are in order."""
-    cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
+    yield from _sent_to(shard_of(key, shards), columns, numbers, shards)
+
+
+def _sent_to(shard: np.ndarray, columns: list[np.ndarray], numbers: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
+    cut = np.searchsorted(shard, np.arange(shards + 1))
     for s in range(shards):
         a, b = cut[s], cut[s + 1]
         if a < b:
@@ -132,7 +199,9 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "grams"])
 
 
-def _counter(order: int, shards: int):
+def _counter(order: int, shards: int, part: int = 0, parts: int = 0):
+    """parts: rows are kept words, and only n-grams whose last word but one is in that part count, in the shard of the two words before the last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         n = 0
@@ -140,24 +209,28 @@ def _counter(order: int, shards: int):
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate([h[k] for h in held]) for k in range(order)]
             held.clear()
+            if parts:
+                key, shard, bits = gram_key(columns), shard_of(gram_key(columns[-3:-1]), shards), U(shards.bit_length())
+                at = np.argsort((shard.astype(U) << (U(64) - bits)) | (key >> bits))  # keys that differ in their last bits only may stay apart here
+                key = key[at]
+                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                at, count = at[first], np.diff(first, append=len(key)).astype(U)
+                return _batch(list(_sent_to(shard[at], [c[at] for c in columns], [count], shards)))
             key, columns, sums = _add_up(gram_key(columns), columns, [np.ones(len(columns[0]), U)])
             return _batch(list(_sent(key, columns, sums, shards)))
 
-        for batch in batches:
-            column = batch.column(0)
-            for a, b in slices(column):
-                seq, offsets = sequences(*word_hashes(*text_buffers(column[a:b])), order)
-                end = np.ones(len(seq), bool)
-                for k in range(order - 1):
-                    end[offsets[:-1] + k] = False
-                ends = np.flatnonzero(end)
-                for at in range(0, len(ends), BLOCK):
-                    last = ends[at : at + BLOCK]
-                    held.append([seq[last - order + 1 + k] for k in range(order)])
-                    n += len(last)
-                    if n * order >= 2 * COMBINE:
-                        n = 0
-                        yield flush()
+        for words, offsets in _words(batches) if not parts else (_kept(blob) for batch in batches for blob in batch.column(0)):
+            seq, offsets = sequences(words, offsets, order)
+            ends = _ends(offsets, order)
+            if parts:
+                ends = ends[shard_of(seq[ends - 1], parts) == part]
+            for at in range(0, len(ends), BLOCK):
+                last = ends[at : at + BLOCK]
+                held.append([seq[last - order + 1 + k] for k in range(order)])
+                n += len(last)
+                if n * order >= 2 * COMBINE:
+                    n = 0
+                    yield flush()
         if held:
             yield flush()
 
@@ -186,21 +259,27 @@ def _map_shard(name: str, fields: tuple[str, ...]) -> dict[str, np.ndarray]:
     return found
 
 
-def _summer(level: int, order: int, shards: int, folder: str, least: int):
-    """Adds up one shard of a level, writes it, and yields its count-of-counts row and the records for the level below."""
+def _by_shard(batches: Iterator[pa.RecordBatch], words: int, fields: int) -> Iterator[tuple[int, list]]:
+    """Every shard's unpacked records; rows are ordered by shard."""
+    now, parts = -1, []
+    for batch in batches:
+        for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if shard != now and parts:
+                yield now, parts
+                parts = []
+            now = shard
+            parts.append(_unpacked(blob.as_py(), words, fields))
+    if parts:
+        yield now, parts
+
+
+def _summer(level: int, order: int, shards: int, folder: str | None, least: int):
+    """Adds up one shard of a level, writes it (given a folder), and yields its count-of-counts row and the records for the level below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = 1 if level == order else len(_FIELDS)
-        now, parts = -1, []
-        for batch in batches:  # ordered by shard
-            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if shard != now and parts:
-                    yield added(now, parts, fields)
-                    parts = []
-                now = shard
-                parts.append(_unpacked(blob.as_py(), level, fields))
-        if parts:
-            yield added(now, parts, fields)
+        for shard, parts in _by_shard(batches, level, fields):
+            yield added(shard, parts, fields)
 
     def added(shard: int, parts: list, fields: int) -> pa.RecordBatch:
         columns = [np.concatenate([p[0][k] for p in parts]) for k in range(level)]
@@ -210,10 +289,9 @@ def _summer(level: int, order: int, shards: int, folder: str, least: int):
         count = numbers[0]
         name = f"{folder}/{level}/{shard:06d}"
         stored = count >= least if level == order else np.ones(len(key), bool)
-        if stored.any():
+        if folder and stored.any():
             _write_shard(name, key[stored], [n[stored] for n in numbers])
-        of = [int((count == k).sum()) for k in (1, 2, 3, 4)] + [int((count > 0).sum()), int(count.sum())]
-        rows = [(-1, np.array(of, "<i8").tobytes())]
+        rows = [_tally(level, count)]
         if level > 1:
             real = count > 0
             c, columns = count[real], [x[real] for x in columns]
@@ -229,6 +307,75 @@ def _summer(level: int, order: int, shards: int, folder: str, least: int):
     return run
 
 
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of every row's group of equal keys, and one row of each group."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order[new]
+
+
+def _merger(shards: int):
+    """Adds up records of single words and sends them again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _by_shard(batches, 1, len(_FIELDS)):
+            column = np.concatenate([p[0][0] for p in parts])
+            numbers = [np.concatenate([p[1][k] for p in parts]) for k in range(len(_FIELDS))]
+            yield _batch(list(_sent(*_add_up(gram_key([column]), [column], numbers), shards)))
+
+    return run
+
+
+def _upper(order: int) -> tuple[str, ...]:
+    return tuple(f"{field}{level}" for level in range(order, 2, -1) for field in _FIELDS)
+
+
+def _tally(level: int, count: np.ndarray) -> tuple[int, bytes]:
+    of = [int((count == k).sum()) for k in (1, 2, 3, 4)] + [int((count > 0).sum()), int(count.sum())]
+    return -level, np.array(of, "<i8").tobytes()
+
+
+def _upper_summer(order: int, shards: int, folder: str | None):
+    """Adds up the levels above 2 of one shard, which has all n-grams with the same two words before the last.
+
+    Yields their count-of-counts rows and the records of level 2. With a
+    folder it writes, for every n-gram of the highest order, the counts of
+    its ends of 3 words and more and the numbers of their contexts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, parts in _by_shard(batches, order, 1):
+            yield added(shard, parts)
+
+    def added(shard: int, parts: list) -> pa.RecordBatch:
+        columns = [np.concatenate([p[0][k] for p in parts]) for k in range(order)]
+        count = np.concatenate([p[1][0] for p in parts])
+        parts.clear()
+        key, columns, (count,) = _add_up(gram_key(columns), columns, [count])
+        own = np.arange(len(key))  # each n-gram's end at this level
+        rows, numbers = [], []
+        for level in range(order, 2, -1):
+            rows.append(_tally(level, count))
+            if folder:
+                context, first = _grouped(gram_key(columns[:-1]))
+                kinds = [np.bincount(context, w, len(first)).astype(U) for w in (count, count == 1, count == 2, count > 2)]
+                numbers += [count[own], *(kind[context[own]] for kind in kinds)]
+            end, first = _grouped(gram_key(columns[1:]))
+            count = np.bincount(end, np.where(columns[1] == BEGIN, count, U(1)), len(first)).astype(U)
+            columns = [c[first] for c in columns[1:]]
+            own = end[own]
+        if folder:
+            _write_shard(f"{folder}/upper/{shard:06d}", key, numbers)
+        zero = np.zeros(len(count), U)
+        return _batch(rows + list(_sent(gram_key(columns), columns, [count, zero, zero, zero, zero], shards)))
+
+    return run
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Chen and Goodman's D1, D2, D3+ from the counts of counts; (0.5, 1, 1.5) where these are too few to tell."""
     if min(n1, n2, n3, n4) > 0:
@@ -239,6 +386,34 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return 0.5, 1.0, 1.5
 
 
+def _tallies(records: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of the count-of-counts rows (48 bytes a shard) by level."""
+    out: dict[int, np.ndarray] = {}
+    for r in records.where("shard < 0").collect():
+        out[-r["shard"]] = out.get(-r["shard"], 0) + np.frombuffer(r["grams"], "<i8")
+    return out
+
+
+def _level(tally: np.ndarray) -> dict:
+    n1, n2, n3, n4, grams, total = (int(x) for x in tally)
+    return {"discounts": discounts(n1, n2, n3, n4), "counts": [n1, n2, grams - n1 - n2], "grams": grams, "total": total}
+
+
+def _spread(records: DataFrame, tasks: int) -> DataFrame:
+    return records.where("shard >= 0").repartitionById(tasks, F.expr(f"cast(shard % {tasks} as int)")).sortWithinPartitions("shard")
+
+
+def _write(df: DataFrame, path: str | None = None) -> None:
+    """Run df, to Parquet if a path is given, and remove its shuffle files at once: they would stay until the driver collects garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        df.write.parquet(path) if path else df.write.format("noop").mode("overwrite").save()
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def train(docs: DataFrame, order: int = ORDER, least: int = 1, text: str = "text", folder: str | None = None) -> str:
     """Count all texts and write the model; returns its folder (below the shared folder if None is given).
 
@@ -257,13 +432,10 @@ def train(docs: DataFrame, order: int = ORDER, least: int = 1, text: str = "text
     records = texts.mapInArrow(_counter(order, shards), _SENT)
     levels = {}
     for level in range(order, 0, -1):
-        spread = records.where("shard >= 0").repartitionById(tasks, F.expr(f"cast(shard % {tasks} as int)")).sortWithinPartitions("shard")
-        spread.mapInArrow(_summer(level, order, shards, path, least), _SENT).write.parquet(f"{folder}/sent-{level}")
+        _write(_spread(records, tasks).mapInArrow(_summer(level, order, shards, path, least), _SENT), f"{folder}/sent-{level}")
         records = spark.read.schema(_SENT).parquet(f"{folder}/sent-{level}")
         shutil.rmtree(f"{path}/sent-{level + 1}", ignore_errors=True)  # read to the end
-        tallies = [np.frombuffer(r["grams"], "<i8") for r in records.where("shard < 0").collect()]  # 48 bytes a shard
-        n1, n2, n3, n4, grams, total = (int(x) for x in np.sum([np.zeros(6, np.int64), *tallies], 0))
-        levels[level] = {"discounts": discounts(n1, n2, n3, n4), "counts": [n1, n2, grams - n1 - n2], "grams": grams, "total": total}
+        levels[level] = _level(_tallies(records).get(level, np.zeros(6, np.int64)))
     write_once(f"{path}/model.json", json.dumps({"order": order, "shards": shards, "least": least, "levels": levels}).encode())
     return folder
 
@@ -280,27 +452,40 @@ class Model:
             meta = json.load(f)
         self.order, self.shards, self.least = meta["order"], meta["shards"], meta["least"]
         self.levels = {int(k): v for k, v in meta["levels"].items()}
-        self._maps: OrderedDict[tuple[int, int], dict[str, np.ndarray]] = OrderedDict()
+        self._maps: OrderedDict[tuple[int | str, int], dict[str, np.ndarray]] = OrderedDict()
+
+    def _name(self, level: int | str, shard: int) -> str:
+        return f"{self.path}/{level}/{shard:06d}"
 
-    def _shard(self, level: int, shard: int) -> dict[str, np.ndarray]:
+    def _fields(self, level: int | str) -> tuple[str, ...]:
+        return _upper(self.order) if level == "upper" else _FIELDS[: 1 if level == self.order else len(_FIELDS)]
+
+    def _shard(self, level: int | str, shard: int) -> dict[str, np.ndarray]:
         at = (level, shard)
         if at in self._maps:
             self._maps.move_to_end(at)
         else:
             if len(self._maps) >= HELD:
                 self._maps.popitem(last=False)
-            self._maps[at] = _map_shard(f"{self.path}/{level}/{shard:06d}", _FIELDS[: 1 if level == self.order else len(_FIELDS)])
+            self._maps[at] = _map_shard(self._name(level, shard), self._fields(level))
         return self._maps[at]
 
     def look_up(self, level: int, key: np.ndarray) -> list[np.ndarray]:
         """Numbers of n-grams (count, and below the highest order the context's numbers); 0 for unknown ones."""
-        fields = _FIELDS[: 1 if level == self.order else len(_FIELDS)]
         order = np.argsort(key)
         asked = key[order]
         new = np.concatenate(([True], asked[1:] != asked[:-1])) if len(asked) else np.zeros(0, bool)
         distinct = asked[new]
+        found = self._found(level, distinct, shard_of(distinct, self.shards))
+        back = np.empty(len(key), np.int64)
+        back[order] = np.cumsum(new) - 1
+        return [f[back] for f in found]
+
+    def _found(self, level: int | str, distinct: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
+        """Numbers of keys ordered by shard, and by key in each of them."""
+        fields = self._fields(level)
         found = [np.zeros(len(distinct)) for _ in fields]
-        cut = np.searchsorted(shard_of(distinct, self.shards), np.arange(self.shards + 1))
+        cut = np.searchsorted(shard, np.arange(self.shards + 1))
         for s in range(self.shards):
             a, b = cut[s], cut[s + 1]
             held = self._shard(level, s) if a < b else {}
@@ -309,9 +494,16 @@ class Model:
                 hit = np.flatnonzero(held["key"][place] == distinct[a:b])
                 for out, field in zip(found, fields):
                     out[a + hit] = held[field][place[hit]]
+        return found
+
+    def upper(self, columns: list[np.ndarray]) -> list[np.ndarray]:
+        """Numbers of the ends of 3 words and more of n-grams of the highest order, five for each level, the highest first."""
+        key, shard = gram_key(columns), shard_of(gram_key(columns[-3:-1]), self.shards)
+        order = np.argsort(key)
+        order = order[np.argsort(shard[order].astype(np.uint16 if self.shards < 2**16 else np.int64), kind="stable")]
         back = np.empty(len(key), np.int64)
-        back[order] = np.cumsum(new) - 1
-        return [f[back] for f in found]
+        back[order] = np.arange(len(key))
+        return [f[back] for f in self._found("upper", key[order], shard[order])]
 
     def log_probabilities(self, seq: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Natural log of the probability of the words at positions last of seq, given the words before them."""
@@ -319,20 +511,42 @@ class Model:
         p = np.full(len(last), 1 / (base["grams"] + 1))
         total, n1, n2, n3 = float(base["total"]), *map(float, base["counts"])
         context = [np.full(len(last), x) for x in (total, n1, n2, n3)]
-        for level in range(1, self.order + 1):
+        for level, (c, following) in enumerate(self._numbers(seq, last), 1):
             d1, d2, d3 = self.levels[level]["discounts"]
-            found = self.look_up(level, gram_key([seq[last - level + 1 + k] for k in range(level)]))
-            c = found[0]
             total, n1, n2, n3 = context
             lost = (1.0 if level == self.order and self.least > 1 else d1) * n1
             lost = lost + ((2.0 if level == self.order and self.least > 2 else d2) * n2) + d3 * n3
             some = np.maximum(total, 1)
             discounted = np.maximum(c - np.where(c > 2, d3, np.where(c > 1, d2, d1)), 0) * (c > 0)
             p = np.where(total > 0, discounted / some + lost / some * p, p)
-            if level < self.order:
-                _, *context = self.look_up(level, gram_key([seq[last - level + k] for k in range(level)]))
+            context = following
         return np.log(p)
 
+    def _numbers(self, seq: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """For each level, from 1: counts of the n-grams, and the numbers of the contexts of the next level."""
+        for level in range(1, self.order + 1):
+            count = self.look_up(level, gram_key([seq[last - level + 1 + k] for k in range(level)]))[0]
+            yield count, self.look_up(level, gram_key([seq[last - level + k] for k in range(level)]))[1:] if level < self.order else []
+
+
+class Part(Model):
+    """Reader of what score_own writes of one part: numbers for the n-grams of its texts whose last word but one is in that part."""
+
+    def __init__(self, path: str, folder: str, order: int, shards: int, levels: dict[int, dict]):
+        self.path, self.folder, self.order, self.shards, self.levels, self.least = path, folder, order, shards, levels, 1
+        self._maps = OrderedDict()
+
+    def _name(self, level: int | str, shard: int) -> str:
+        return f"{self.path if level == 1 else self.folder}/{level}/{shard:06d}"
+
+    def _numbers(self, seq: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        upper = self.upper([seq[last - self.order + 1 + k] for k in range(self.order)])
+        by_level = {level: upper[5 * k : 5 * k + 5] for k, level in enumerate(range(self.order, 2, -1))}
+        yield self.look_up(1, gram_key([seq[last]]))[0], self.look_up(1, gram_key([seq[last - 1]]))[1:]
+        yield self.look_up(2, gram_key([seq[last - 1], seq[last]]))[0], by_level[3][1:]
+        for level in range(3, self.order + 1):
+            yield by_level[level][0], by_level[level + 1][1:] if level < self.order else []
+
 
 def score(docs: DataFrame, folder: str, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of every row under the model in folder.
@@ -369,3 +583,90 @@ def score(docs: DataFrame, folder: str, text: str = "text", ident: str = "doc_id
     kind = docs.schema[ident].dataType.simpleString()
     narrow = docs.select(F.col(quoted(ident)).alias("doc_id"), F.col(quoted(text)).alias("text"))
     return narrow.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_prob double, perplexity double")
+
+
+def score_own(docs: DataFrame, order: int = ORDER, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """What score gives under the model that train makes of the same rows, with a part of the model on disk at a time."""
+    if order < 3:
+        return score(docs, train(docs, order, text=text), text, ident)
+    spark = docs.sparkSession
+    folder = new_folder(spark, "own-scores")
+    path = mounted(folder)
+    keyed = F.unhex(F.md5(F.col(quoted(text)).cast("binary")))
+    texts = docs.select(F.col(quoted(text)).alias("text"), keyed.alias("id")).where("text IS NOT NULL")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(PARTS, max(1, -(-size // PART_BYTES)))
+    tasks = parallelism(docs)
+    shards = max(tasks, -(-2 * size // (parts * SHARD_BYTES)))
+    read = lambda name, schema: spark.read.schema(schema).parquet(name)
+
+    _write(texts.mapInArrow(_keeper, _KEPT), f"{folder}/kept")
+    kept = read(f"{folder}/kept", _KEPT)
+
+    def upper(part: int, to: str | None) -> DataFrame:
+        records = kept.select("words").mapInArrow(_counter(order, shards, part, parts), _SENT)
+        return _spread(records, tasks).mapInArrow(_upper_summer(order, shards, to), _SENT)
+
+    def pairs(records: DataFrame, to: str | None) -> DataFrame:
+        return _spread(records, tasks).mapInArrow(_summer(2, order, shards, to, 1), _SENT)
+
+    tallies: dict[int, np.ndarray] = {level: np.zeros(6, np.int64) for level in range(1, order + 1)}
+
+    def tallied(name: str) -> DataFrame:
+        for level, row in _tallies(read(name, _SENT)).items():
+            tallies[level] = tallies[level] + row
+        return read(name, _SENT)
+
+    words = None
+    for part in range(parts):
+        _write(upper(part, None), f"{folder}/pairs-{part}")
+        _write(pairs(tallied(f"{folder}/pairs-{part}"), None), f"{folder}/words-{part}")
+        more = tallied(f"{folder}/words-{part}")
+        shutil.rmtree(f"{path}/pairs-{part}", ignore_errors=True)
+        if part < parts - 1:  # add up what is known of single words, so that it stays small
+            both = more.where("shard >= 0") if words is None else more.where("shard >= 0").union(words)
+            _write(_spread(both, tasks).mapInArrow(_merger(shards), _SENT), f"{folder}/merged-{part}")
+            words = read(f"{folder}/merged-{part}", _SENT)
+            for name in (f"words-{part}", f"merged-{part - 1}"):
+                shutil.rmtree(f"{path}/{name}", ignore_errors=True)
+    _write(_spread(more if words is None else more.union(words), tasks).mapInArrow(_summer(1, order, shards, path, 1), _SENT), f"{folder}/sent-1")
+    tallied(f"{folder}/sent-1")
+    for name in (f"words-{parts - 1}", f"merged-{parts - 2}", "sent-1"):
+        shutil.rmtree(f"{path}/{name}", ignore_errors=True)
+    levels = {level: _level(row) for level, row in tallies.items()}
+    for part in range(parts):
+        own = f"{path}/part-{part}"
+        _write(pairs(upper(part, own), own))
+        run = _part_scorer(lambda own=own: Part(path, own, order, shards, levels), part, parts)
+        _write(kept.mapInArrow(run, _SUMS), f"{folder}/scores/{part}")
+        shutil.rmtree(own, ignore_errors=True)
+    for name in ("1", "kept"):
+        shutil.rmtree(f"{path}/{name}", ignore_errors=True)
+    sums = read(f"{folder}/scores/*", _SUMS).dropDuplicates(["id", "part"]).groupBy("id").agg(F.sum("n").alias("n"), F.sum("log").alias("log"))
+    rows = docs.select(F.col(quoted(ident)).alias("doc_id"), keyed.alias("id"))
+    out = rows.join(sums, "id", "left")
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_tokens"), F.col("log").alias("log_prob"), F.exp(-F.col("log") / F.col("n")).alias("perplexity"))
+
+
+_SUMS = "id binary, part int, n bigint, log double"
+
+
+def _part_scorer(opened: Callable[[], Part], part: int, parts: int):
+    """A text's words whose word before is in the part, and the sum of their log probabilities; a text is known by its digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = opened()
+        for batch in batches:
+            for blob, ids in zip(batch.column(0), batch.column(1)):
+                seq, offsets = sequences(*_kept(blob), model.order)
+                last = _ends(offsets, model.order)
+                last = last[shard_of(seq[last - 1], parts) == part]
+                each = [model.log_probabilities(seq, last[at : at + BLOCK]) for at in range(0, len(last), BLOCK)]
+                of = np.searchsorted(offsets, last, "right") - 1
+                n = np.bincount(of, minlength=len(offsets) - 1)
+                log = np.bincount(of, np.concatenate([np.zeros(0), *each]), len(n))
+                some = np.flatnonzero(n)
+                ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, ids.as_buffer()]).take(pa.array(some)).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(some), part, np.int32)), pa.array(n[some]), pa.array(log[some])], names=["id", "part", "n", "log"])
+
+    return run

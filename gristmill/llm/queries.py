@@ -12,8 +12,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return lm_scoring.score(docs, lm_scoring.train(docs))
+    return lm_scoring.score_own(_table(spark, sf_dir, "documents"))
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

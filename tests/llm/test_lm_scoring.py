@@ -130,6 +130,37 @@ def test_more_shards_than_open_files(spark, monkeypatch):
         resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
 
 
+@pytest.mark.parametrize("order,part_bytes", [(2, 1 << 20), (3, 1000), (4, 1 << 20), (5, 1000)])
+def test_own_scores_equal_plain_model(spark, monkeypatch, order, part_bytes):
+    monkeypatch.setattr(L, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(L, "COMBINE", 900)
+    monkeypatch.setattr(L, "SHARD_BYTES", 2000)
+    docs = texts(11, 60)
+    df = spark.createDataFrame([(None if k % 7 == 0 else k // 2, t) for k, t in enumerate(docs)], SCHEMA)
+    plain = Plain(docs, order)
+    show = lambda ident, n, log: (ident is None, ident, n, log is None, log and round(log, 6))
+    want = [show(r.doc_id, 0 if t is None else len(t.split()) + 1, None if t is None else plain.log(t)) for r, t in zip(df.collect(), docs)]
+    got = L.score_own(df, order).collect()
+    assert sorted(want, key=str) == sorted((show(r.doc_id, r.n_tokens, r.log_prob) for r in got), key=str)
+    for r in got:
+        assert r.perplexity == (None if r.log_prob is None else pytest.approx(math.exp(-r.log_prob / r.n_tokens), rel=1e-9))
+
+
+def test_own_scores_leave_no_model_on_disk(spark, monkeypatch, tmp_path):
+    docs = texts(12, 60)
+    df = spark.createDataFrame(list(enumerate(docs)), SCHEMA)
+    monkeypatch.setattr(L, "PART_BYTES", 1000)
+    monkeypatch.setattr(L, "new_folder", lambda s, purpose: f"{tmp_path}/{purpose}")
+    assert queries.lm_scoring.score_own(df).count() == len(docs)
+    assert os.listdir(f"{tmp_path}/own-scores") == ["scores"]
+    assert len(os.listdir(f"{tmp_path}/own-scores/scores")) > 1
+
+
+def test_own_scores_of_no_text(spark):
+    assert L.score_own(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert [tuple(r) for r in L.score_own(spark.createDataFrame([(1, None)], SCHEMA)).collect()] == [(1, 0, None, None)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     folder = L.train(df)
