@@ -20,13 +20,18 @@ Workers map it into memory and look up a batch's n-grams in sorted order; a
 worker keeps ``HELD`` files open at most, however many shards there are.
 
 To score the very texts that the model is made of, ``score_own`` never stores it
-whole. All n-grams that score a word end with that word and the one before it,
-so the words before split the work into parts, which follow each other and
-leave nothing but sums: first the counts of counts of every level and the
-numbers of single words, then, with the discounts known, each text's log
-probability. Within a part, shards go by the two words before the last; one
-adds up all levels above 2 in memory. It grows with the distinct n-grams after
-its most frequent pair of words.
+whole, and counts them once. All n-grams that score a word end with that word
+and the one before it, so the words before split the work into parts, which
+follow each other. Within a part, each word goes with the four before it to the
+shard of the two words before it. The shard finds the numbers of all levels
+above 2; words whose context occurs once need none. It answers every record
+that it got with one that has these numbers in the same order, so that they are
+looked up by place, not by key. Of levels 2 and 1 tables are left. When all
+parts are counted the discounts are known, and the texts are read once more to
+work out their log probabilities. Words that are frequent in a sample are sent
+as 3 bytes, others as their hashes. A shard holds the records of its words in
+memory; where a record would be much larger than others (a repeated run, a very
+frequent pair) it has each n-gram once, with its count.
 """
 
 from __future__ import annotations
@@ -35,15 +40,17 @@ import json
 import os
 import shutil
 from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from glob import glob
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._arrays import U, lengths_of, mix, slices, text_buffers, word_hashes
+from gristmill.llm._arrays import U, lengths_of, mix, owners, slices, text_buffers, word_hashes
 from gristmill.llm._frames import parallelism, quoted
 from gristmill.storage import mounted, new_folder, write_once
 
@@ -60,6 +67,12 @@ HELD = 512
 #: Parts that score_own handles one after the other, and the bytes of text from which on one more is worth another reading of them.
 PARTS = 6
 PART_BYTES = 16 << 20
+#: Bytes of text that score_own keeps in a row, and words of a row that are sent at a time.
+ROW_BYTES = 8 << 20
+PIECE = 2_000_000
+#: Words that are sent as a number instead of their hash, at most, and rows that they are counted in, about.
+FREQUENT, SAMPLE = 1 << 19, 8
+_RARE = 0xFFFFFF
 BEGIN = U(0xB5297A4D3F84D5A7)
 END = U(0x68E31DA41B56C4E9)
 _STEP = U(0xD6E8FEB86659FD93)
@@ -67,13 +80,13 @@ _FIELDS = ("count", "total", "once", "twice", "more")
 _codec = pa.Codec("zstd", 1)
 
 
-def sequences(words: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+def sequences(words: np.ndarray, offsets: np.ndarray, order: int, begin: int = BEGIN, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """Every text's words with its begin and end marks, and offsets."""
     counts = lengths_of(offsets)
     out_offsets = np.concatenate(([0], np.cumsum(counts + order)))
-    out = np.full(out_offsets[-1], BEGIN, U)
+    out = np.full(out_offsets[-1], begin, words.dtype)
     out[np.arange(len(words)) + np.repeat(out_offsets[:-1] + order - 1 - offsets[:-1], counts)] = words
-    out[out_offsets[1:] - 1] = END
+    out[out_offsets[1:] - 1] = end
     return out, out_offsets
 
 
@@ -92,40 +105,52 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             yield word_hashes(*text_buffers(column[a:b]))
 
 
-def _keeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for some texts: their words' hashes, compressed, and their digests."""
-    for batch in batches:
-        column = batch.column(0)
-        for a, b in slices(column):
-            words, offsets = word_hashes(*text_buffers(column[a:b]))
-            distinct, number, count = np.unique(words, return_inverse=True, return_counts=True)
-            often = np.argsort(-count)
-            rank = np.empty(len(often), "<u4")
-            rank[often] = np.arange(len(often))
-            planes = np.ascontiguousarray(rank[number].view(np.uint8).reshape(-1, 4).T)  # frequent words have small numbers: most upper bytes are 0
-            raw = np.array([b - a, len(distinct)], "<i8").tobytes() + offsets.astype("<i8").tobytes() + distinct[often].tobytes() + planes.tobytes()
-            blob = len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
-            ids = b"".join(batch.column(1)[a:b].to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([ids], pa.binary())], names=["words", "ids"])
+def _keeper(row_bytes: int):
+    """One row for some texts: a number of its own, their words' hashes, compressed, and their digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            column = batch.column(0)
+            for a, b in slices(column, row_bytes):
+                words, offsets = word_hashes(*text_buffers(column[a:b]))
+                distinct, place, count = np.unique(words, return_inverse=True, return_counts=True)
+                often = np.argsort(-count)
+                rank = np.empty(len(often), "<u4")
+                rank[often] = np.arange(len(often))
+                planes = np.ascontiguousarray(rank[place].view(np.uint8).reshape(-1, 4).T)  # frequent words have small numbers: most upper bytes are 0
+                raw = np.array([b - a, len(distinct)], "<i8").tobytes() + offsets.astype("<i8").tobytes() + distinct[often].tobytes() + planes.tobytes()
+                ids = b"".join(batch.column(1)[a:b].to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_closed(raw)], pa.binary()), pa.array([ids], pa.binary())], names=["number", "words", "ids"])
+                number += 1 << 16  # the places between are for the row's pieces
+
+    return run
+
+
+_KEPT = "number bigint, words binary, ids binary"
+
+
+def _closed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
 
 
-_KEPT = "words binary, ids binary"
+def _opened(blob: pa.Buffer) -> pa.Buffer:
+    return _codec.decompress(blob.slice(8), int.from_bytes(blob.slice(0, 8).to_pybytes(), "little"))
 
 
-def _kept(blob: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    """The words' hashes and each text's offsets into them."""
-    blob = blob.as_buffer()
-    raw = _codec.decompress(blob.slice(8), int.from_bytes(blob.slice(0, 8).to_pybytes(), "little"))
+def _kept(blob: pa.Scalar, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words and marks that occur in a row, its sequences as places in them, and each text's offsets."""
+    raw = _opened(blob.as_buffer())
     texts, distinct = np.frombuffer(raw, "<i8", 2).tolist()
     offsets = np.frombuffer(raw, "<i8", texts + 1, 16)
     at = 24 + 8 * texts
-    known = np.frombuffer(raw, U, distinct, at)
+    known = np.concatenate((np.frombuffer(raw, U, distinct, at), np.array([BEGIN, END])))
     planes = np.frombuffer(raw, np.uint8, -1, at + 8 * distinct).reshape(4, -1)
     number = planes[0].astype(np.uint32)
     for k in (1, 2, 3):
         if distinct > 256**k:
             number |= planes[k].astype(np.uint32) << np.uint32(8 * k)
-    return known[number], offsets
+    return known, *sequences(number, offsets, order, distinct, distinct + 1)
 
 
 def gram_key(columns: list[np.ndarray]) -> np.ndarray:
@@ -161,8 +186,7 @@ def _packed(columns: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
         width = next(w for w in (1, 2, 4, 8) if not len(n) or int(n.max()) < 2 ** (8 * w))
         parts.append(n.astype(f"<u{width}").tobytes())
         head.append(width)
-    raw = np.array(head, "<i8").tobytes() + b"".join(c.tobytes() for c in columns) + b"".join(parts)
-    return len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
+    return _closed(np.array(head, "<i8").tobytes() + b"".join(c.tobytes() for c in columns) + b"".join(parts))
 
 
 def _unpacked(blob: bytes, words: int, fields: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -181,11 +205,7 @@ def _unpacked(blob: bytes, words: int, fields: int) -> tuple[list[np.ndarray], l
 
 def _sent(key: np.ndarray, columns: list[np.ndarray], numbers: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
     """One record for every shard; keys are in order."""
-    yield from _sent_to(shard_of(key, shards), columns, numbers, shards)
-
-
-def _sent_to(shard: np.ndarray, columns: list[np.ndarray], numbers: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
-    cut = np.searchsorted(shard, np.arange(shards + 1))
+    cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
     for s in range(shards):
         a, b = cut[s], cut[s + 1]
         if a < b:
@@ -199,9 +219,7 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "grams"])
 
 
-def _counter(order: int, shards: int, part: int = 0, parts: int = 0):
-    """parts: rows are kept words, and only n-grams whose last word but one is in that part count, in the shard of the two words before the last."""
-
+def _counter(order: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         n = 0
@@ -209,21 +227,12 @@ def _counter(order: int, shards: int, part: int = 0, parts: int = 0):
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate([h[k] for h in held]) for k in range(order)]
             held.clear()
-            if parts:
-                key, shard, bits = gram_key(columns), shard_of(gram_key(columns[-3:-1]), shards), U(shards.bit_length())
-                at = np.argsort((shard.astype(U) << (U(64) - bits)) | (key >> bits))  # keys that differ in their last bits only may stay apart here
-                key = key[at]
-                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                at, count = at[first], np.diff(first, append=len(key)).astype(U)
-                return _batch(list(_sent_to(shard[at], [c[at] for c in columns], [count], shards)))
             key, columns, sums = _add_up(gram_key(columns), columns, [np.ones(len(columns[0]), U)])
             return _batch(list(_sent(key, columns, sums, shards)))
 
-        for words, offsets in _words(batches) if not parts else (_kept(blob) for batch in batches for blob in batch.column(0)):
+        for words, offsets in _words(batches):
             seq, offsets = sequences(words, offsets, order)
             ends = _ends(offsets, order)
-            if parts:
-                ends = ends[shard_of(seq[ends - 1], parts) == part]
             for at in range(0, len(ends), BLOCK):
                 last = ends[at : at + BLOCK]
                 held.append([seq[last - order + 1 + k] for k in range(order)])
@@ -294,14 +303,7 @@ def _summer(level: int, order: int, shards: int, folder: str | None, least: int)
         rows = [_tally(level, count)]
         if level > 1:
             real = count > 0
-            c, columns = count[real], [x[real] for x in columns]
-            zero, one = np.zeros(len(c), U), np.ones(len(c), U)
-            # only begin marks come before an n-gram that starts with one, so its count is that of its occurrences
-            suffix = [np.where(columns[1] == BEGIN, c, one), zero, zero, zero, zero]
-            context = [zero, c, (c == U(1)).astype(U), (c == U(2)).astype(U), (c > U(2)).astype(U)]
-            both = [np.concatenate((a, b)) for a, b in zip(columns[1:], columns[:-1])]
-            merged = _add_up(gram_key(both), both, [np.concatenate((a, b)) for a, b in zip(suffix, context)])
-            rows += _sent(*merged, shards)
+            rows += _below([x[real] for x in columns], count[real], shards)
         return _batch(rows)
 
     return run
@@ -330,48 +332,282 @@ def _merger(shards: int):
     return run
 
 
-def _upper(order: int) -> tuple[str, ...]:
-    return tuple(f"{field}{level}" for level in range(order, 2, -1) for field in _FIELDS)
+def _tally(level: int, count: np.ndarray, alone: int = 0) -> tuple[int, bytes]:
+    """Count-of-counts row; alone: n-grams seen once that aren't in count."""
+    of = [int((count == k).sum()) + alone * (k == 1) for k in (1, 2, 3, 4)] + [int((count > 0).sum()) + alone, int(count.sum()) + alone]
+    return -level, np.array(of, "<i8").tobytes()
 
 
-def _tally(level: int, count: np.ndarray) -> tuple[int, bytes]:
-    of = [int((count == k).sum()) for k in (1, 2, 3, 4)] + [int((count > 0).sum()), int(count.sum())]
-    return -level, np.array(of, "<i8").tobytes()
+def _below(columns: list[np.ndarray], count: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """What n-grams tell those without their first and without their last word."""
+    zero, one = np.zeros(len(count), U), np.ones(len(count), U)
+    # only begin marks come before an n-gram that starts with one, so its count is that of its occurrences
+    suffix = [np.where(columns[1] == BEGIN, count, one), zero, zero, zero, zero]
+    context = [zero, count, (count == U(1)).astype(U), (count == U(2)).astype(U), (count > U(2)).astype(U)]
+    both = [np.concatenate((a, b)) for a, b in zip(columns[1:], columns[:-1])]
+    return _sent(*_add_up(gram_key(both), both, [np.concatenate((a, b)) for a, b in zip(suffix, context)]), shards)
+
+
+class _Codes:
+    """Numbers below 2**24 for the frequent words of a sample; others get _RARE, and their hashes are sent beside it."""
+
+    def __init__(self, name: str):
+        self.hashes, self.sorted, self.number = np.fromfile(name, U).reshape(3, -1)
+
+    def of(self, known: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.sorted, known), len(self.sorted) - 1)
+        return np.where(self.sorted[place] == known, self.number[place], U(_RARE)).astype("<u4")
+
+    def packed(self, code: np.ndarray, rare: np.ndarray, count: np.ndarray | None) -> bytes:
+        """One record of n-grams, a row for each of their words; rare: the hashes of those without a number, row by row."""
+        planes = np.ascontiguousarray(code.view(np.uint8).reshape(*code.shape, 4)[:, :, :3].transpose(2, 0, 1))
+        counts = b"" if count is None else count.astype("<i8").tobytes()
+        head = np.array([code.shape[1], len(counts), *np.count_nonzero(code == _RARE, axis=1)], "<i8")
+        return _closed(head.tobytes() + planes.tobytes() + rare.tobytes() + counts)
+
+    def unpacked(self, blobs: list[pa.Buffer], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes and hashes, a row for each word of the n-grams, and counts, of all records; and where each of them begins."""
+        planes, rare, counts, cut = [], [[] for _ in range(words)], [], [0]
+        for blob in blobs:
+            raw = _opened(blob)
+            n, counted, *some = np.frombuffer(raw, "<i8", 2 + words).tolist()
+            at = 8 * (2 + words)
+            planes.append(np.frombuffer(raw, np.uint8, 3 * words * n, at).reshape(3, words, n))
+            at += 3 * words * n
+            for k in range(words):
+                rare[k].append(np.frombuffer(raw, U, some[k], at))
+                at += 8 * some[k]
+            counts.append(np.frombuffer(raw, "<i8", n, at) if counted else np.ones(n, np.int64))
+            cut.append(cut[-1] + n)
+        lowest, middle, highest = np.concatenate(planes, axis=2)
+        planes.clear()
+        code = lowest | middle.astype("<u4") << np.uint32(8) | highest.astype("<u4") << np.uint32(16)
+        hashes = self.hashes[np.minimum(code, np.uint32(len(self.hashes) - 1))]
+        for k in range(words):
+            hashes[k][code[k] == _RARE] = np.concatenate(rare[k])
+        return code, hashes, np.concatenate(counts), np.array(cut)
+
+
+def _code_maker(name: str, order: int, most: int):
+    """Writes the table of _Codes for the words of all its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = [np.array([BEGIN])], [np.ones(1, np.int64)]
+        for batch in batches:
+            for blob in batch.column(0):
+                words, seq, _ = _kept(blob, order)
+                known.append(words)
+                count.append(np.bincount(seq, minlength=len(words)))
+        words = np.concatenate(known)
+        group, first = _grouped(words)
+        total = np.bincount(group, np.concatenate(count))
+        hashes = words[first][np.argsort(-total, kind="stable")[:most]]
+        number = np.argsort(hashes)
+        write_once(name, np.stack([hashes, hashes[number], number.astype(U)]).tobytes())
+        yield _batch([])
+
+    return run
+
 
+@dataclass(frozen=True)
+class _Layout:
+    """How score_own spreads the n-grams of its texts: counting and scoring must do alike."""
 
-def _upper_summer(order: int, shards: int, folder: str | None):
+    path: str
+    order: int
+    parts: int
+    shards: int
+    piece: int
+
+    def codes(self) -> _Codes:
+        return _Codes(f"{self.path}/codes")
+
+    def pieces(self, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Places in a row's sequences that are scored, some at a time."""
+        ends = _ends(offsets, self.order)
+        for k, at in enumerate(range(0, len(ends), self.piece)):
+            yield k, ends[at : at + self.piece]
+
+    def grams(self, seq: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The words of the n-grams that end at these places, a row for each."""
+        return seq[last + np.arange(1 - self.order, 1)[:, None]]
+
+    def spread(self, known: np.ndarray, seq: np.ndarray, ends: np.ndarray, part: int) -> Iterator[tuple[int, np.ndarray, np.ndarray | None, np.ndarray | None]]:
+        """For each shard the places whose n-grams go there, and, if their record has each n-gram once, which places stand for which.
+
+        So has a record that is much larger than others.
+        """
+        mine = shard_of(known, self.parts) == part
+        last = ends[mine[seq[ends - 1]]]
+        shard = shard_of(gram_key([known[seq[last - 2]], known[seq[last - 1]]]), self.shards)
+        last = last[np.argsort(shard.astype(np.uint16) if self.shards <= 2**16 else shard, kind="stable")]
+        cut = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=self.shards))))
+        most = 3 * len(ends) // (self.parts * self.shards) + 100
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            own = last[cut[s] : cut[s + 1]]
+            yield s, own, *(_grouped(gram_key(list(known[self.grams(seq, own)]))) if len(own) > most else (None, None))
+
+    def answers(self, part: int, shard: int) -> str:
+        return f"{self.path}/answers-{part}/{shard:06d}"
+
+
+_NUMBERED = "shard int, number bigint, grams binary"
+
+
+def _numbered(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["shard", "number", "grams"])
+
+
+def _part_sender(layout: _Layout, part: int):
+    """Sends the n-grams whose last word but one is in the part, a record for each piece and shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = layout.codes()
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                known, seq, offsets = _kept(blob, layout.order)
+                code = codes.of(known)
+                for k, ends in layout.pieces(offsets):
+                    rows = []
+                    for s, own, back, first in layout.spread(known, seq, ends, part):
+                        grams = layout.grams(seq, own if first is None else own[first])
+                        sent = code[grams]
+                        rows.append((s, number + k, codes.packed(sent, known[grams[sent == _RARE]], None if back is None else np.bincount(back))))
+                    yield _numbered(rows)
+
+    return run
+
+
+def _numbered_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[pa.Buffer]]]:
+    """Every shard's records; rows are ordered by shard."""
+    now, numbers, blobs = None, [], []
+    for batch in batches:
+        for shard, number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if shard != now and blobs:
+                yield now, numbers, blobs
+                numbers, blobs = [], []
+            now = shard
+            numbers.append(number)
+            blobs.append(blob.as_buffer())
+    if blobs:
+        yield now, numbers, blobs
+
+
+def _upper_summer(layout: _Layout, part: int):
     """Adds up the levels above 2 of one shard, which has all n-grams with the same two words before the last.
 
-    Yields their count-of-counts rows and the records of level 2. With a
-    folder it writes, for every n-gram of the highest order, the counts of
-    its ends of 3 words and more and the numbers of their contexts.
+    Writes the answers to its records; yields count-of-counts rows and the
+    records of level 2. A word whose context occurs once, at some level, is
+    the only one to follow it there and at all levels above: its numbers are
+    those of one n-gram seen once, and aren't written.
     """
+    order = layout.order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, parts in _by_shard(batches, order, 1):
-            yield added(shard, parts)
-
-    def added(shard: int, parts: list) -> pa.RecordBatch:
-        columns = [np.concatenate([p[0][k] for p in parts]) for k in range(order)]
-        count = np.concatenate([p[1][0] for p in parts])
-        parts.clear()
-        key, columns, (count,) = _add_up(gram_key(columns), columns, [count])
-        own = np.arange(len(key))  # each n-gram's end at this level
-        rows, numbers = [], []
+        codes = layout.codes()
+        for shard, numbers, blobs in _numbered_by_shard(batches):
+            yield added(codes, shard, numbers, blobs)
+
+    def added(codes: _Codes, shard: int, numbers: list[int], blobs: list[pa.Buffer]) -> pa.RecordBatch:
+        code, words, count, cut = codes.unpacked(blobs, order)
+        blobs.clear()
+        live, key, levels = np.arange(words.shape[1]), gram_key([words[-3], words[-2]]), {}
+        for level in range(3, order + 1):
+            if level > 3:
+                key = gram_key([key, words[-level][live]])
+            context, _ = _grouped(key)
+            again = np.bincount(context, count[live], 1)[context] > 1
+            live, key, context = live[again], key[again], context[again]
+            levels[level] = again, live, context, *_grouped(gram_key([key, words[-1][live]]))
+        # count becomes what each n-gram adds to the one without its first word, at one of the places where it is
+        rows, kinds = [], {}
         for level in range(order, 2, -1):
-            rows.append(_tally(level, count))
-            if folder:
-                context, first = _grouped(gram_key(columns[:-1]))
-                kinds = [np.bincount(context, w, len(first)).astype(U) for w in (count, count == 1, count == 2, count > 2)]
-                numbers += [count[own], *(kind[context[own]] for kind in kinds)]
-            end, first = _grouped(gram_key(columns[1:]))
-            count = np.bincount(end, np.where(columns[1] == BEGIN, count, U(1)), len(first)).astype(U)
-            columns = [c[first] for c in columns[1:]]
-            own = end[own]
-        if folder:
-            _write_shard(f"{folder}/upper/{shard:06d}", key, numbers)
-        zero = np.zeros(len(count), U)
-        return _batch(rows + list(_sent(gram_key(columns), columns, [count, zero, zero, zero, zero], shards)))
+            _, live, context, gram, first = levels[level]
+            c = np.bincount(gram, count[live], len(first)).astype(np.int64)
+            of = context[first]
+            total, once, twice, more = (np.bincount(of, w).astype(np.int64) if len(of) else c for w in (c, c == 1, c == 2, c > 2))
+            rest = total - once - 2 * twice - 3 * more  # mostly 0
+            kinds[level] = [_narrowed(c)[gram], *(_narrowed(x)[context] for x in (rest, once, twice, more))]
+            alone = len(count) - len(live)
+            rows.append((-level, 0, _tally(level, c, alone)[1]))
+            count[live] = 0
+            count[live[first]] = np.where(words[1 - level][live[first]] == BEGIN, c, 1)
+        _write_answers(layout.answers(part, shard), numbers, cut, levels, kinds)
+        some = np.flatnonzero(count)
+        key = gram_key([words[-2][some], words[-1][some]])
+        at = np.argsort(key)
+        key, some = key[at], some[at]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count, some, target = np.add.reduceat(count[some], new), some[new], shard_of(key[new], layout.shards)
+        code, words = code[-2:, some], words[-2:, some]
+        bounds = np.searchsorted(target, np.arange(layout.shards + 1))
+        for s in np.flatnonzero(np.diff(bounds)).tolist():
+            own = slice(bounds[s], bounds[s + 1])
+            rows.append((s, 0, codes.packed(np.ascontiguousarray(code[:, own]), words[:, own][code[:, own] == _RARE], count[own])))
+        return _numbered(rows)
+
+    return run
+
+
+def _narrowed(numbers: np.ndarray) -> np.ndarray:
+    most = int(numbers.max()) if len(numbers) else 0
+    return numbers.astype(next(f"<u{w}" for w in (1, 2, 4, 8) if most < 2 ** (8 * w)))
+
+
+def _write_answers(name: str, numbers: list[int], cut: np.ndarray, levels: dict, kinds: dict) -> None:
+    """One file: how many records, their numbers in order, where they begin and end, and they themselves.
+
+    For every level above 2 a record says which of the words that have numbers
+    at the level below have some at this one, and has these numbers byte by byte.
+    """
+    planes = {level: [x.view(np.uint8).reshape(len(x), x.itemsize).T for x in kinds[level]] for level in kinds}
+    bounds = [cut, *(np.searchsorted(levels[level][1], cut) for level in sorted(levels))]
+    blobs = {}
+    for r, number in enumerate(numbers):
+        spans = [slice(b[r], b[r + 1]) for b in bounds]
+        raw = [np.array([s.stop - s.start for s in spans] + [len(p) for level in sorted(levels) for p in planes[level]], "<i8").tobytes()]
+        for below, span, level in zip(spans, spans[1:], sorted(levels)):
+            raw.append(np.packbits(levels[level][0][below]).tobytes())
+            raw += [p[:, span].tobytes() for p in planes[level]]
+        blobs[number] = _closed(b"".join(raw))
+    ordered = sorted(blobs)
+    at = np.cumsum([8 * (2 + 2 * len(ordered)), *(len(blobs[k]) for k in ordered)])
+    write_once(name, np.array([len(ordered), *ordered, *at], "<i8").tobytes() + b"".join(blobs[k] for k in ordered))
+
+
+def _answer(raw: pa.Buffer, order: int) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+    """For each level above 2 what a record of _write_answers says."""
+    uppers = order - 2
+    head = np.frombuffer(raw, "<i8", 1 + 6 * uppers).tolist()
+    at, flags, kinds = 8 * len(head), [], []
+    for k in range(uppers):
+        below, n = head[k : k + 2]
+        flags.append(np.unpackbits(np.frombuffer(raw, np.uint8, -(-below // 8), at), count=below).view(bool))
+        at += -(-below // 8)
+        fields = []
+        for w in head[1 + uppers + 5 * k : 6 + uppers + 5 * k]:
+            planes = np.frombuffer(raw, np.uint8, w * n, at).reshape(w, n)
+            fields.append(sum(p.astype(float) * 256.0**j for j, p in enumerate(planes)))
+            at += w * n
+        kinds.append(fields)
+    return flags, kinds
+
+
+def _pair_summer(layout: _Layout, part: int):
+    """Adds up one shard of level 2, writes its counts above 1, and yields its count-of-counts row and the records of level 1; passes on the rows of the levels above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = layout.codes()
+        for shard, _, blobs in _numbered_by_shard(batches):
+            if shard < 0:
+                yield _batch([(shard, b.to_pybytes()) for b in blobs])
+                continue
+            _, words, count, _ = codes.unpacked(blobs, 2)
+            key, columns, (count,) = _add_up(gram_key(list(words)), list(words), [count.astype(U)])
+            if (stored := count > 1).any():  # every pair that is asked for was counted, so one that isn't found occurs once
+                _write_shard(f"{layout.path}/pairs-{part}/{shard:06d}", key[stored], [count[stored]])
+            yield _batch([_tally(2, count), *_below(columns, count, layout.shards)])
 
     return run
 
@@ -399,8 +635,8 @@ def _level(tally: np.ndarray) -> dict:
     return {"discounts": discounts(n1, n2, n3, n4), "counts": [n1, n2, grams - n1 - n2], "grams": grams, "total": total}
 
 
-def _spread(records: DataFrame, tasks: int) -> DataFrame:
-    return records.where("shard >= 0").repartitionById(tasks, F.expr(f"cast(shard % {tasks} as int)")).sortWithinPartitions("shard")
+def _spread(records: DataFrame, tasks: int, which: str = "shard >= 0") -> DataFrame:
+    return records.where(which).repartitionById(tasks, F.expr(f"cast(pmod(shard, {tasks}) as int)")).sortWithinPartitions("shard")
 
 
 def _write(df: DataFrame, path: str | None = None) -> None:
@@ -458,7 +694,7 @@ class Model:
         return f"{self.path}/{level}/{shard:06d}"
 
     def _fields(self, level: int | str) -> tuple[str, ...]:
-        return _upper(self.order) if level == "upper" else _FIELDS[: 1 if level == self.order else len(_FIELDS)]
+        return _FIELDS if level in range(1, self.order) else _FIELDS[:1]
 
     def _shard(self, level: int | str, shard: int) -> dict[str, np.ndarray]:
         at = (level, shard)
@@ -470,22 +706,15 @@ class Model:
             self._maps[at] = _map_shard(self._name(level, shard), self._fields(level))
         return self._maps[at]
 
-    def look_up(self, level: int, key: np.ndarray) -> list[np.ndarray]:
+    def look_up(self, level: int | str, key: np.ndarray) -> list[np.ndarray]:
         """Numbers of n-grams (count, and below the highest order the context's numbers); 0 for unknown ones."""
         order = np.argsort(key)
         asked = key[order]
         new = np.concatenate(([True], asked[1:] != asked[:-1])) if len(asked) else np.zeros(0, bool)
         distinct = asked[new]
-        found = self._found(level, distinct, shard_of(distinct, self.shards))
-        back = np.empty(len(key), np.int64)
-        back[order] = np.cumsum(new) - 1
-        return [f[back] for f in found]
-
-    def _found(self, level: int | str, distinct: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
-        """Numbers of keys ordered by shard, and by key in each of them."""
         fields = self._fields(level)
         found = [np.zeros(len(distinct)) for _ in fields]
-        cut = np.searchsorted(shard, np.arange(self.shards + 1))
+        cut = np.searchsorted(shard_of(distinct, self.shards), np.arange(self.shards + 1))
         for s in range(self.shards):
             a, b = cut[s], cut[s + 1]
             held = self._shard(level, s) if a < b else {}
@@ -494,16 +723,9 @@ class Model:
                 hit = np.flatnonzero(held["key"][place] == distinct[a:b])
                 for out, field in zip(found, fields):
                     out[a + hit] = held[field][place[hit]]
-        return found
-
-    def upper(self, columns: list[np.ndarray]) -> list[np.ndarray]:
-        """Numbers of the ends of 3 words and more of n-grams of the highest order, five for each level, the highest first."""
-        key, shard = gram_key(columns), shard_of(gram_key(columns[-3:-1]), self.shards)
-        order = np.argsort(key)
-        order = order[np.argsort(shard[order].astype(np.uint16 if self.shards < 2**16 else np.int64), kind="stable")]
         back = np.empty(len(key), np.int64)
-        back[order] = np.arange(len(key))
-        return [f[back] for f in self._found("upper", key[order], shard[order])]
+        back[order] = np.cumsum(new) - 1
+        return [f[back] for f in found]
 
     def log_probabilities(self, seq: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Natural log of the probability of the words at positions last of seq, given the words before them."""
@@ -511,7 +733,8 @@ class Model:
         p = np.full(len(last), 1 / (base["grams"] + 1))
         total, n1, n2, n3 = float(base["total"]), *map(float, base["counts"])
         context = [np.full(len(last), x) for x in (total, n1, n2, n3)]
-        for level, (c, following) in enumerate(self._numbers(seq, last), 1):
+        for level in range(1, self.order + 1):
+            c = self.look_up(level, gram_key([seq[last - level + 1 + k] for k in range(level)]))[0]
             d1, d2, d3 = self.levels[level]["discounts"]
             total, n1, n2, n3 = context
             lost = (1.0 if level == self.order and self.least > 1 else d1) * n1
@@ -519,34 +742,10 @@ class Model:
             some = np.maximum(total, 1)
             discounted = np.maximum(c - np.where(c > 2, d3, np.where(c > 1, d2, d1)), 0) * (c > 0)
             p = np.where(total > 0, discounted / some + lost / some * p, p)
-            context = following
+            if level < self.order:
+                context = self.look_up(level, gram_key([seq[last - level + k] for k in range(level)]))[1:]
         return np.log(p)
 
-    def _numbers(self, seq: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """For each level, from 1: counts of the n-grams, and the numbers of the contexts of the next level."""
-        for level in range(1, self.order + 1):
-            count = self.look_up(level, gram_key([seq[last - level + 1 + k] for k in range(level)]))[0]
-            yield count, self.look_up(level, gram_key([seq[last - level + k] for k in range(level)]))[1:] if level < self.order else []
-
-
-class Part(Model):
-    """Reader of what score_own writes of one part: numbers for the n-grams of its texts whose last word but one is in that part."""
-
-    def __init__(self, path: str, folder: str, order: int, shards: int, levels: dict[int, dict]):
-        self.path, self.folder, self.order, self.shards, self.levels, self.least = path, folder, order, shards, levels, 1
-        self._maps = OrderedDict()
-
-    def _name(self, level: int | str, shard: int) -> str:
-        return f"{self.path if level == 1 else self.folder}/{level}/{shard:06d}"
-
-    def _numbers(self, seq: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        upper = self.upper([seq[last - self.order + 1 + k] for k in range(self.order)])
-        by_level = {level: upper[5 * k : 5 * k + 5] for k, level in enumerate(range(self.order, 2, -1))}
-        yield self.look_up(1, gram_key([seq[last]]))[0], self.look_up(1, gram_key([seq[last - 1]]))[1:]
-        yield self.look_up(2, gram_key([seq[last - 1], seq[last]]))[0], by_level[3][1:]
-        for level in range(3, self.order + 1):
-            yield by_level[level][0], by_level[level + 1][1:] if level < self.order else []
-
 
 def score(docs: DataFrame, folder: str, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of every row under the model in folder.
@@ -586,7 +785,7 @@ def score(docs: DataFrame, folder: str, text: str = "text", ident: str = "doc_id
 
 
 def score_own(docs: DataFrame, order: int = ORDER, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """What score gives under the model that train makes of the same rows, with a part of the model on disk at a time."""
+    """What score gives under the model that train makes of the same rows, with the n-grams of a part of it on disk at a time."""
     if order < 3:
         return score(docs, train(docs, order, text=text), text, ident)
     spark = docs.sparkSession
@@ -598,17 +797,14 @@ def score_own(docs: DataFrame, order: int = ORDER, text: str = "text", ident: st
     parts = min(PARTS, max(1, -(-size // PART_BYTES)))
     tasks = parallelism(docs)
     shards = max(tasks, -(-2 * size // (parts * SHARD_BYTES)))
+    layout = _Layout(path, order, parts, shards, PIECE)
     read = lambda name, schema: spark.read.schema(schema).parquet(name)
 
-    _write(texts.mapInArrow(_keeper, _KEPT), f"{folder}/kept")
+    _write(texts.mapInArrow(_keeper(ROW_BYTES), _KEPT), f"{folder}/kept")
     kept = read(f"{folder}/kept", _KEPT)
-
-    def upper(part: int, to: str | None) -> DataFrame:
-        records = kept.select("words").mapInArrow(_counter(order, shards, part, parts), _SENT)
-        return _spread(records, tasks).mapInArrow(_upper_summer(order, shards, to), _SENT)
-
-    def pairs(records: DataFrame, to: str | None) -> DataFrame:
-        return _spread(records, tasks).mapInArrow(_summer(2, order, shards, to, 1), _SENT)
+    step = max(1, len(glob(f"{path}/kept/*.parquet")) // SAMPLE)
+    sample = kept.where(F.col("number").isin([(k * step) << 40 for k in range(SAMPLE)]))
+    _write(sample.select("words").repartition(1).mapInArrow(_code_maker(f"{path}/codes", order, FREQUENT), _SENT))
 
     tallies: dict[int, np.ndarray] = {level: np.zeros(6, np.int64) for level in range(1, order + 1)}
 
@@ -619,10 +815,10 @@ def score_own(docs: DataFrame, order: int = ORDER, text: str = "text", ident: st
 
     words = None
     for part in range(parts):
-        _write(upper(part, None), f"{folder}/pairs-{part}")
-        _write(pairs(tallied(f"{folder}/pairs-{part}"), None), f"{folder}/words-{part}")
+        grams = kept.select("number", "words").mapInArrow(_part_sender(layout, part), _NUMBERED)
+        pairs = _spread(grams, tasks).mapInArrow(_upper_summer(layout, part), _NUMBERED)
+        _write(_spread(pairs, tasks, "true").mapInArrow(_pair_summer(layout, part), _SENT), f"{folder}/words-{part}")
         more = tallied(f"{folder}/words-{part}")
-        shutil.rmtree(f"{path}/pairs-{part}", ignore_errors=True)
         if part < parts - 1:  # add up what is known of single words, so that it stays small
             both = more.where("shard >= 0") if words is None else more.where("shard >= 0").union(words)
             _write(_spread(both, tasks).mapInArrow(_merger(shards), _SENT), f"{folder}/merged-{part}")
@@ -631,42 +827,115 @@ def score_own(docs: DataFrame, order: int = ORDER, text: str = "text", ident: st
                 shutil.rmtree(f"{path}/{name}", ignore_errors=True)
     _write(_spread(more if words is None else more.union(words), tasks).mapInArrow(_summer(1, order, shards, path, 1), _SENT), f"{folder}/sent-1")
     tallied(f"{folder}/sent-1")
-    for name in (f"words-{parts - 1}", f"merged-{parts - 2}", "sent-1"):
-        shutil.rmtree(f"{path}/{name}", ignore_errors=True)
     levels = {level: _level(row) for level, row in tallies.items()}
-    for part in range(parts):
-        own = f"{path}/part-{part}"
-        _write(pairs(upper(part, own), own))
-        run = _part_scorer(lambda own=own: Part(path, own, order, shards, levels), part, parts)
-        _write(kept.mapInArrow(run, _SUMS), f"{folder}/scores/{part}")
-        shutil.rmtree(own, ignore_errors=True)
-    for name in ("1", "kept"):
-        shutil.rmtree(f"{path}/{name}", ignore_errors=True)
-    sums = read(f"{folder}/scores/*", _SUMS).dropDuplicates(["id", "part"]).groupBy("id").agg(F.sum("n").alias("n"), F.sum("log").alias("log"))
+    _write(kept.mapInArrow(_own_scorer(layout, levels), _SUMS), f"{folder}/scores")
+    for name in os.listdir(path):
+        if name == "codes":
+            os.remove(f"{path}/{name}")
+        elif name != "scores":
+            shutil.rmtree(f"{path}/{name}", ignore_errors=True)
+    sums = read(f"{folder}/scores", _SUMS).dropDuplicates(["id"])
     rows = docs.select(F.col(quoted(ident)).alias("doc_id"), keyed.alias("id"))
     out = rows.join(sums, "id", "left")
     return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_tokens"), F.col("log").alias("log_prob"), F.exp(-F.col("log") / F.col("n")).alias("perplexity"))
 
 
-_SUMS = "id binary, part int, n bigint, log double"
+_SUMS = "id binary, n bigint, log double"
 
 
-def _part_scorer(opened: Callable[[], Part], part: int, parts: int):
-    """A text's words whose word before is in the part, and the sum of their log probabilities; a text is known by its digest."""
+class _Own(Model):
+    """Reader of what score_own has counted."""
+
+    def __init__(self, layout: _Layout, levels: dict[int, dict]):
+        self.layout, self.levels = layout, levels
+        self.path, self.order, self.shards, self.least = layout.path, layout.order, layout.shards, 1
+        self._maps = OrderedDict()
+
+    def _name(self, level: int | str, shard: int) -> str:
+        return f"{self.path}/{level}/{shard:06d}"
+
+    def _fields(self, level: int | str) -> tuple[str, ...]:
+        return _FIELDS if level == 1 else _FIELDS[:1]
+
+    def answer(self, part: int, shard: int, number: int) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+        at = (f"answers-{part}", shard)
+        if at in self._maps:
+            self._maps.move_to_end(at)
+        else:
+            if len(self._maps) >= HELD:
+                self._maps.popitem(last=False)
+            self._maps[at] = {"raw": np.memmap(self.layout.answers(part, shard), np.uint8, "r")}
+        raw = self._maps[at]["raw"]
+        n = int(raw[:8].view("<i8")[0])
+        numbers, begin = raw[8 : 8 + 8 * n].view("<i8"), raw[8 + 8 * n : 16 + 16 * n].view("<i8")
+        k = int(np.searchsorted(numbers, number))
+        return _answer(_opened(pa.py_buffer(raw[begin[k] : begin[k + 1]])), self.order)
+
+    def _kept_share(self, level: int, c: np.ndarray) -> np.ndarray:
+        """Counts without the discounts."""
+        d = np.array([0, *self.levels[level]["discounts"]])
+        return np.maximum(c - d[np.minimum(c, 3).astype(np.int8)], 0)
+
+    def _lost(self, level: int, once: np.ndarray, twice: np.ndarray, more: np.ndarray) -> np.ndarray:
+        d1, d2, d3 = self.levels[level]["discounts"]
+        return d1 * once + d2 * twice + d3 * more
+
+    def singles(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of each word alone; total and lost mass of what follows it."""
+        count, total, once, twice, more = self.look_up(1, gram_key([known]))
+        base = self.levels[1]
+        lost = float(self._lost(1, *map(float, base["counts"])))
+        p = (self._kept_share(1, count) + lost / (base["grams"] + 1)) / max(base["total"], 1)
+        return p, np.maximum(total, 1), self._lost(2, once, twice, more)
+
+    def logs(self, known: np.ndarray, seq: np.ndarray, ends: np.ndarray, part: int, number: int, singles: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a piece whose word before is in the part, and the logs of their words' probabilities."""
+        places, last, back, flags, kinds, n = [], [], [], [], [], 0
+        for s, own, group, first in self.layout.spread(known, seq, ends, part):
+            places.append(own)
+            last.append(own if first is None else own[first])
+            back.append(n + (np.arange(len(own)) if first is None else group))
+            n += len(last[-1])
+            f, k = self.answer(part, s, number)
+            flags.append(f)
+            kinds.append(k)
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0)
+        last = np.concatenate(last)
+        before, word = seq[last - 1], seq[last]
+        p, total, lost = singles
+        (c,) = self.look_up(f"pairs-{part}", gram_key([known[before], known[word]]))
+        p = (self._kept_share(2, np.maximum(c, 1)) + lost[before] * p[word]) / total[before]
+        some = np.arange(n)
+        for level in range(3, self.order + 1):
+            again = np.concatenate([f[level - 3] for f in flags])
+            c, rest, once, twice, more = (np.concatenate([k[level - 3][j] for k in kinds]) for j in range(5))
+            some = some[again]
+            total = rest + once + 2 * twice + 3 * more
+            of = (self._kept_share(level, c) + self._lost(level, once, twice, more) * p[some]) / total
+            one = self.levels[level]["discounts"][0]
+            p *= one
+            p += max(1 - one, 0)
+            p[some] = of
+        return np.concatenate(places), np.log(p)[np.concatenate(back)]
+
+
+def _own_scorer(layout: _Layout, levels: dict[int, dict]):
+    """A text's words and end mark, and the sum of their log probabilities; a text is known by its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = opened()
+        model = _Own(layout, levels)
         for batch in batches:
-            for blob, ids in zip(batch.column(0), batch.column(1)):
-                seq, offsets = sequences(*_kept(blob), model.order)
-                last = _ends(offsets, model.order)
-                last = last[shard_of(seq[last - 1], parts) == part]
-                each = [model.log_probabilities(seq, last[at : at + BLOCK]) for at in range(0, len(last), BLOCK)]
-                of = np.searchsorted(offsets, last, "right") - 1
-                n = np.bincount(of, minlength=len(offsets) - 1)
-                log = np.bincount(of, np.concatenate([np.zeros(0), *each]), len(n))
-                some = np.flatnonzero(n)
-                ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, ids.as_buffer()]).take(pa.array(some)).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(some), part, np.int32)), pa.array(n[some]), pa.array(log[some])], names=["id", "part", "n", "log"])
+            for number, blob, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                known, seq, offsets = _kept(blob, layout.order)
+                singles = model.singles(known)
+                text = owners(offsets).astype(np.int32)
+                log = np.zeros(len(offsets) - 1)
+                for k, ends in layout.pieces(offsets):
+                    for part in range(layout.parts):
+                        places, values = model.logs(known, seq, ends, part, number + k, singles)
+                        log += np.bincount(text[places], values, len(log))
+                ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(log), [None, ids.as_buffer()]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(lengths_of(offsets) - layout.order + 1), pa.array(log)], names=["id", "n", "log"])
 
     return run

@@ -156,6 +156,30 @@ def test_own_scores_leave_no_model_on_disk(spark, monkeypatch, tmp_path):
     assert len(os.listdir(f"{tmp_path}/own-scores/scores")) > 1
 
 
+@pytest.mark.parametrize("order,frequent", [(3, 1), (5, 40)])
+def test_own_scores_of_repeated_runs(spark, monkeypatch, order, frequent):
+    for name, value in (("PART_BYTES", 9000), ("ROW_BYTES", 3000), ("PIECE", 700), ("FREQUENT", frequent)):
+        monkeypatch.setattr(L, name, value)
+    docs = [*texts(13, 50), "ab " * 4000, "of the one and of the other " * 300, "of the one", "ab " * 4000]
+    df = spark.createDataFrame(list(enumerate(docs)), SCHEMA).repartition(3)
+    plain = Plain(docs, order)
+    got = {r.doc_id: r.log_prob for r in L.score_own(df, order).collect()}
+    assert len(got) == len(docs)
+    for k, t in enumerate(docs):
+        assert got[k] == (None if t is None else pytest.approx(plain.log(t), rel=1e-9))
+
+
+def test_own_scores_count_every_part_once(spark, monkeypatch):
+    monkeypatch.setattr(L, "PART_BYTES", 1000)
+    monkeypatch.setattr(L, "PARTS", 4)
+    runs, write = [], L._write
+    monkeypatch.setattr(L, "_write", lambda *a: (runs.append(a[1:]), write(*a)))
+    docs = texts(14, 60)
+    assert L.score_own(spark.createDataFrame(list(enumerate(docs)), SCHEMA)).count() == len(docs)
+    # for each part its n-grams, and (but for the last) the words so far; besides the texts, frequent words, all words and scores
+    assert len(runs) <= 2 * L.PARTS + 3
+
+
 def test_own_scores_of_no_text(spark):
     assert L.score_own(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [tuple(r) for r in L.score_own(spark.createDataFrame([(1, None)], SCHEMA)).collect()] == [(1, 0, None, None)]
