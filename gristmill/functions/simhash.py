@@ -87,12 +87,13 @@ def near_pairs(hashes: DataFrame, distance: int = 4, ident: str = "id", simhash:
     agree makes more rows and smaller buckets: by default it is the least of 3
     to 8 at which a bucket has some 64 of the distinct hashes. With stars, rows
     of equal hashes are paired with the one of least id only, which is enough
-    for components.
+    for components. No side is broadcast: the buckets' rows come of files a
+    hundred times smaller, whose size says nothing of theirs.
     """
     if stars:
         hashes = hashes.select(F.col(ident).alias("id"), F.col(simhash).alias("h"))
         heads = hashes.groupBy("h").agg(F.min("id").alias("id"))
-        spokes = hashes.join(heads.select("h", F.col("id").alias("a")), "h").where("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+        spokes = hashes.join(heads.select("h", F.col("id").alias("a")).hint("merge"), "h").where("id <> a").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
         return near_pairs(heads, distance, "id", "h", agree).unionAll(spokes)
     distinct = hashes.select(F.col(simhash).alias("h")).distinct()
     if agree is None:
@@ -105,11 +106,11 @@ def near_pairs(hashes: DataFrame, distance: int = 4, ident: str = "id", simhash:
     blocks = F.array(*[F.struct(F.lit(k).alias("k"), F.col("h").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(choices)])
     spread = distinct.select("h", F.explode(blocks).alias("block"))
     x, y = spread.alias("x"), spread.alias("y")
-    far = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("g"), F.col("y.h").alias("h"))
+    far = x.join(y.hint("merge"), (F.col("x.block") == F.col("y.block")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("g"), F.col("y.h").alias("h"))
     far = far.where(hamming(F.col("g"), F.col("h")) <= distance).distinct().unionAll(distinct.select(F.col("h").alias("g"), "h"))
     left = hashes.select(F.col(ident).alias("p"), F.col(simhash).alias("g"))
     right = hashes.select(F.col(ident).alias("q"), F.col(simhash).alias("h"))
-    met = far.join(left, "g").join(right, "h").where((F.col("g") != F.col("h")) | (F.col("p") < F.col("q")))
+    met = far.join(left.hint("merge"), "g").join(right.hint("merge"), "h").where((F.col("g") != F.col("h")) | (F.col("p") < F.col("q")))
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), hamming(F.col("g"), F.col("h")).alias("distance")).where("a <> b")
 
 

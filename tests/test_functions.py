@@ -128,3 +128,13 @@ def test_report_reads_its_table_once(spark, tmp_path):
     assert len(counted) == 1 and f"{tmp_path}/t" not in plan and made.where("metric = 'row.count'").first().value == 3
     empty = profile.report(spark.createDataFrame([], "a string"), "t", "2024-01-01")
     assert [(r.metric, r.value) for r in empty.collect()] == [("row.count", 0.0)]
+
+
+@pytest.mark.parametrize("stars", [False, True])
+def test_near_pairs_broadcasts_no_buckets(spark, tmp_path, stars):
+    """Small files of hashes make 35 rows and more of each: broadcast, they filled the driver."""
+    rows = [(0, 0b1010), (1, 0b1011), (2, 0b1010)]
+    spark.createDataFrame(rows, "id long, simhash long").write.parquet(f"{tmp_path}/hashes")
+    pairs = simhash.near_pairs(spark.read.parquet(f"{tmp_path}/hashes"), 4, stars=stars)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a, r.b) for r in pairs.collect()} == ({(0, 1), (0, 2)} if stars else {(0, 1), (0, 2), (1, 2)})
