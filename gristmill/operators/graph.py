@@ -7,12 +7,19 @@ folder, so that lineage stays short and a lost executor costs one round.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegralType, MapType, StructType
 
-from gristmill.storage import written
+from gristmill.storage import flat_columns, flat_file, is_mounted, mapped, mounted, new_folder, put, tasks_for, written
+
+#: Pairs or wedges that are made at once.
+AT_ONCE = 1 << 20
 
 
 def dense_ids(names: DataFrame, name: str) -> DataFrame:
@@ -60,16 +67,84 @@ def triangles(edges: DataFrame) -> DataFrame:
 
     Each edge points from the end of smaller degree to the other; wedges are
     built at the small end only, so a hub of n edges doesn't give n squared.
+    Edges between whole numbers lie in flat files that workers map into memory,
+    and no wedge leaves its task. Other ids, and a shared folder that isn't
+    mounted, have the wedges shuffled.
     """
-    size = both_ways(edges.select("src", "dst")).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    named = edges.select("src", "dst").join(size.withColumnsRenamed({"id": "src", "degree": "ds"}), "src").join(size.withColumnsRenamed({"id": "dst", "degree": "dd"}), "dst")
+    kind = edges.schema["src"].dataType
+    edges = written(edges.select("src", "dst"), "edges")
+    count = edges.count()
+    tasks = tasks_for(count)
+    size = both_ways(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    named = edges.repartition(tasks, "src").join(size.withColumnsRenamed({"id": "src", "degree": "ds"}), "src")
+    named = named.repartition(tasks, "dst").join(size.withColumnsRenamed({"id": "dst", "degree": "dd"}), "dst")
     forward = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    lead = written(named.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("v")), "edges")
+    lead = named.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("v"))
+    if isinstance(kind, IntegralType) and is_mounted(edges.sparkSession):
+        (heads, ends), count = flat_columns(lead.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")), ["u", "v"], count, "lead")
+        slices = -(-count // EDGES_A_SLICE)
+        rows = edges.sparkSession.range(0, slices, 1, max(1, min(slices, 32), slices // 32))
+        return rows.mapInArrow(_closed(heads, ends, EDGES_A_SLICE, AT_ONCE), "a bigint, b bigint, c bigint").select(*[F.col(x).cast(kind) for x in "abc"])
+    lead = written(lead, "lead")
     wedge = lead.alias("p").join(lead.alias("q"), (F.col("p.u") == F.col("q.u")) & (F.col("p.v") < F.col("q.v"))).select(F.col("p.u").alias("u"), F.col("p.v").alias("src"), F.col("q.v").alias("dst"))
     found = wedge.join(edges.select("src", "dst"), ["src", "dst"], "left_semi")
     return found.select(F.array_sort(F.array("u", "src", "dst")).alias("t")).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
 
 
+#: Edges whose wedges are closed together.
+EDGES_A_SLICE = 1 << 14
+
+
+def _closed(heads: str, ends: str, size: int, most: int):
+    """Arrow function from numbers of slices to (a, b, c): triangles of the directed edges in two flat files, in order.
+
+    size is the edges of a slice, most the wedges made at once. A vertex belongs to the slice where its edges begin. Of its neighbours'
+    neighbours those are kept that are its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = mapped(heads), mapped(ends)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                lo, hi = (len(u) if at >= len(u) else int(np.searchsorted(u, u[at], "right" if at and u[at] == u[at - 1] else "left")) for at in (k * size, (k + 1) * size))
+                own, near = np.array(u[lo:hi]), np.array(v[lo:hi])
+                known, place = np.unique(near, return_inverse=True)
+                first = np.searchsorted(u, known, "left")
+                many = (np.searchsorted(u, known, "right") - first)[place]
+                first = first[place]
+                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)] if len(own) else [0]
+                found, held = [], 0
+                for x, y in zip(cuts, cuts[1:]):
+                    if y - x < 2:
+                        continue
+                    mine = near[x:y]
+                    upto = np.cumsum(many[x:y])
+                    at = 0
+                    while at < y - x:  # wedges of one vertex, a part at a time
+                        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+                        n = many[x + at : x + to]
+                        total = int(n.sum())
+                        if total:
+                            far = v[np.repeat(first[x + at : x + to] - np.cumsum(n) + n, n) + np.arange(total)]
+                            hit = mine[np.minimum(np.searchsorted(mine, far), len(mine) - 1)] == far
+                            if hit.any():
+                                mid = np.repeat(mine[at:to], n)[hit]
+                                found.append(np.sort(np.stack([np.full(len(mid), own[x]), mid, far[hit]]), axis=0))
+                                held += len(mid)
+                        at = to
+                        if held >= most:
+                            yield _triple(found)
+                            found, held = [], 0
+                if found:
+                    yield _triple(found)
+
+    return run
+
+
+def _triple(found: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in np.concatenate(found, axis=1)], names=["a", "b", "c"])
+
+
 def triangle_counts(edges: DataFrame) -> DataFrame:
     """(id, triangles) of the vertices that lie in any."""
     return triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
@@ -89,17 +164,69 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.select("id", F.col("l.t").alias("targets"), F.col("l.w").alias("weights"))
 
 
+def shared_features(pairs: DataFrame, item: str, feature: str) -> tuple[DataFrame, DataFrame, int]:
+    """(i, f), (src, dst, shared) and their tasks: the distinct items and features, and pairs of items, src < dst, that share any.
+
+    A feature of n items gives n * (n - 1) / 2 pairs; they are counted first, so
+    that their number sets the number of tasks. pairs is read twice.
+    """
+    kind = pairs.schema[feature].dataType
+    f = F.to_json(F.struct(feature)) if isinstance(kind, (StructType, ArrayType, MapType)) else F.col(feature)
+    rows = pairs.where(F.col(item).isNotNull() & F.col(feature).isNotNull()).select(F.col(item).alias("i"), f.alias("f"))
+    own = written(rows.repartition(tasks_for(rows.count()), "f").distinct(), "features")
+    sizes = own.groupBy("f").agg(F.count("*").alias("n"))
+    tasks = tasks_for(int(sizes.agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0))
+    name = own.schema["i"].dataType.simpleString()
+    met = own.repartition(tasks, "f").sortWithinPartitions("f", "i").mapInArrow(_pairs_of_runs, f"src {name}, dst {name}, n bigint")
+    return own, met.repartition(tasks, "src", "dst").groupBy("src", "dst").agg(F.sum("n").alias("shared")), tasks
+
+
+def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (i, f) in the order of f and i to pairs of items of one f, earlier one first; equal pairs met together are combined if that pays."""
+    combine, held, rows, limit = True, [], 0, 1 << 17
+
+    def made(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal combine, held, rows, limit
+        table = table.combine_chunks()
+        code = table.column("f").combine_chunks().dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero(np.diff(code)) + 1
+        whole = len(code) if last else int(cuts[-1]) if len(cuts) else 0
+        held, rows = [table.slice(whole)], len(code) - whole
+        limit = max(1 << 17, 2 * rows)  # a long run isn't looked through for every batch
+        starts = np.concatenate(([0], cuts[cuts < whole], [whole]))
+        after = np.repeat(starts[1:], np.diff(starts)) - np.arange(whole) - 1  # later rows of the same feature
+        upto, item, at = np.cumsum(after), table.column("i").combine_chunks(), 0
+        while at < whole:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, "right")))
+            n = after[at:to]
+            left = np.repeat(np.arange(at, to), n)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+            at = to
+            if not len(left):
+                continue
+            out = pa.table({"src": item.take(pa.array(left)), "dst": item.take(pa.array(right)), "n": pa.array(np.ones(len(left), np.int64))})
+            if combine and not pa.types.is_nested(item.type):
+                less = out.group_by(["src", "dst"], use_threads=False).aggregate([("n", "sum")]).select(["src", "dst", "n_sum"]).rename_columns(["src", "dst", "n"])
+                combine, out = len(less) < 0.8 * len(out), less
+            yield from out.combine_chunks().to_batches()
+
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        rows += len(batch)
+        if rows >= limit:
+            yield from made(pa.concat_tables(held), False)
+    if rows:
+        yield from made(pa.concat_tables(held), True)
+
+
 def containment(pairs: DataFrame, item: str, feature: str, above: float = 0.0) -> DataFrame:
     """(src, dst, shared, weight): items that share features; weight is the shared part of src's features.
 
-    Repeated rows count once. A feature of n items gives n * n pairs; their
-    counts are combined before the shuffle.
+    Repeated rows count once. A feature of n items gives n * n pairs.
     """
-    own = written(pairs.select(F.col(item).alias("i"), F.col(feature).alias("f")).where("i IS NOT NULL AND f IS NOT NULL").distinct(), "features")
-    total = own.groupBy("i").agg(F.count("*").alias("n"))
-    met = own.alias("x").join(own.alias("y"), (F.col("x.f") == F.col("y.f")) & (F.col("x.i") < F.col("y.i")))
-    shared = met.groupBy(F.col("x.i").alias("src"), F.col("y.i").alias("dst")).agg(F.count("*").alias("shared"))
-    weighted = both_ways(shared).join(total, F.col("src") == F.col("i")).select("src", "dst", "shared", (F.col("shared") / F.col("n")).alias("weight"))
+    own, shared, tasks = shared_features(pairs, item, feature)
+    total = own.groupBy("i").agg(F.count("*").alias("n")).repartition(2 * tasks, "i")
+    weighted = both_ways(shared).repartition(2 * tasks, "src").join(total, F.col("src") == F.col("i")).select("src", "dst", "shared", (F.col("shared") / F.col("n")).alias("weight"))
     return weighted.where(F.col("weight") > above)
 
 
@@ -108,11 +235,17 @@ def page_rank(edges: DataFrame, reset: float = 0.1, tolerance: float = 0.001, ro
 
     Rank goes to the out-edges evenly, or by weight if weighted. Without source
     every vertex has reset, with it only source has (the personalised variant).
-    Ranks don't sum to one; what sinks hold is not given on.
+    Ranks don't sum to one; what sinks hold is not given on. Null is no vertex.
+    Edges are brought to the blocks of their ends once; the ranks of whole
+    numbers lie in a flat file that workers map into memory, so that a round
+    shuffles nothing. Other ids, and a shared folder that isn't mounted, have
+    the edges joined with the ranks in every round.
     """
-    ids = written(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "vertices")
     w = F.col("weight").cast("double") if weighted else F.lit(1.0)
-    share = written(edges.select("src", "dst", (w / F.sum(w).over(Window.partitionBy("src"))).alias("share")), "shares")
+    share = written(edges.select("src", "dst", (w / F.sum(w).over(Window.partitionBy("src"))).alias("share")).where("src IS NOT NULL AND dst IS NOT NULL"), "shares")
+    ids = written(share.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "vertices")
+    if all(isinstance(share.schema[c].dataType, IntegralType) for c in ("src", "dst")) and is_mounted(edges.sparkSession):
+        return _ranks_in_blocks(share, ids, reset, tolerance, rounds, source)
     start = F.lit(1.0) if source is None else F.when(F.col("id") == source, 1.0).otherwise(0.0)
     base = F.lit(reset) if source is None else F.when(F.col("id") == source, reset).otherwise(0.0)
     ranks = ids.select("id", start.alias("rank"))
@@ -126,6 +259,104 @@ def page_rank(edges: DataFrame, reset: float = 0.1, tolerance: float = 0.001, ro
     return ranks
 
 
+def _ranks_in_blocks(share: DataFrame, ids: DataFrame, reset: float, tolerance: float, rounds: int, source: int | None) -> DataFrame:
+    """page_rank of edges (src, dst, share): a block has the edges into a range of vertices, a round one task a block."""
+    spark, kind = share.sparkSession, ids.schema["id"].dataType
+    (known,), count = flat_columns(ids.select(F.col("id").cast("bigint").alias("id")), ["id"], ids.count(), "ids")
+    blocks = tasks_for(share.count())
+    width = max(1, -(-count // blocks))
+    folder = mounted(new_folder(spark, "ranks"))
+    os.makedirs(folder)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = mapped(known)
+        for batch in batches:
+            src, dst = (np.searchsorted(names, batch.column(c).to_numpy()) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array((dst // width).astype(np.int32)), pa.array(dst), pa.array(src), batch.column(2)], names=["block", "dst", "src", "share"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, block, held, rows = None, None, [], 0
+
+        def flush(last: bool) -> None:
+            nonlocal file, held, rows
+            if held:
+                part = pa.Table.from_batches(held).combine_chunks()
+                file = file or pa.ipc.new_stream(f"{folder}/{block}.{token}", part.schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))
+                file.write_table(part)
+                held, rows = [], 0
+            if last and file is not None:
+                file.close()
+                os.replace(f"{folder}/{block}.{token}", f"{folder}/{block}")
+                file = None
+
+        token = os.urandom(8).hex()
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else [0]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if of[lo] != block:
+                    flush(True)
+                    block = int(of[lo])
+                held.append(batch.slice(lo, hi - lo).select(["dst", "src", "share"]))
+                rows += hi - lo
+                if rows >= 1 << 17:
+                    flush(False)
+        flush(True)
+        yield pa.RecordBatch.from_arrays([pa.array([1])], names=["done"])
+
+    placed = share.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"), "share").mapInArrow(place, "block int, dst bigint, src bigint, share double")
+    placed.repartitionById(blocks, F.col("block")).sortWithinPartitions("dst", "src").mapInArrow(keep, "done bigint").agg(F.sum("done")).collect()
+    at = int(np.searchsorted(mapped(known)[:count], source)) if source is not None else -1
+    at = at if source is not None and at < count and mapped(known)[at] == source else -1
+    every = spark.range(0, blocks, 1, blocks)
+
+    def turn(old: str | None, new: str) -> float:
+        """Write the ranks after a round, and return by how much the farthest moved."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    lo, hi = min(count, k * width), min(count, (k + 1) * width)
+                    whole = 1.0 if old is None else reset
+                    made = np.full(hi - lo, whole if source is None else 0.0)
+                    if lo <= at < hi:
+                        made[at - lo] = whole
+                    moved = 0.0
+                    if old is not None and hi > lo:
+                        ranks, sums = mapped(old, np.float64), np.zeros(hi - lo)
+                        if os.path.exists(f"{folder}/{k}"):
+                            with pa.ipc.open_stream(pa.memory_map(f"{folder}/{k}")) as parts:
+                                for part in parts:
+                                    dst, src, given = (c.to_numpy() for c in part.columns)
+                                    low = int(dst[0])
+                                    some = np.bincount(dst - low, ranks[src] * given)
+                                    sums[low - lo : low - lo + len(some)] += some
+                        made += (1 - reset) * sums
+                        moved = float(np.max(np.abs(made - ranks[lo:hi])))
+                    put(new, lo, made)
+                    yield pa.RecordBatch.from_arrays([pa.array([moved])], names=["moved"])
+
+        return every.mapInArrow(run, "moved double").agg(F.max("moved")).first()[0]
+
+    path = flat_file(f"{folder}/rank-0", count)
+    turn(None, path)
+    for step in range(1, rounds + 1):
+        before, path = path, flat_file(f"{folder}/rank-{step}", count)
+        moved = turn(before, path)
+        os.remove(before)
+        if tolerance > 0 and moved <= tolerance:
+            break
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ranks = mapped(known), mapped(path, np.float64)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                lo, hi = min(count, k * width), min(count, (k + 1) * width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(names[lo:hi])), pa.array(np.array(ranks[lo:hi]))], names=["id", "rank"])
+
+    return every.mapInArrow(told, "id bigint, rank double").select(F.col("id").cast(kind).alias("id"), "rank")
+
+
 def normalised_weights(edges: DataFrame) -> DataFrame:
     """(src, dst, similarity, weight): the edge's weight, and one over the number of out-edges of src."""
     return edges.select("src", "dst", F.col("weight").alias("similarity"), (F.lit(1.0) / F.count("*").over(Window.partitionBy("src"))).alias("weight"))
@@ -136,8 +367,8 @@ def hops(edges: DataFrame, landmarks: DataFrame, limit: int = 1000) -> DataFrame
 
     edges are undirected; landmarks has id. Each round visits the frontier's neighbours only.
     """
-    links = written(both_ways(edges.select("src", "dst")).distinct(), "links")
-    frontier = written(landmarks.select("id").distinct().join(links.select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("id", F.lit(0).alias("hops")), "frontier")
+    links = written(both_ways(edges.select("src", "dst")), "links")
+    frontier = written(landmarks.select("id").distinct().join(links.select(F.col("src").alias("id")), "id", "left_semi").select("id", F.lit(0).alias("hops")), "frontier")
     seen = frontier
     for step in range(1, limit):
         near = links.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()

@@ -17,15 +17,9 @@ shared AS (SELECT x.i AS src, y.i AS dst, count(*) AS shared FROM own x JOIN own
 graph AS (SELECT src, dst, shared, shared / n AS weight FROM shared JOIN n ON n.i = src)"""
 
 
-def _own(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_orderkey").alias("f")).distinct()
-
-
 def bought_together(spark, sf_dir):
     """Canonical edges between parts of the same order; weight counts orders."""
-    own = _own(spark, sf_dir)
-    met = own.alias("x").join(own.alias("y"), (F.col("x.f") == F.col("y.f")) & (F.col("x.i") < F.col("y.i")))
-    return met.groupBy(F.col("x.i").alias("src"), F.col("y.i").alias("dst")).agg(F.count("*").alias("weight"))
+    return G.shared_features(table(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey")[1].withColumnRenamed("shared", "weight")
 
 
 @query(f"WITH {SIMILAR} SELECT src, dst, shared, weight FROM graph")

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import pytest
 
+from gristmill import storage
 from gristmill.operators import graph as G
 
 CLIQUES = [(a, b) for k in (0, 20) for a, b in combinations(range(k + 1, k + 6), 2)]
@@ -122,3 +123,74 @@ def test_converged_ranks_equal_brute_force(spark, name):
     got = {r.id: r["rank"] for r in entry.queries()[name](spark, folder).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[v] - want[v]) < 1e-5 for v in want)
+
+
+def _random_pairs(n, count, seed=3):
+    import random
+
+    draw = random.Random(seed)
+    return [(a, b) for a, b in ((draw.randrange(-3, n), draw.randrange(-3, n) if draw.random() < 0.7 else 7) for _ in range(count)) if a != b]
+
+
+def test_triangles_shuffle_no_wedges(spark, monkeypatch):
+    """Slices, vertices and wedges are cut in many places; a hub is next to all."""
+    monkeypatch.setattr(storage, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(G, "EDGES_A_SLICE", 3)
+    monkeypatch.setattr(G, "AT_ONCE", 4)
+    pairs = _random_pairs(40, 400)
+    made = {tuple(sorted(p)) for p in pairs}
+    want = {t for t in combinations(sorted({x for p in made for x in p}), 3) if all(p in made for p in combinations(t, 2))}
+    found = G.triangles(edges(spark, pairs))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and found.dtypes == [("a", "bigint"), ("b", "bigint"), ("c", "bigint")]
+    named = G.canonical(spark.createDataFrame([(f"v{a:03}", f"v{b:03}") for a, b in CLIQUES], "src string, dst string"))
+    assert G.triangles(named).count() == 20
+    assert G.triangles(edges(spark, CLIQUES).where("src > 99")).count() == 0
+
+
+def test_shared_features_are_bounded_by_pairs(spark, monkeypatch):
+    """As many tasks as pairs ask for; repeated rows, nulls, NaN and features of all items."""
+    monkeypatch.setattr(storage, "ROWS_PER_TASK", 100)
+    rows = [(i, float(f)) for i in range(40) for f in (i % 3, 7)] * 2 + [(None, 7.0), (3, None), (50, float("nan")), (51, float("nan"))]
+    own, shared, tasks = G.shared_features(spark.createDataFrame(rows, "i int, f double"), "i", "f")
+    want = Counter()
+    for f in {0.0, 1.0, 2.0, 7.0}:
+        want.update(combinations(sorted({i for i, g in rows if g == f and i is not None}), 2))
+    want[50, 51] = 1
+    assert {(r.src, r.dst): r.shared for r in shared.collect()} == dict(want)
+    assert own.count() == 82 and tasks == -(-sum(want.values()) // 100)
+    assert f", {tasks}), REPARTITION_BY_NUM" in shared._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_long_run_are_made_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(G, "AT_ONCE", 10)
+    rows = [("x", 1)] + [(f"{i:02}", 2) for i in range(30)] + [("a", 3), ("b", 3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[k : k + 4]]), pa.array([r[1] for r in rows[k : k + 4]])], names=["i", "f"]) for k in range(0, len(rows), 4)]
+    made = list(G._pairs_of_runs(iter(batches)))
+    assert max(map(len, made)) < 40
+    assert sorted((a, b) for m in made for a, b in zip(m.column(0).to_pylist(), m.column(1).to_pylist())) == sorted([*combinations([f"{i:02}" for i in range(30)], 2), ("a", "b")])
+
+
+@pytest.mark.parametrize("source", [None, 7, 999])
+def test_ranks_in_blocks_equal_joined_ranks(spark, monkeypatch, source):
+    pairs = _random_pairs(60, 300)
+    df = spark.createDataFrame([(a, b, abs(a - b)) for a, b in pairs] + [(7, None, 2)], "src int, dst int, weight int")
+    monkeypatch.setattr(storage, "ROWS_PER_TASK", 40)
+    shuffled = []
+    own, G.written = G.written, lambda df, purpose: shuffled.append(purpose) or own(df, purpose)
+    try:
+        got = {r.id: r["rank"] for r in G.page_rank(df, rounds=6, tolerance=0, source=source, weighted=True).collect()}
+        assert "ranks" not in shuffled  # no round joins the edges again
+        monkeypatch.setattr(G, "is_mounted", lambda spark: False)
+        want = {r.id: r["rank"] for r in G.page_rank(df, rounds=6, tolerance=0, source=source, weighted=True).collect()}
+    finally:
+        G.written = own
+    assert got.keys() == want.keys() and all(math.isclose(got[v], want[v], abs_tol=1e-12) for v in want)
+
+
+def test_hops_with_repeated_edges(spark):
+    e = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (2, 3)], "src long, dst long")
+    assert sorted((r.id, r.hops) for r in G.hops(e, spark.createDataFrame([(1,), (1,), (77,)], "id long")).collect()) == [(1, 0), (2, 1), (3, 2)]
