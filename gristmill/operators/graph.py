@@ -366,19 +366,59 @@ def hops(edges: DataFrame, landmarks: DataFrame, limit: int = 1000) -> DataFrame
     """(id, hops): fewest edges from every vertex to the nearest landmark; unreachable ones are left out.
 
     edges are undirected; landmarks has id. Each round visits the frontier's neighbours only.
+    Links between whole numbers lie in flat files that workers map into memory; other ids, and a
+    shared folder that isn't mounted, have the links joined with the frontier.
     """
-    links = written(both_ways(edges.select("src", "dst")), "links")
-    frontier = written(landmarks.select("id").distinct().join(links.select(F.col("src").alias("id")), "id", "left_semi").select("id", F.lit(0).alias("hops")), "frontier")
+    links = written(both_ways(edges.select("src", "dst")).where("src IS NOT NULL AND dst IS NOT NULL"), "links")
+    near = lambda f: links.join(f.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"))
+    linked = lambda f: f.join(links.select(F.col("src").alias("id")), "id", "left_semi")
+    kind = links.schema["src"].dataType
+    if isinstance(kind, IntegralType) and is_mounted(edges.sparkSession):
+        (heads, ends), _ = flat_columns(links.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")), ["src", "dst"], links.count(), "links")
+        near = lambda f: f.select(F.col("id").cast("bigint").alias("id")).mapInArrow(_neighbours(heads, ends, AT_ONCE), "id bigint").select(F.col("id").cast(kind).alias("id"))
+        linked = lambda f: f.select(F.col("id").cast("bigint").alias("id")).mapInArrow(_linked(heads), "id bigint").select(F.col("id").cast(kind).alias("id"))
+    frontier = written(linked(landmarks.select("id").where("id IS NOT NULL").distinct()).select("id", F.lit(0).alias("hops")), "frontier")
     seen = frontier
     for step in range(1, limit):
-        near = links.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = written(near.join(seen, "id", "left_anti").select("id", F.lit(step).alias("hops")), "frontier")
+        frontier = written(near(frontier).distinct().join(seen, "id", "left_anti").select("id", F.lit(step).alias("hops")), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionAll(frontier)
     return seen
 
 
+def _neighbours(heads: str, ends: str, most: int):
+    """Arrow function from ids to their neighbours by two flat files in the order of the first; most is the neighbours made at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = mapped(heads), mapped(ends)
+        for batch in batches:
+            ids = np.sort(batch.column(0).to_numpy())
+            first = np.searchsorted(u, ids, "left")
+            upto = np.cumsum(np.searchsorted(u, ids, "right") - first)
+            total = int(upto[-1]) if len(upto) else 0
+            for lo in range(0, total, most):  # neighbours of one id may be cut
+                at = np.arange(lo, min(total, lo + most))
+                of = np.searchsorted(upto, at, "right")
+                far = v[first[of] + at - np.where(of > 0, upto[of - 1], 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(far))], names=["id"])
+
+    return run
+
+
+def _linked(heads: str):
+    """Arrow function that keeps the ids in a flat file in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = mapped(heads)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            if len(u):
+                yield batch.filter(pa.array(u[np.minimum(np.searchsorted(u, ids), len(u) - 1)] == ids))
+
+    return run
+
+
 def landmark_distance(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
     """(id, distance): hops to the nearest landmark over the most there are, at most 1."""
     found = written(hops(edges, landmarks), "hops")
@@ -424,20 +464,29 @@ def random_walks(edges: DataFrame, starts: DataFrame, landmarks: DataFrame, step
 # Communities
 
 
+def _at_both_ends(edges: DataFrame, a: DataFrame, b: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Edges joined with rows of their src and of their dst, in as many tasks as they ask for."""
+    if tasks is None:
+        edges = written(edges, "edges")
+        tasks = tasks_for(edges.count())
+    return edges.repartition(tasks, "src").join(a, "src").repartition(tasks, "dst").join(b, "dst")
+
+
 def community_sizes(members: DataFrame) -> DataFrame:
     """(community, size) of (id, community)."""
     return members.groupBy("community").agg(F.count("*").alias("size"))
 
 
-def community_stats(edges: DataFrame, members: DataFrame) -> DataFrame:
+def community_stats(edges: DataFrame, members: DataFrame, tasks: int | None = None) -> DataFrame:
     """(community, size, internal, external, density): edges inside and across; density is 2 * internal / size squared.
 
     edges are canonical, members has (id, community). An edge between two
-    communities is external to both.
+    communities is external to both. tasks is how many the edges are brought to;
+    if it's unknown they are written and counted.
     """
     a = members.select(F.col("id").alias("src"), F.col("community").alias("ca"))
     b = members.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
-    sides = edges.select("src", "dst").join(a, "src").join(b, "dst")
+    sides = _at_both_ends(edges.select("src", "dst"), a, b, tasks)
     inside = F.col("ca") == F.col("cb")
     counted = sides.select(inside.alias("inside"), F.explode(F.when(inside, F.array("ca")).otherwise(F.array("ca", "cb"))).alias("community"))
     per = counted.groupBy("community").agg(F.count_if("inside").alias("internal"), F.count_if(~F.col("inside")).alias("external"))
@@ -451,7 +500,7 @@ def in_large_communities(edges: DataFrame, members: DataFrame, above: int = 3) -
     named = members.join(large, "community", "left").select("id", "community", F.col("size").isNotNull().alias("large"))
     a = named.select(F.col("id").alias("src"), F.col("community").alias("ca"), F.col("large").alias("la"))
     b = named.select(F.col("id").alias("dst"), F.col("community").alias("cb"), F.col("large").alias("lb"))
-    met = edges.join(a, "src").join(b, "dst").where("la OR lb")
+    met = _at_both_ends(edges, a, b).where("la OR lb")
     return met.withColumn("mutation", F.col("ca") != F.col("cb")).drop("ca", "cb", "la", "lb")
 
 
@@ -606,7 +655,8 @@ def wcc_communities(edges: DataFrame, sigma: float = 0.001, rounds: int = 20, mi
     n = vertices.count()
     members = written(_centres(vertices, links), "members")
     facts = vertices.select("id", "triangles", "degree")
-    stats = written(community_stats(used, members), "stats")
+    tasks = tasks_for(used.count())
+    stats = written(community_stats(used, members, tasks), "stats")
     state = written(_cohesion(members.join(facts, "id"), used, tri, stats), "cohesion")
     total = _total(state, n)
     for _ in range(rounds):
@@ -620,7 +670,7 @@ def wcc_communities(edges: DataFrame, sigma: float = 0.001, rounds: int = 20, mi
         next_members = written(state.join(best, "id", "left").select("id", new.alias("new"), "community"), "members")
         changed = next_members.where("new <> community").count()
         moved = next_members.select("id", F.col("new").alias("community"))
-        next_stats = written(community_stats(used, moved), "stats")
+        next_stats = written(community_stats(used, moved, tasks), "stats")
         next_state = written(_cohesion(moved.join(facts, "id"), used, tri, next_stats), "cohesion")
         next_total = _total(next_state, n)
         if next_total - total <= sigma or changed <= min_changed:

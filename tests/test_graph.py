@@ -194,3 +194,37 @@ def test_ranks_in_blocks_equal_joined_ranks(spark, monkeypatch, source):
 def test_hops_with_repeated_edges(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (2, 3)], "src long, dst long")
     assert sorted((r.id, r.hops) for r in G.hops(e, spark.createDataFrame([(1,), (1,), (77,)], "id long")).collect()) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_hops_join_no_links(spark):
+    """Neighbours are looked up in flat files: what a round sorts is the frontier, not all links."""
+    made = []
+    own, G.written = G.written, lambda df, purpose: made.append((purpose, df._jdf.queryExecution().optimizedPlan().toString())) or own(df, purpose)
+    try:
+        pairs = _random_pairs(60, 90)
+        got = {r.id: r.hops for r in G.hops(edges(spark, pairs), spark.range(7, 8)).collect()}
+        assert len(made) > 2 and not any("links-" in plan for purpose, plan in made if purpose == "frontier")
+        G.is_mounted, mounted = (lambda spark: False), G.is_mounted
+        assert got == {r.id: r.hops for r in G.hops(edges(spark, pairs), spark.range(7, 8)).collect()} and len(got) > 30
+        G.is_mounted = mounted
+    finally:
+        G.written = own
+
+
+def test_communities_of_edges_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS_PER_TASK", 10)
+    pairs = _random_pairs(30, 80)
+    e, members = edges(spark, pairs), spark.createDataFrame([(i, i % 3) for i in range(-3, 30)], "id long, community long")
+    made = {tuple(sorted(p)) for p in pairs}
+    met = G.in_large_communities(e, members, 2)
+    assert f", {-(-len(made) // 10)}), REPARTITION_BY_NUM" in met._jdf.queryExecution().executedPlan().toString()
+    assert {(r.src, r.dst): r.mutation for r in met.collect()} == {(a, b): a % 3 != b % 3 for a, b in made}
+    inside = Counter(a % 3 for a, b in made if a % 3 == b % 3)
+    stats = G.community_stats(e, members)
+    assert f", {-(-len(made) // 10)}), REPARTITION_BY_NUM" in stats._jdf.queryExecution().executedPlan().toString()
+    assert {r.community: r.internal for r in stats.collect()} == dict(inside)
+
+
+def test_no_edges_at_all(spark):
+    none = edges(spark, CLIQUES).where("src > 99")
+    assert G.hops(none, spark.range(0, 1)).count() == 0 and G.triangles(none).count() == 0 and G.page_rank(none).count() == 0
