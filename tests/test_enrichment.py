@@ -30,6 +30,17 @@ def test_enrich(spark):
     assert rows[2].person == rows[2].organization == rows[2].location == [] and rows[2].title is None
 
 
+def test_enrich_parses_each_page_once(spark, monkeypatch):
+    """In as many tasks as the pages ask for; the result reads the written articles."""
+    monkeypatch.setattr(N, "PAGES_PER_TASK", 2)
+    gazetteer = spark.createDataFrame([(1, "Freedonia", None, "FD", "", "PCLI", 9)], "geo_id long, name string, names array<string>, country string, admin string, feature string, population long")
+    pages = spark.createDataFrame([(k, f"http://a.org/{k}", f"<title>P{k}</title><body><div><p>{BODY}</p></div></body>") for k in range(7)], "page_id long, url string, html string")
+    made = N.enrich(pages, gazetteer, ["Mary"], ["Freedonia"])
+    assert "article(" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.page_id, *r.person, *r.organization, *r.location) for r in made.collect()) == [(k, "Mary Jones", "Acme Corp", "Freedonia") for k in range(7)]
+    assert sum(1 for f in made.inputFiles() if "/articles-" in f) >= 3
+
+
 def test_source_urls(spark):
     df = spark.createDataFrame([("1\tx\thttp://a",), ("2\thttp://a",), ("3\tnone",), (None,)], "value string")
     assert [r.url for r in N.source_urls(df).collect()] == ["http://a"]
