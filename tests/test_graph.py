@@ -228,3 +228,14 @@ def test_communities_of_edges_in_bounded_tasks(spark, monkeypatch):
 def test_no_edges_at_all(spark):
     none = edges(spark, CLIQUES).where("src > 99")
     assert G.hops(none, spark.range(0, 1)).count() == 0 and G.triangles(none).count() == 0 and G.page_rank(none).count() == 0
+
+
+def test_name_pairs_query_in_bounded_tasks(spark, monkeypatch):
+    """Lines of an order are brought to as many tasks as their pairs ask for."""
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(storage, "ROWS_PER_TASK", 1000)
+    made = entry.queries()["name_pairs"](spark, "/root/testdata/sf0.001")
+    lines = Counter(r.l_orderkey for r in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey").collect())
+    tasks = -(-sum(n * (n - 1) // 2 for n in lines.values()) // 1000)
+    assert tasks > 4 and f", {tasks}), REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
