@@ -58,30 +58,51 @@ def predict_tags(model: PipelineModel, docs: DataFrame, text: str = "text", abov
     return out
 
 
+#: Words that a worker embeds together; a batch of long texts is taken in parts.
+WORDS_AT_ONCE = 1 << 17
+
+
+def _parts(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Ranges of rows of so many words at most, or of one row."""
+    out, lo, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > lo and held + n > most:
+            out.append((lo, i))
+            lo, held = i, 0
+        held += n
+    return [*out, (lo, len(sizes))] if sizes else []
+
+
 def embed(df: DataFrame, ident: str, text: str, size: int = 256, seed: int = 1) -> DataFrame:
     """(ident, vector): the words' sparse random directions, summed and scaled to length 1; zeros without words.
 
     Every word has four places of +1 or -1 by its hash (random indexing), so no vocabulary is kept.
     """
-    count = 4
+    count, at_once = 4, WORDS_AT_ONCE
+
+    def of_part(s: list) -> np.ndarray:
+        sizes = np.array([0 if t is None else len(t) for t in s], np.int64)
+        doc = np.repeat(np.arange(len(s)), sizes)
+        h = np.concatenate([np.asarray(t, np.int64) for t in s if t is not None and len(t)] or [np.zeros(0, np.int64)])
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
+        weight = np.sqrt(np.diff(np.append(first, len(h)))).astype(np.float32)
+        own, of = h[first].view(np.uint64), doc[first]
+        v = np.zeros((len(s), size), np.float32)
+        for k in range(count):  # place and sign from different bits of a product with an odd number
+            x = (own ^ (own >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 0x1000003D2 * k)
+            np.add.at(v, (of, ((x >> np.uint64(20)) % np.uint64(size)).astype(np.int64)), np.where(x >> np.uint64(63), weight, -weight))
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        return v / np.where(norm > 0, norm, 1)
 
     @F.pandas_udf("array<float>")
     def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            sizes = np.array([0 if t is None else len(t) for t in s], np.int64)
-            doc = np.repeat(np.arange(len(s)), sizes)
-            h = np.concatenate([np.asarray(t, np.int64) for t in s if t is not None and len(t)] or [np.zeros(0, np.int64)])
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
-            weight = np.sqrt(np.diff(np.append(first, len(h)))).astype(np.float32)
-            own, of = h[first].view(np.uint64), doc[first]
-            v = np.zeros((len(s), size), np.float32)
-            for k in range(count):  # place and sign from different bits of a product with an odd number
-                x = (own ^ (own >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 0x1000003D2 * k)
-                np.add.at(v, (of, ((x >> np.uint64(20)) % np.uint64(size)).astype(np.int64)), np.where(x >> np.uint64(63), weight, -weight))
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            yield pd.Series(list(v / np.where(norm > 0, norm, 1)))
+            out = []
+            for lo, hi in _parts([0 if t is None else len(t) for t in s], at_once):
+                out += list(of_part(s.iloc[lo:hi].tolist()))
+            yield pd.Series(out)
 
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     hashes = F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.xxhash64(F.lit(seed), w))

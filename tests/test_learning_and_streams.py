@@ -126,3 +126,12 @@ def test_direction_of_prices(spark):
     assert accuracy == 1.0 and 50 < made.count() < 110
     a, b = L.split_by_hash(weeks, "common_friday")
     assert a.count() + b.count() == 202 and a.join(b, "common_friday").count() == 0
+
+
+def test_embedding_of_long_texts_in_parts(spark, monkeypatch):
+    """Parts of a batch give the vectors of the whole batch; a long text is a part of its own."""
+    docs = spark.createDataFrame([(1, "a b c a"), (2, None), (3, "d"), (4, ""), (5, "a b c d e f g h"), (6, "b a")], "id long, text string").coalesce(1)
+    whole = {r.id: r.vector for r in L.embed(docs, "id", "text", 32).collect()}
+    monkeypatch.setattr(L, "WORDS_AT_ONCE", 4)
+    assert {r.id: r.vector for r in L.embed(docs, "id", "text", 32).collect()} == whole
+    assert L._parts([4, 0, 1, 0, 8, 2], 4) == [(0, 2), (2, 4), (4, 5), (5, 6)] and L._parts([], 4) == []
