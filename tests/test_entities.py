@@ -78,3 +78,39 @@ def test_state(spark):
     states = spark.createDataFrame([("NY", "york"), ("TX", "texas")], "code string, name string")
     df = spark.createDataFrame([(1, "Austin, Texas"), (2, "nowhere"), (3, "NY or TX"), (4, None)], "id long, place string")
     assert {r.id: r.state for r in E.state_of(df, "id", "place", states).collect()} == {1: "TX", 3: "NY"}
+
+
+def test_geo_in_context_against_brute_force(spark):
+    """Repeated places, nulls, states with one and with several witnesses; no window over a document's candidates."""
+    import random
+
+    draw = random.Random(5)
+    pick = draw.choice
+    places = [
+        (pick([*range(1, 60), None]), pick("ABCDEF"), pick([None, ["A"], ["F", "b"]]), pick(["X", "Y", "Z", None]), pick(["p", "q", None]), pick(["PCLI", "ADM1", "PPL", "PPLA", "HTL"]), pick([None, 1, 2, 50]), pick([None, ["Europe/X"], ["Asia/Y"]]))
+        for _ in range(150)
+    ]
+    gazetteer = spark.createDataFrame(places, "geo_id long, name string, names array<string>, country string, admin string, feature string, population long, timezone array<string>")
+    mentions = [(d, pick([*"ABCDEFab", None, "nowhere"])) for d in range(25) for _ in range(draw.randrange(1, 5))]
+    made = E.geo_in_context(spark.createDataFrame(mentions, "doc_id long, place string"), gazetteer)
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+    low = lambda x: (x is not None, x if x is not None else 0)
+    want = set()
+    for d in range(25):
+        met = {(n, p) for e, n in mentions if e == d and n for p in range(len(places)) if places[p][5] in E.FEATURES and n.lower() in {x.lower() for x in (places[p][1], *(places[p][2] or []))}}
+        of = [places[p] for _, p in met]
+        kind = lambda g: E.FEATURES[g[5]][1]
+        zone = lambda g: g[7][0].split("/")[0] if g[7] else None
+        countries, zones = {g[3] for g in of if kind(g) == "country"} - {None}, {zone(g) for g in of if kind(g) == "country"} - {None}
+        states = {(g[3], g[4], g[0]) for g in of if kind(g) == "state" and None not in (g[3], g[4], g[0])}
+
+        def order(g):
+            far = None if g[3] is None and zone(g) not in zones else not (g[3] in countries or zone(g) in zones)
+            near = g[0] is not None and any((c, s) == (g[3], g[4]) and i != g[0] for c, s, i in states)
+            return low(far), not near, E.FEATURES[g[5]][0], -(g[6] or 0), low(g[0]), g[1], (g[3] is not None, g[3] or ""), (g[4] is not None, g[4] or "")
+
+        for n in {n for n, _ in met}:
+            g = min((places[p] for m, p in met if m == n), key=order)
+            want.add((d, n, g[0], g[1], g[3], g[4]))
+    rows = [tuple(r) for r in made.collect()]
+    assert len(rows) == len(want) > 30 and set(rows) == want
