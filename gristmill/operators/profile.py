@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import masks
-from gristmill.storage import written
+from gristmill.storage import tasks_for, written
+
+#: Entries that a value may have of its own in the counts: itself, its masks and the classes or codes of its characters.
+ENTRIES_A_VALUE = 8
 
 MASKS = {
     "field.ascii.low": lambda v: F.array(masks.low_grain(v)),
@@ -74,11 +77,17 @@ def emptiness(cell: DataFrame) -> DataFrame:
 
 def cardinality(cell: DataFrame, top: int = 5) -> DataFrame:
     """(idx, ratio, top): distinct values over rows, and the most frequent values joined by ``|`` (ties by value)."""
-    return _cardinality(cell.groupBy("idx", F.coalesce("value", F.lit("")).alias("value")).agg(F.count("*").alias("n")), top)
+    return _cardinality(written(cell.groupBy("idx", F.coalesce("value", F.lit("")).alias("value")).agg(F.count("*").alias("n")), "values"), top)
+
+
+def _spread(df: DataFrame, entries: int) -> DataFrame:
+    """df in as many tasks as so many entries a row ask for; as it is if one will do."""
+    tasks = tasks_for(df.count() * entries)
+    return df.repartition(tasks) if tasks > 1 else df
 
 
 def _cardinality(counts: DataFrame, top: int = 5) -> DataFrame:
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("n"), "value")))
+    ranked = _spread(counts, 1).withColumn("r", F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("n"), "value")))
     best = ranked.where(F.col("r") <= top).groupBy("idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "value"))), lambda s: s["value"]), "|").alias("top"))
     total = counts.groupBy("idx").agg((F.count("*") / F.sum("n")).alias("ratio"))
     return total.join(best, "idx")
@@ -88,17 +97,17 @@ def mask_histogram(cell: DataFrame, mask: str, top: int = 3) -> DataFrame:
     """(idx, mask, n, examples): occurrences of every mask, and its most frequent values joined by ``|``.
 
     mask is a key of MASKS. Masks with one value a character count each of them.
+    Cells are counted, spread over as many tasks as they ask for, and read again.
     """
-    made = cell.select("idx", F.coalesce("value", F.lit("")).alias("value")).select("idx", "value", F.explode(MASKS[mask](F.col("value"))).alias("mask"))
-    return _examples(made.groupBy("idx", "mask", "value").agg(F.count("*").alias("n")), ["idx", "mask"], top)
+    made = _spread(cell, ENTRIES_A_VALUE).select("idx", F.coalesce("value", F.lit("")).alias("value")).select("idx", "value", F.explode(MASKS[mask](F.col("value"))).alias("mask"))
+    return _examples(written(made.groupBy("idx", "mask", "value").agg(F.count("*").alias("n")), "masks"), ["idx", "mask"], top)
 
 
 def _examples(counts: DataFrame, keys: list[str], top: int = 3) -> DataFrame:
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "value")))
-    example = F.when(F.col("r") <= top, F.struct("r", "value"))
-    return ranked.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(example)), lambda s: s["value"]), "|").alias("examples")
-    )
+    """keys, n and examples of written counts; only each task's best values of a key are sent on and sorted together."""
+    ranked = _spread(counts, 1).withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "value")))
+    best = ranked.where(F.col("r") <= top).groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "value"))), lambda s: s["value"]), "|").alias("examples"))
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n")).join(best, keys)
 
 
 REPORTED = ("field.ascii.low", "field.ascii.high", "field.pop.check", "field.class.freq")
@@ -108,9 +117,10 @@ def report(df: DataFrame, source: str, ingest_time: str, columns: Sequence[str]
     """(metric, value, ingest_time, source, tags): all metrics of a table in one long form.
 
     tags is a map with the field's name and number, the mask, and examples, as
-    far as the metric has them. The table is read once: every row gives its
-    entries for all metrics, these are counted together, and the counts are
-    written; metrics are made of the counts.
+    far as the metric has them. The table's rows are counted, to spread them over
+    as many tasks as they ask for, and read once: every row gives its entries for
+    all metrics, these are counted together, and the counts are written; metrics
+    are made of the counts.
     """
     columns = list(columns or df.columns)
     values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
@@ -129,7 +139,7 @@ def report(df: DataFrame, source: str, ingest_time: str, columns: Sequence[str]
         return F.concat(F.array(entry("field", idx, blank, value)), *masked)
 
     entries = F.concat(whole, signs, F.flatten(F.transform(F.array(*values), of_field)))
-    counted = df.select(F.explode(entries).alias("e")).select("e.*").groupBy("metric", "idx", "mask", "value").agg(F.count("*").alias("n"))
+    counted = _spread(df, ENTRIES_A_VALUE * len(columns)).select(F.explode(entries).alias("e")).select("e.*").groupBy("metric", "idx", "mask", "value").agg(F.count("*").alias("n"))
     counts = written(counted, "profile")
     name = F.array(*[F.lit(c) for c in columns])
     field = lambda: [F.lit("field"), F.element_at(name, F.col("idx") + 1), F.lit("idx"), F.col("idx").cast("string")]

@@ -138,3 +138,22 @@ def test_near_pairs_broadcasts_no_buckets(spark, tmp_path, stars):
     pairs = simhash.near_pairs(spark.read.parquet(f"{tmp_path}/hashes"), 4, stars=stars)
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert {(r.a, r.b) for r in pairs.collect()} == ({(0, 1), (0, 2)} if stars else {(0, 1), (0, 2), (1, 2)})
+
+
+def test_profiles_in_bounded_tasks(spark, monkeypatch):
+    """Rows are spread before they are exploded; a frequent mask's values aren't sorted in one task."""
+    from gristmill import storage
+
+    df = spark.createDataFrame([(f"a{i % 37:03}", f"b{i % 5}") for i in range(400)], "x string, y string")
+    spread, whole = [], [profile.mask_histogram(profile.cells(df), "field.ascii.low").collect(), profile.report(df, "t", "2024-01-01").collect(), profile.cardinality(profile.cells(df)).collect()]
+    monkeypatch.setattr(storage, "ROWS_PER_TASK", 100)
+    own, profile.written = profile.written, lambda df, purpose: spread.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, purpose)
+    try:
+        masks_made = profile.mask_histogram(profile.cells(df), "field.ascii.low")
+        made = [masks_made, profile.report(df, "t", "2024-01-01"), profile.cardinality(profile.cells(df))]
+    finally:
+        profile.written = own
+    assert "64), REPARTITION_BY_NUM" in spread[0] and "64), REPARTITION_BY_NUM" in spread[1]
+    assert "WindowGroupLimit" in masks_made._jdf.queryExecution().executedPlan().toString()
+    for got, want in zip(made, whole):
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want)) and want
